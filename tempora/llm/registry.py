@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat_format, url_filter
+from . import chat_format, license_scan, pii, url_filter
 
 
 def queries():
-    return {"op6_url_filters": url_filter.query, "op9_chat_formatting": chat_format.query}
+    return {
+        "op1_license_scans": license_scan.query,
+        "op5_pii": pii.query,
+        "op6_url_filters": url_filter.query,
+        "op9_chat_formatting": chat_format.query,
+    }
 
 
 def oracle_sql():
-    return {"op6_url_filters": url_filter.SQL, "op9_chat_formatting": chat_format.SQL}
+    return {"op1_license_scans": license_scan.SQL, "op6_url_filters": url_filter.SQL, "op9_chat_formatting": chat_format.SQL}
