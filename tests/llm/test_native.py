@@ -88,7 +88,8 @@ def test_pii_query_leaves_no_private_value(spark, sf_dir):
     assert was.keys() == now.keys()
     for i, t in was.items():
         for x in re.findall(r"[\w.]+@mail\d+\.example\.com|[0-9a-f]{40}|\+1 \(\d{3}\) 555-\d{4}|\b\d{16}\b|\b\d+\.\d+\.\d+\.\d+\b", t):
-            assert x not in now[i]
+            decoy = (len(x) == 16 and x.isdigit() and luhn(x)) or (x.count(".") == 3 and x[0].isdigit() and "@" not in x and max(map(int, x.split("."))) > 255)
+            assert (x in now[i]) == bool(decoy)
         if not re.search("[0-9@]", t):
             assert now[i] == t
 
