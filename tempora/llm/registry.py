@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat_format, license_scan, pii, url_filter
+from . import chat_format, decontaminate, license_scan, ngram_join, pii, url_filter
 
 
 def queries():
     return {
         "op1_license_scans": license_scan.query,
+        "op3_decontamination": decontaminate.query,
         "op5_pii": pii.query,
         "op6_url_filters": url_filter.query,
+        "op8_ngram_jaccard_join": ngram_join.query,
         "op9_chat_formatting": chat_format.query,
     }
 
 
 def oracle_sql():
-    return {"op1_license_scans": license_scan.SQL, "op6_url_filters": url_filter.SQL, "op9_chat_formatting": chat_format.SQL}
+    return {"op1_license_scans": license_scan.SQL, "op8_ngram_jaccard_join": ngram_join.SQL, "op6_url_filters": url_filter.SQL, "op9_chat_formatting": chat_format.SQL}
