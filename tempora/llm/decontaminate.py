@@ -30,13 +30,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import bloom_filter, passing
 from .common import chunks, stored, table
 from .tokens import inside, windows_hash, word_hashes
 
 # The masks; 1 marks a word that is hashed.
 MASKS = ("111010010111", "110110001111", "11101100111", "101111000111")
 MIN_ITEM = 5
-BLOOM_BITS, BLOOM_HASHES, BLOCK_BITS = 1 << 27, 3, 32_768
 REACH = 64
 CHUNK_CHARS = 2_000_000
 
@@ -96,34 +96,6 @@ def item_seeds(items: DataFrame, id: str, text: str, masks: list[str]) -> DataFr
     return items.select(F.col(id).alias("id"), F.col(text).alias("text")).dropna().mapInPandas(of, f"hash long, item_id {kind}, item_at int, words array<long>")
 
 
-def bloom_bits(value: np.ndarray) -> Iterator[np.ndarray]:
-    low, high = value & np.uint64(0xFFFFFFFF), value >> np.uint64(32)
-    for i in range(BLOOM_HASHES):
-        yield (low + np.uint64(i) * high) % np.uint64(BLOOM_BITS)
-
-
-def bloom_filter(hashes: DataFrame) -> np.ndarray:
-    """Bytes of the filter: fixed at BLOOM_BITS / 8 (16 MB), built from blocks of 4 KB each."""
-    h = F.col("hash")
-    low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
-    bits = hashes.select(F.explode(F.array(*[(low + high * i) % BLOOM_BITS for i in range(BLOOM_HASHES)])).alias("bit"))
-    blocks = bits.groupBy((F.col("bit") / BLOCK_BITS).cast("int").alias("block")).agg(F.bitmap_construct_agg((F.col("bit") % BLOCK_BITS)).alias("bytes"))
-    out = np.zeros((BLOOM_BITS // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
-    for r in blocks.toLocalIterator():
-        out[r.block] = np.frombuffer(bytes(r.bytes), np.uint8)
-    return out.reshape(-1)
-
-
-def passing(value: np.ndarray, bloom: np.ndarray) -> np.ndarray:
-    """Indices of the hashes that the filter lets through."""
-    left = np.arange(len(value))
-    for i in range(BLOOM_HASHES):
-        v = value[left]
-        bit = ((v & np.uint64(0xFFFFFFFF)) + np.uint64(i) * (v >> np.uint64(32))) % np.uint64(BLOOM_BITS)
-        left = left[(bloom[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-    return left
-
-
 def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     """The stretch [a, b) with the largest sum of +1 for equal and -3 for other words; the first on ties."""
     total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -3))])

@@ -40,82 +40,129 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bloom import bloom_filter, passing
 from .common import LOWER, UPPER, chunks, stored, table
 from .components import connected_components
-from .tokens import shingle_sets
+from .tokens import distinct, shingle_lists
 
 CELLS, BLOCKS, FAN_IN, RANGES = 1 << 22, 16, 32, 128
 CHUNK_CHARS = 2_000_000
 
 
-def _sets(b: pd.DataFrame, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    texts = b["text"].tolist()
+def _sets(texts: list[str | None], size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct shingles) of every text."""
     for lo, hi in chunks(np.array([len(t or "") for t in texts]), CHUNK_CHARS):
-        yield lo, hi, *shingle_sets(texts[lo:hi], size)
+        grams, starts = shingle_lists(texts[lo:hi], size)
+        for i in range(hi - lo):
+            yield lo + i, distinct(grams[starts[i] : starts[i + 1]])
 
 
-def shingle_counts(docs: DataFrame, size: int) -> np.ndarray:
-    """Counts of all shingles of all documents by cell (hash modulo CELLS), saturating at 2**32 - 1."""
+def cell_of(grams: np.ndarray) -> np.ndarray:
+    return (grams & np.uint64(CELLS - 1)).astype(np.int64)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def set_class(grams: np.ndarray) -> int:
+    """A 64-bit hash of a sorted set."""
+    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def range_sizes(grams: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((grams >> np.uint64(57)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes()
+
+
+def members_and_counts(docs: DataFrame, size: int) -> DataFrame:
+    """In one pass: a row (doc_id, class, n, ranges) of each document, and each task's counts in BLOCKS rows (part, block, cells)."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells, part = np.zeros(CELLS, np.uint32), 0
         for b in batches:
-            for _, _, grams, _ in _sets(b, size):
-                at, n = np.unique((grams % np.uint64(CELLS)).astype(np.int64), return_counts=True)
-                cells[at] += n.astype(np.uint32)
-                part = int(grams[0] % np.uint64(1 << 30)) if len(grams) else part
-        if cells.any():
-            yield pd.DataFrame({"block": np.arange(BLOCKS), "part": part, "cells": [zlib.compress(x.tobytes(), 1) for x in np.split(cells, BLOCKS)]})
+            ids, rows = b["id"].tolist(), []
+            for i, own in _sets(b["text"].tolist(), size):
+                if len(own):
+                    np.add.at(cells, cell_of(own), np.uint32(1))
+                    part = int(own[0] >> np.uint64(1))
+                rows.append((ids[i], set_class(own), len(own), range_sizes(own)))
+            out = pd.DataFrame(rows, columns=["doc_id", "class", "n", "ranges"])
+            yield out.assign(part=None, block=None, cells=None)
+        counts = pd.DataFrame({"part": part, "block": np.arange(BLOCKS), "cells": [zlib.compress(x.tobytes(), 1) for x in np.split(cells, BLOCKS)]})
+        yield counts.assign(doc_id=None, **{"class": None}, n=None, ranges=None)[["doc_id", "class", "n", "ranges", "part", "block", "cells"]]
+
+    return docs.mapInPandas(of, "doc_id string, class long, n int, ranges binary, part long, block int, cells binary")
+
+
+def summed_counts(parts: DataFrame, tasks: int) -> np.ndarray:
+    """The sum of all tasks' tables by a tree of sums in which about FAN_IN tables meet; saturates at 2**32 - 1."""
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(CELLS // BLOCKS, np.uint64)
         for x in group["cells"]:
             total += np.frombuffer(zlib.decompress(x), np.uint32)
-        return pd.DataFrame({"block": group["block"].iloc[:1], "part": group["part"].iloc[:1], "cells": [zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)]})
-
-    schema = "block int, part long, cells binary"
-    parts = docs.mapInPandas(count, schema)
-    width = max(1, docs.rdd.getNumPartitions())
-    # a tree of sums: about FAN_IN tables meet in a task
-    for level in range(max(1, ceil(log(width, FAN_IN)))):
-        width = ceil(width / FAN_IN)
-        parts = parts.groupBy("block", F.pmod(F.xxhash64("part", F.lit(level)), F.lit(width)).alias("meet")).applyInPandas(lambda g: add(g), schema)
+        return pd.DataFrame({"part": group["part"].iloc[:1], "block": group["block"].iloc[:1], "cells": [zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)]})
+
+    for level in range(max(1, ceil(log(tasks, FAN_IN)))):
+        tasks = ceil(tasks / FAN_IN)
+        meet = F.pmod(F.xxhash64("part", F.lit(level)), F.lit(tasks)).alias("meet")
+        parts = parts.groupBy("block", meet).applyInPandas(lambda g: add(g), "part long, block int, cells binary")
     cells = np.zeros(CELLS, np.uint64)
     for r in parts.toLocalIterator():
-        s = slice(r.block * (CELLS // BLOCKS), (r.block + 1) * (CELLS // BLOCKS))
-        cells[s] += np.frombuffer(zlib.decompress(bytes(r.cells)), np.uint32)
+        cells[r.block * (CELLS // BLOCKS) : (r.block + 1) * (CELLS // BLOCKS)] += np.frombuffer(zlib.decompress(bytes(r.cells)), np.uint32)
     return np.minimum(cells, 0xFFFFFFFF).astype(np.uint32)
 
 
-def set_class(grams: np.ndarray) -> int:
-    """A 64-bit hash of a sorted set."""
-    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
+def postings(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
+    """(gram, class, spot) of the prefix shingles of every class, each class once a task; spot holds n and the place."""
 
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for b in batches:
+            grams, kinds, spots, held = [], [], [], 0
+            for _, own in _sets(b["text"].tolist(), size):
+                n, kind = len(own), set_class(own)
+                if n and kind not in seen:
+                    seen.add(kind)
+                    k = n - -(-percent * n // 100) + 1
+                    grams.append(own[np.lexsort((own, counts.value[cell_of(own)]))[:k]].view(np.int64))
+                    kinds.append(np.full(k, kind, np.int64))
+                    spots.append(np.arange(k, dtype=np.int64) + (n << 32))
+                    held += k
+                if held > 200_000:
+                    yield pd.DataFrame({"gram": np.concatenate(grams), "class": np.concatenate(kinds), "spot": np.concatenate(spots)})
+                    grams, kinds, spots, held = [], [], [], 0
+            if held:
+                yield pd.DataFrame({"gram": np.concatenate(grams), "class": np.concatenate(kinds), "spot": np.concatenate(spots)})
+
+    return docs.mapInPandas(of, "gram long, class long, spot long")
+
+
+def id_hash(ids: list[str | None]) -> np.ndarray:
+    return np.array([int.from_bytes(hashlib.blake2b(b"-" if i is None else b"+" + i.encode(), digest_size=8).digest(), "little") for i in ids], np.uint64)
+
+
+def whole_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """(class, grams) of ``classes``, each from one of its documents, in one scan of the documents.
+
+    A Bloom filter of fixed size over the chosen ids keeps other documents from being cut into shingles; those
+    that pass by chance drop out when the sets are joined.
+    """
+    spark = docs.sparkSession
+
+    @F.pandas_udf("long")
+    def hashed(ids: pd.Series) -> pd.Series:
+        return pd.Series(id_hash(ids.tolist()).view(np.int64))
 
-def prefixes(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
-    """(doc_id, class, n, first, prefix, ranges) of every row; prefix and ranges where first in its task."""
+    chosen = members.groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(classes, "class", "left_semi")
+    bloom = spark.sparkContext.broadcast(bloom_filter(chosen.select(hashed("doc_id").alias("hash"))))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
         for b in batches:
-            ids = b["id"].to_numpy()
-            for lo, hi, grams, starts in _sets(b, size):
-                rows = []
-                rarity = counts.value[(grams % np.uint64(CELLS)).astype(np.int64)]
-                for i in range(hi - lo):
-                    own = grams[starts[i] : starts[i + 1]]
-                    n, kind = len(own), set_class(own)
-                    first = n > 0 and kind not in seen
-                    prefix = ranges = None
-                    if first:
-                        seen.add(kind)
-                        k = n - -(-percent * n // 100) + 1
-                        prefix = own[np.lexsort((own, rarity[starts[i] : starts[i + 1]]))[:k]].view(np.int64)
-                        ranges = np.minimum(np.bincount((own >> np.uint64(57)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes()
-                    rows.append((ids[lo + i], kind, n, first, prefix, ranges))
-                yield pd.DataFrame(rows, columns=["doc_id", "class", "n", "first", "prefix", "ranges"])
-
-    return docs.mapInPandas(of, "doc_id string, class long, n int, first boolean, prefix array<long>, ranges binary")
+            some = passing(id_hash(b["id"].tolist()), bloom.value)
+            if len(some):
+                own = [g for _, g in _sets(b["text"].iloc[some].tolist(), size)]
+                for lo in range(0, len(own), 500):
+                    part = own[lo : lo + 500]
+                    yield pd.DataFrame({"class": [set_class(g) for g in part], "grams": [g.view(np.int64) for g in part]})
+
+    return docs.mapInPandas(of, "class long, grams array<long>")
 
 
 def needed(n: Column, m: Column, percent: int) -> Column:
@@ -124,26 +171,32 @@ def needed(n: Column, m: Column, percent: int) -> Column:
 
 
 def may_link(percent: int) -> Column:
-    """Length and positional filter of a shared shingle at (x.at, y.at)."""
-    n, m = F.col("x.n"), F.col("y.n")
-    behind = F.least(n - F.col("x.at"), m - F.col("y.at"))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (behind >= needed(n, m, percent))
+    """Length and positional filter of a shared shingle at the spots x.spot and y.spot."""
+    n, m = (F.shiftright(c, 32) for c in ("x.spot", "y.spot"))
+    i, j = (F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)) for c in ("x.spot", "y.spot"))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - i, m - j) >= needed(n, m, percent))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link; ``sets``: (class, n, ranges, grams)."""
-    ranges = sets.select("class", "n", "ranges")
-    a = ranges.select(F.col("class").alias("a"), F.col("n").alias("n"), F.col("ranges").alias("ra"))
-    b = ranges.select(F.col("class").alias("b"), F.col("n").alias("m"), F.col("ranges").alias("rb"))
+def near_pairs(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Suffix filter: pairs (a, b) whose hash ranges differ no more than the overlap allows."""
 
     @F.pandas_udf("int")
     def apart(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([int(np.abs(np.frombuffer(p, np.uint8).astype(np.int16) - np.frombuffer(q, np.uint8)).sum()) for p, q in zip(x, y, strict=True)], dtype="int32")
 
-    near = pairs.join(a, "a").join(b, "b").where(apart("ra", "rb") <= F.col("n") + F.col("m") - 2 * needed(F.col("n"), F.col("m"), percent)).select("a", "b")
-    both = near.join(sets.select(F.col("class").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("class").alias("b"), F.col("grams").alias("gb")), "b")
-    shared = F.size(F.array_intersect("ga", "gb"))
-    return both.select("a", "b", shared.alias("shared"), (F.size("ga") + F.size("gb")).alias("total")).where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
+    ranges = members.groupBy("class").agg(F.min("n").alias("n"), F.min("ranges").alias("ranges"))
+    a = ranges.select(F.col("class").alias("a"), F.col("n").alias("n"), F.col("ranges").alias("ra"))
+    b = ranges.select(F.col("class").alias("b"), F.col("n").alias("m"), F.col("ranges").alias("rb"))
+    return pairs.join(a, "a").join(b, "b").where(apart("ra", "rb") <= F.col("n") + F.col("m") - 2 * needed(F.col("n"), F.col("m"), percent)).select("a", "b")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link, each compared once on the whole sets."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    sets = stored(whole_sets(docs, wanted, members, size), "sets")
+    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("class").alias("b"), F.col("grams").alias("gb")), "b")
+    shared, total = F.size(F.array_intersect("ga", "gb")), F.size("ga") + F.size("gb")
+    return both.select("a", "b", shared.alias("shared"), total.alias("total")).where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
 def link_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -151,50 +204,39 @@ def link_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", size: i
     spark = docs.sparkSession
     # ids pass through pandas as strings: a column with nulls would become double there
     rows = docs.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text"))
-    counts = spark.sparkContext.broadcast(shingle_counts(rows, size))
-    members = stored(prefixes(rows, counts, size, percent), "members")
+    tasks = max(1, rows.rdd.getNumPartitions())
+    scanned = stored(members_and_counts(rows, size), "members")
+    members = scanned.where("block IS NULL").select("doc_id", "class", "n", "ranges")
+    counts = spark.sparkContext.broadcast(summed_counts(scanned.where("block IS NOT NULL").select("part", "block", "cells"), tasks))
 
-    posting = members.where("first").select(F.posexplode("prefix").alias("at", "gram"), "class", "n")
     alike = Window.partitionBy("gram")
+    lead = F.struct("spot", "class")
     shared = stored(
-        posting.withColumn("first", F.min(F.struct("n", "class", "at")).over(alike)).withColumn("last", F.max(F.struct("n", "class", "at")).over(alike))
-        .where("first.class <> last.class").select("gram", F.struct("class", "n", "at").alias("x"), F.col("first").alias("y")),
+        postings(rows, counts, size, percent).withColumn("first", F.min(lead).over(alike)).withColumn("last", F.max(lead).over(alike))
+        .where("first.class <> last.class").select("gram", F.struct("class", "spot").alias("x"), F.col("first").alias("y")),
         "postings",
     )
 
-    # the whole sets of the classes that share a prefix shingle, each from one of its documents
-    wanted = shared.select(F.col("x.class").alias("class")).distinct()
-    one = members.where("first").groupBy("class").agg(F.min("doc_id").alias("one")).join(wanted, "class", "left_semi").select(F.col("one").alias("wanted"))
-    chosen = rows.join(one.distinct(), rows.id.eqNullSafe(F.col("wanted")), "left_semi")
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for lo, hi, grams, starts in _sets(b, size):
-                own = [grams[starts[i] : starts[i + 1]] for i in range(hi - lo)]
-                yield pd.DataFrame({"class": [set_class(g) for g in own], "n": np.diff(starts).astype("int32"), "ranges": [np.minimum(np.bincount((g >> np.uint64(57)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes() for g in own], "grams": [g.view(np.int64) for g in own]})
-
-    found = chosen.mapInPandas(whole, "class long, n int, ranges binary, grams array<long>")
-    alone = Window.partitionBy("class").orderBy("n")
-    sets = stored(found.withColumn("k", F.row_number().over(alone)).where("k = 1").drop("k"), "sets")
-
     pair = [F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")]
-    star = stored(shared.where((F.col("x.class") != F.col("y.class")) & may_link(percent)).select(*pair).distinct(), "pairs")
-    links = stored(verify(star, sets, percent), "links")
+    star = stored(near_pairs(shared.where((F.col("x.class") != F.col("y.class")) & may_link(percent)).select(*pair).distinct(), members, percent), "pairs")
+    links = stored(verify(star, rows, members, size, percent), "links")
     groups = connected_components(links)
 
     # pairs in groups that hold several components after the star pass
-    named = shared.select("gram", "x").join(groups.select("node", "component"), F.col("x.class") == F.col("node"), "left").select("gram", "x", F.coalesce("component", "x.class").alias("c"))
+    named = shared.select("gram", "x").join(groups, F.col("x.class") == F.col("node"), "left").select("gram", "x", F.coalesce("component", "x.class").alias("c"))
     mixed = stored(named.withColumn("low", F.min("c").over(alike)).withColumn("high", F.max("c").over(alike)).where("low <> high").select("gram", "x", "c"), "rest")
     other = mixed.select("gram", F.col("x").alias("y"), F.col("c").alias("d"))
     rest = mixed.join(other, "gram").where((F.col("c") != F.col("d")) & (F.col("x.class") < F.col("y.class")) & may_link(percent)).select(*pair).distinct()
-    more = stored(verify(rest.join(star, ["a", "b"], "left_anti"), sets, percent), "links")
-    if not more.isEmpty():
-        groups = connected_components(links.unionAll(more))
+    new = stored(near_pairs(rest.join(star, ["a", "b"], "left_anti"), members, percent), "pairs")
+    if not new.isEmpty():
+        more = stored(verify(new, rows, members, size, percent), "links")
+        if not more.isEmpty():
+            groups = connected_components(links.unionAll(more))
 
     key = F.col("doc_id").cast(docs.schema[id].dataType)
     classes = members.groupBy("class").agg(F.min(key).alias("low")).join(groups, F.col("class") == F.col("node"), "left").select("class", "low", F.coalesce("component", "class").alias("group"))
-    named = classes.select("class", "group").join(classes.groupBy("group").agg(F.min("low").alias("component_id")), "group").select("class", "component_id")
-    out = members.select("class", key.alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles")).join(named, "class", "left")
+    known = classes.select("class", "group").join(classes.groupBy("group").agg(F.min("low").alias("component_id")), "group").select("class", "component_id")
+    out = members.select("class", key.alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles")).join(known, "class", "left")
     return out.select(F.col("doc_id").alias(id), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
