@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, license_scan, ngram_join, pii, url_filter
+from . import chat_format, decontaminate, license_scan, line_dedup, ngram_join, pii, piece_codec, url_filter
 
 
 def queries():
     return {
         "op1_license_scans": license_scan.query,
         "op3_decontamination": decontaminate.query,
+        "op4_line_dedup": line_dedup.query,
         "op5_pii": pii.query,
         "op6_url_filters": url_filter.query,
+        "op7_sentencepiece": piece_codec.query,
         "op8_ngram_jaccard_join": ngram_join.query,
         "op9_chat_formatting": chat_format.query,
     }
