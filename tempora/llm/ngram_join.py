@@ -13,8 +13,8 @@ Two sets link when ``100 * intersection >= percent * union``.
    the smaller set has t times the larger's size at least.  Positional filter: what stands behind a
    shared shingle must suffice for the overlap.  Suffix filter: sets are cut into 128 hash ranges, and
    the ranges' sizes may differ by no more than the overlap allows.
-4. Star pass: in each group every class is compared with the group's first class only, and the links
-   found make components.  Rest pass: pairs of a group in different components are all compared,
+4. Star pass: in each group every class is compared with the group's first class only, that with the
+   fewest rarer shingles, so the one most like the others; the links found make components.  Rest pass: pairs of a group in different components are all compared,
    except those compared before.  So a group of thousands of near copies costs a comparison
    each, and yet no link that joins two components is left out: the components are exact.
 5. Verification: once per pair, on the whole sets.
@@ -110,7 +110,7 @@ def summed_counts(parts: DataFrame, tasks: int) -> np.ndarray:
 
 
 def postings(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
-    """(gram, class, spot) of the prefix shingles of every class, each class once a task; spot holds n and the place."""
+    """(gram, class, spot) of the prefix shingles of every class, each class once a task; spot holds the place, then n."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -123,7 +123,7 @@ def postings(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
                     k = n - -(-percent * n // 100) + 1
                     grams.append(own[np.lexsort((own, counts.value[cell_of(own)]))[:k]].view(np.int64))
                     kinds.append(np.full(k, kind, np.int64))
-                    spots.append(np.arange(k, dtype=np.int64) + (n << 32))
+                    spots.append((np.arange(k, dtype=np.int64) << 32) + n)
                     held += k
                 if held > 200_000:
                     yield pd.DataFrame({"gram": np.concatenate(grams), "class": np.concatenate(kinds), "spot": np.concatenate(spots)})
@@ -172,8 +172,8 @@ def needed(n: Column, m: Column, percent: int) -> Column:
 
 def may_link(percent: int) -> Column:
     """Length and positional filter of a shared shingle at the spots x.spot and y.spot."""
-    n, m = (F.shiftright(c, 32) for c in ("x.spot", "y.spot"))
-    i, j = (F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)) for c in ("x.spot", "y.spot"))
+    i, j = (F.shiftright(c, 32) for c in ("x.spot", "y.spot"))
+    n, m = (F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)) for c in ("x.spot", "y.spot"))
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - i, m - j) >= needed(n, m, percent))
 
 
