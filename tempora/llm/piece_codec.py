@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import chunks, mixed, table
 
 BLANK = 0x2581
-CHUNK_CHARS, BLOCK_CELLS = 2_000_000, 4_000_000
+CHUNK_CHARS, BLOCK_CELLS = 400_000, 400_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, license_scan, line_dedup, ngram_join, pii, piece_codec, url_filter
+from . import ann, chat_format, decontaminate, language_id, license_scan, line_dedup, ngram_join, pii, piece_codec, url_filter
 
 
 def queries():
     return {
         "op1_license_scans": license_scan.query,
+        "op2_approximate_nearest_neighbours": ann.query,
         "op3_decontamination": decontaminate.query,
         "op4_line_dedup": line_dedup.query,
         "op5_pii": pii.query,
@@ -15,6 +16,7 @@ def queries():
         "op7_sentencepiece": piece_codec.query,
         "op8_ngram_jaccard_join": ngram_join.query,
         "op9_chat_formatting": chat_format.query,
+        "op10_language_id": language_id.query,
     }
 
 
