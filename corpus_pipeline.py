@@ -1,15 +1,62 @@
-"""A corpus pipeline: each stage takes the documents the one before it kept."""
+"""A corpus pipeline: each stage takes the documents the one before it kept.
+
+Language identification drops documents without an identified language; line dedup takes repeated runs of
+lines out of the texts; the n-gram Jaccard join keeps one document of each group of near copies;
+decontamination drops documents that hold benchmark passages; encoding gives the token ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tempora.llm import decontaminate, language_id, line_dedup, ngram_join, piece_codec
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language_id.fit_text_model(docs, "text", "lang")
+    judged = language_id.identify(docs, model, declared="lang", host="source", prefix="_")
+    return judged.where("_keep").select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one(docs).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.decontaminate(docs, items).select(*docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return piece_codec.encode(docs.select("doc_id", "text")).select("doc_id", "ids", F.size("ids").alias("n_tokens"))
+
+
+STAGES = [
+    ("language_id", identify_languages),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("sentencepiece", encode_pieces),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = _between(docs, name)
     return docs
+
+
+def _between(docs: DataFrame, name: str) -> DataFrame:
+    from tempora.llm.common import stored
+
+    return stored(docs, f"pipeline-{name}")
