@@ -23,17 +23,20 @@ vocabulary can't be decoded and raise an error.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, mixed, table
 
 BLANK = 0x2581
-CHUNK_CHARS, BLOCK_CELLS = 400_000, 400_000
+CHUNK_CHARS, BLOCK_CELLS = 2_000_000, 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -202,21 +205,6 @@ def decode_ids(ids: np.ndarray, v: Pieces) -> str:
     return b"".join([v.texts[i] for i in ids.tolist()]).decode("utf-8", "surrogatepass").removeprefix(" ")
 
 
-def encoder(v: Pieces):
-    """A pandas function: texts to arrays of ids."""
-
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        out = []
-        values = texts.tolist()
-        for lo, hi in chunks(np.array([len(t or "") for t in values]), CHUNK_CHARS):
-            ids, at = encode_texts([t or "" for t in values[lo:hi]], v)
-            out += [None if t is None else ids[at[i] : at[i + 1]] for i, t in enumerate(values[lo:hi])]
-        return pd.Series(out, dtype=object)
-
-    return encode
-
-
 def decoder(v: Pieces):
     """A pandas function: arrays of ids to texts."""
 
@@ -227,9 +215,28 @@ def decoder(v: Pieces):
     return decode
 
 
-def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the ids of ``text`` in the column ``ids``."""
-    return docs.withColumn(ids, encoder(Pieces.load(model))(F.col(f"`{text}`")))
+def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "ids", exact: str | None = None) -> DataFrame:
+    """``docs`` with the ids of ``text`` in the column ``ids`` and, if named, whether they decode to the text in ``exact``."""
+    v = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
+    kept = [c for c in docs.columns if c not in (ids, exact)]
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept])
+    place = kept.index(text)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = pc.fill_null(pc.utf8_length(b.column(place)), 0).to_numpy(zero_copy_only=False)
+            for lo, hi in chunks(sizes, CHUNK_CHARS):  # each chunk goes out at once, so that no batch's ids are held together
+                part = b.slice(lo, hi - lo)
+                texts = part.column(place).to_pylist()
+                flat, at = encode_texts([t or "" for t in texts], v.value)
+                null = pa.array([t is None for t in texts], pa.bool_())
+                columns = [*part.columns, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()), mask=null)]
+                if exact:
+                    columns.append(pa.array([None if t is None else decode_ids(flat[at[i] : at[i + 1]], v.value) == t for i, t in enumerate(texts)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, ids, *([exact] if exact else [])])
+
+    schema = rows.schema.add(ids, "array<int>")
+    return rows.mapInArrow(of, schema.add(exact, "boolean") if exact else schema)
 
 
 def decode(docs: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -237,26 +244,7 @@ def decode(docs: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "t
     return docs.withColumn(text, decoder(Pieces.load(model))(F.col(f"`{ids}`")))
 
 
-def token_columns(docs: DataFrame, model: str = MODEL, text: str = "text") -> tuple[Column, Column]:
-    """Both ways in one pass over a batch: ids, and whether they decode to the text."""
-    v = Pieces.load(model)
-
-    @F.pandas_udf("ids array<int>, exact boolean")
-    def both(texts: pd.Series) -> pd.DataFrame:
-        ids, exact, values = [], [], texts.tolist()
-        for lo, hi in chunks(np.array([len(t or "") for t in values]), CHUNK_CHARS):
-            flat, at = encode_texts([t or "" for t in values[lo:hi]], v)
-            for i, t in enumerate(values[lo:hi]):
-                own = flat[at[i] : at[i + 1]]
-                ids.append(None if t is None else own)
-                exact.append(None if t is None else decode_ids(own, v) == t)
-        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "exact": pd.Series(exact, dtype=object)})
-
-    return both(F.col(f"`{text}`"))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: every document's ids, their number, and whether decoding gives the text back."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = docs.select("doc_id", token_columns(docs).alias("t"))
-    return both.select("doc_id", F.col("t.ids").alias("ids"), F.size("t.ids").alias("n_tokens"), F.col("t.exact").alias("exact"))
+    docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), exact="exact")
+    return docs.select("doc_id", "ids", F.size("ids").alias("n_tokens"), "exact")
