@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import bounded_sample, stored, table
 
 
 class Forest:
@@ -113,7 +113,7 @@ def nearest(
     """
     spark = vectors.sparkSession
     points = usable(vectors, id, vector)
-    drawn = points.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).toPandas()["v"].tolist()  # bounded by ``sample``
+    drawn = [r.v for r in bounded_sample(points.select("v"), sample)]
     dims = pd.Series([len(v) for v in drawn], dtype="int64").mode()
     dim = int(dims.iloc[0]) if len(dims) else 1
     fit = np.array([v for v in drawn if len(v) == dim], dtype=np.float64).reshape(-1, dim)

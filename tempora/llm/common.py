@@ -66,3 +66,13 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def bounded_sample(rows: DataFrame, most: int) -> list:
+    """At most ``most`` distinct rows, those with the smallest hashes of about twice as many that pass a hash cut.
+
+    The cut keeps what reaches the driver near 2 * ``most`` rows, however many tasks there are.
+    """
+    cut = min(1 << 32, (1 << 32) * 2 * most // max(1, rows.count()) + 1)
+    h = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 32))
+    return rows.withColumn("__h", h).where(F.col("__h") < cut).distinct().orderBy("__h", *rows.columns).limit(most).drop("__h").collect()

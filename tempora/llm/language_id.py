@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, lower_ascii, packed, stored, table
+from .common import bounded_sample, chunks, lower_ascii, packed, stored, table
 from .url_filter import url_host
 
 CELLS, TEMPER, STRENGTH = 1 << 18, 60.0, 8.0
@@ -79,7 +79,7 @@ class TextModel:
 def fit_text_model(labelled: DataFrame, text: str, label: str, sample: int = 4_000) -> TextModel:
     """From at most ``sample`` labelled rows, those with the smallest hashes of their text."""
     rows = labelled.select(F.col(text).alias("text"), F.col(label).alias("label")).dropna().where("text <> '' AND label <> ''")
-    drawn = rows.orderBy(F.xxhash64("text"), "text", "label").limit(sample).collect()  # bounded by ``sample``
+    drawn = bounded_sample(rows, sample)
     return TextModel([r.text for r in drawn], [r.label for r in drawn])
 
 
