@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import chunks, mixed, table
 
@@ -235,8 +236,8 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "
                     columns.append(pa.array([None if t is None else decode_ids(flat[at[i] : at[i + 1]], v.value) == t for i, t in enumerate(texts)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, ids, *([exact] if exact else [])])
 
-    schema = rows.schema.add(ids, "array<int>")
-    return rows.mapInArrow(of, schema.add(exact, "boolean") if exact else schema)
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(exact, T.BooleanType())] if exact else [])]
+    return rows.mapInArrow(of, T.StructType([*rows.schema.fields, *added]))
 
 
 def decode(docs: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "text") -> DataFrame:
