@@ -130,8 +130,9 @@ def identify(
     slim = evidence.where("letters").select("host", "domain", "suffix", "declared", softmax(F.col("ll")).alias("p"))
     by_host = stored(sums(slim, ["suffix", "domain", "host", "declared"], n).withColumnRenamed("s", "p"), "language-counts")
     even = F.array(*[F.lit(1.0 / n)] * n)
-    whole = sums(by_host, [], n).select(smoothed(F.col("s"), even).alias("base"))
-    by_suffix = sums(by_host, ["suffix"], n).where("suffix IS NOT NULL").crossJoin(whole).select("suffix", smoothed(F.col("s"), F.col("base")).alias("suffix_prior"))
+    whole = sums(by_host, [], n).select(smoothed(F.col("s"), even).alias("base")).collect()[0].base  # one number a language
+    base = F.array(*[F.lit(float(x)) for x in whole])
+    by_suffix = sums(by_host, ["suffix"], n).where("suffix IS NOT NULL").select("suffix", smoothed(F.col("s"), base).alias("suffix_prior"))
     by_domain = sums(by_host, ["suffix", "domain"], n).join(by_suffix, "suffix").select("domain", "suffix_prior", smoothed(F.col("s"), F.col("suffix_prior")).alias("domain_prior"))
     priors = sums(by_host, ["domain", "host"], n).join(by_domain, "domain").select("host", "suffix_prior", smoothed(F.col("s"), F.col("domain_prior")).alias("prior"))
     # how often text of a language declares each one: at most one row for each pair of languages, plus none
@@ -139,7 +140,6 @@ def identify(
     table_ = {r.declared: r.s for r in told}
     trust = np.array([[table_.get(d, [0.0] * n)[j] for j in range(n)] for d in languages]) + 1.0
     trust = np.log(trust / trust.sum(axis=0, keepdims=True))
-    base = F.array(*[F.lit(float(x)) for x in whole.collect()[0].base])
     markup_ll = F.lit(None).cast("array<double>")
     for i, d in enumerate(languages):
         markup_ll = F.when(F.col("declared") == d, F.array(*[F.lit(float(x)) for x in trust[i]])).otherwise(markup_ll)
