@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import bloom_filter, passing
-from .common import chunks, stored, table
+from .common import chunks, give_back, stored, table
 from .tokens import inside, windows_hash, word_hashes
 
 # The masks; 1 marks a word that is hashed.
 MASKS = ("111010010111", "110110001111", "11101100111", "101111000111")
 MIN_ITEM = 5
 REACH = 64
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def strip_word(word: str) -> str:
@@ -130,6 +130,7 @@ def find_overlaps(docs: DataFrame, items: DataFrame, min_words: int = 12, min_eq
                     low, high = max(begin, at[a] - REACH), min(end, at[z - 1] + REACH)
                     rows.append((ids[lo + doc[a]], int(low - begin), signed[low:high], (at[a:z] - low).astype(np.int32), value[a:z].view(np.int64)))
                 yield pd.DataFrame(rows, columns=["id", "begin", "words", "ats", "hashes"])
+            give_back()
 
     scanned = docs.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").mapInPandas(stretches, "id string, begin int, words array<long>, ats array<int>, hashes array<long>")
     # ids pass through pandas as strings: a column with nulls would become double there

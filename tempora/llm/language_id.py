@@ -26,11 +26,12 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, chunks, lower_ascii, packed, stored, table
+from .common import bounded_sample, chunks, give_back, lower_ascii, packed, stored, table
 from .url_filter import url_host
 
 CELLS, TEMPER, STRENGTH = 1 << 18, 60.0, 8.0
@@ -111,10 +112,16 @@ def identify(
     languages, n = model.languages, len(model.languages)
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("ll array<double>, letters boolean")
-    def read(texts: pd.Series) -> pd.DataFrame:
-        values = [TAGS.sub(" ", t) if markup and t else (t or "") for t in texts]
-        return pd.DataFrame({"ll": list(sent.value.likelihoods(values)), "letters": [any(map(str.isalpha, t)) for t in values]})
+    @F.arrow_udf("ll array<double>, letters boolean")
+    def read(texts: pa.Array) -> pa.Array:
+        found, letters = [np.zeros((0, n))], []
+        for lo, hi in chunks(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False), CHUNK_CHARS):  # only a chunk's strings are held
+            values = [TAGS.sub(" ", t) if markup and t else (t or "") for t in texts.slice(lo, hi - lo).to_pylist()]
+            found.append(sent.value.likelihoods(values))
+            letters.extend(any(map(str.isalpha, t)) for t in values)
+        give_back()
+        ends = pa.array(np.arange(len(texts) + 1) * n, pa.int32())
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, np.concatenate(found).ravel()), pa.array(letters, pa.bool_())], ["ll", "letters"])
 
     null = F.lit(None).cast("string")
     host_of = lower_ascii(F.col(f"`{host}`")) if host else null

@@ -41,12 +41,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bloom import bloom_filter, passing
-from .common import LOWER, UPPER, chunks, stored, table
+from .common import LOWER, UPPER, chunks, give_back, stored, table
 from .components import connected_components
 from .tokens import distinct, shingle_lists
 
 CELLS, BLOCKS, FAN_IN, RANGES = 1 << 22, 16, 32, 128
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def _sets(texts: list[str | None], size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -84,6 +84,7 @@ def members_and_counts(docs: DataFrame, size: int) -> DataFrame:
                 rows.append((ids[i], set_class(own), len(own), range_sizes(own)))
             out = pd.DataFrame(rows, columns=["doc_id", "class", "n", "ranges"])
             yield out.assign(part=None, block=None, cells=None)
+            give_back()
         counts = pd.DataFrame({"part": part, "block": np.arange(BLOCKS), "cells": [zlib.compress(x.tobytes(), 1) for x in np.split(cells, BLOCKS)]})
         yield counts.assign(doc_id=None, **{"class": None}, n=None, ranges=None)[["doc_id", "class", "n", "ranges", "part", "block", "cells"]]
 
@@ -130,6 +131,7 @@ def postings(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
                     grams, kinds, spots, held = [], [], [], 0
             if held:
                 yield pd.DataFrame({"gram": np.concatenate(grams), "class": np.concatenate(kinds), "spot": np.concatenate(spots)})
+            give_back()
 
     return docs.mapInPandas(of, "gram long, class long, spot long")
 
@@ -161,6 +163,7 @@ def whole_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, size: in
                 for lo in range(0, len(own), 500):
                     part = own[lo : lo + 500]
                     yield pd.DataFrame({"class": [set_class(g) for g in part], "grams": [g.view(np.int64) for g in part]})
+            give_back()
 
     return docs.mapInPandas(of, "class long, grams array<long>")
 

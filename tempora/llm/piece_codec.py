@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, mixed, table
+from .common import chunks, give_back, mixed, table
 
 BLANK = 0x2581
-CHUNK_CHARS, BLOCK_CELLS = 2_000_000, 1_000_000
+CHUNK_CHARS, BLOCK_CELLS = 1_000_000, 500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -235,6 +235,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "
                 if exact:
                     columns.append(pa.array([None if t is None else decode_ids(flat[at[i] : at[i + 1]], v.value) == t for i, t in enumerate(texts)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, ids, *([exact] if exact else [])])
+            give_back()
 
     added = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(exact, T.BooleanType())] if exact else [])]
     return rows.mapInArrow(of, T.StructType([*rows.schema.fields, *added]))
