@@ -114,3 +114,38 @@ def progress_plan(weights: DataFrame) -> DataFrame:
     before = whole.orderBy("position", "weight").rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("weight").over(whole)
     return weights.where("weight > 0").select("plan", "stage", (F.coalesce(F.sum("weight").over(before), F.lit(0.0)) / total).alias("start"), (F.col("weight") / total).alias("span"))
+
+
+def replace_transcript(old: DataFrame, new: DataFrame, retired: int = 1_000_000) -> DataFrame:
+    """``new`` in place of ``old`` by (track, id), with ``stable``. A cue that was translated keeps its source and translation and takes
+    the new times and speaker; new ordinals run from 0; cues that are gone stay, unstable, ``retired`` further back."""
+    values = ["start_ms", "end_ms", "speaker", "source", "translated"]
+    place = F.row_number().over(Window.partitionBy("track_id").orderBy("ordinal")) - 1
+    incoming = new.select(*KEY, F.lit(True).alias("given"), place.cast("bigint").alias("place"), *[F.col(c).alias(f"n_{c}") for c in values])
+    given, kept = F.coalesce("given", F.lit(False)), F.col("translated").isNotNull()
+    timed = [F.when(given, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in values[:3]]
+    texts = [F.when(given & ~kept, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in values[3:]]
+    return old.join(incoming, KEY, "full_outer").select(*KEY, F.coalesce("place", F.col("ordinal") + retired).alias("ordinal"), *timed, *texts, given.alias("stable"))
+
+
+def overwrite_words(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Words by (track, ordinal): those of ``new`` where it has the ordinal, else those of ``old``."""
+    return new.unionByName(old.join(new, ["track_id", "ordinal"], "left_anti"))
+
+
+def fill_actor_styles(events: DataFrame, default: str = "Default") -> DataFrame:
+    """An actor's first style other than the default, in the order of the track, replaces the default in that actor's events."""
+    own = events.where((F.col("style") != default) & (F.col("speaker") != "")).groupBy("track_id", "speaker").agg(F.min_by("style", "ordinal").alias("own_style"))
+    style = F.when(F.col("style") == default, F.coalesce("own_style", "style")).otherwise(F.col("style"))
+    return events.join(own, ["track_id", "speaker"], "left").withColumn("style", style).select(*events.columns)
+
+
+def document_drift(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(track_id, kind, position) of tracks whose two documents differ: in their number of events (position null), else in the
+    time or name of an event, the first one's position."""
+    place = F.row_number().over(Window.partitionBy("track_id").orderBy("ordinal")) - 1
+    event = lambda df, name: df.select("track_id", place.cast("bigint").alias("position"), F.struct("start_ms", "end_ms", F.coalesce("speaker", F.lit("")).alias("name")).alias(name))
+    both = event(left, "a").join(event(right, "b"), ["track_id", "position"], "full_outer")
+    found = both.groupBy("track_id").agg(F.count("a").alias("n"), F.count("b").alias("m"), F.min(F.when(~F.col("a").eqNullSafe(F.col("b")), F.col("position"))).alias("first"))
+    same = F.col("n") == F.col("m")
+    return found.where(F.col("first").isNotNull()).select("track_id", F.when(same, "event").otherwise("count").alias("kind"), F.when(same, F.col("first")).alias("position"))

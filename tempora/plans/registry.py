@@ -48,6 +48,21 @@ def _changes(spark, d):
     return c.where("id % 7 = 0").withColumn("id", F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.col("id") + 10_000_000)).withColumn("end_ms", F.col("end_ms") + 1).withColumn("translated", F.when(F.col("id") % 4 == 0, F.lit("new")))
 
 
+def _final(spark, d):
+    """A second transcript of the tracks: some cues are gone, the others end later and have another source."""
+    return fx.cues(spark, d).where("id % 5 <> 0").withColumns({"end_ms": F.col("end_ms") + 7, "source": F.lit("new"), "translated": F.lit(None).cast("string")})
+
+
+def _styled(spark, d):
+    return fx.cues(spark, d).select("track_id", "id", "ordinal", "speaker", F.when(F.col("id") % 5 == 0, F.concat(F.lit("s"), (F.col("id") % 3).cast("string"))).otherwise("Default").alias("style"))
+
+
+def _other(spark, d):
+    """The tracks once more: some without a few cues, some with moved ones."""
+    c = fx.cues(spark, d).where("track_id % 4 <> 0 OR id % 31 <> 0")
+    return c.withColumn("start_ms", F.when((F.col("track_id") % 4 == 1) & (F.col("id") % 97 == 0), F.col("start_ms") + 1).otherwise(F.col("start_ms")))
+
+
 COLUMNS = ["track_id", "id", "ordinal", "start_ms", "end_ms"]
 
 #: name: (query, SQL)
@@ -147,6 +162,32 @@ SELECT track_id, min(window_idx) AS first, max(window_idx) AS last FROM loud GRO
 top AS (SELECT track_id, max(ordinal) + 1 AS nx FROM cues GROUP BY 1)
 SELECT coalesce(c.track_id, n.track_id) AS track_id, coalesce(c.id, n.id) AS id, coalesce(c.ordinal, nx + n.ordinal) AS ordinal, coalesce(n.start_ms, c.start_ms) AS start_ms, coalesce(n.end_ms, c.end_ms) AS end_ms, coalesce(n.translated, c.translated) AS translated
 FROM cues c FULL JOIN ch n ON c.track_id = n.track_id AND c.id = n.id LEFT JOIN top ON top.track_id = coalesce(c.track_id, n.track_id)""",
+    ),
+    "replace_transcript": (
+        lambda s, d: jr.replace_transcript(fx.cues(s, d), _final(s, d)),
+        f"""WITH {CUES}, n AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY ordinal) - 1 AS place FROM cues WHERE id % 5 <> 0)
+SELECT c.track_id, c.id, coalesce(place, c.ordinal + 1000000) AS ordinal, c.start_ms, CASE WHEN n.id IS NULL THEN c.end_ms ELSE c.end_ms + 7 END AS end_ms, c.speaker,
+  CASE WHEN n.id IS NOT NULL AND c.translated IS NULL THEN 'new' ELSE c.source END AS source, c.translated, n.id IS NOT NULL AS stable FROM cues c LEFT JOIN n ON c.track_id = n.track_id AND c.id = n.id""",
+    ),
+    "overwrite_words": (
+        lambda s, d: jr.overwrite_words(fx.words(s, d), fx.words(s, d).where("ordinal % 6 = 0").withColumn("text", F.concat("text", F.lit("!")))).select("track_id", "ordinal", "text"),
+        f"WITH {WORDS} SELECT track_id, ordinal, CASE WHEN ordinal % 6 = 0 THEN text || '!' ELSE text END AS text FROM words",
+    ),
+    "fill_actor_styles": (
+        lambda s, d: jr.fill_actor_styles(_styled(s, d)).select("track_id", "id", "style"),
+        f"""WITH {CUES}, e AS (SELECT *, CASE WHEN id % 5 = 0 THEN 's' || CAST(id % 3 AS VARCHAR) ELSE 'Default' END AS style FROM cues),
+own AS (SELECT track_id, speaker, arg_min(style, ordinal) AS own_style FROM e WHERE style <> 'Default' AND speaker <> '' GROUP BY 1, 2)
+SELECT e.track_id, e.id, CASE WHEN style = 'Default' THEN coalesce(own_style, style) ELSE style END AS style FROM e LEFT JOIN own ON e.track_id = own.track_id AND e.speaker = own.speaker""",
+    ),
+    "document_drift": (
+        lambda s, d: jr.document_drift(fx.cues(s, d), _other(s, d)),
+        f"""WITH {CUES}, a AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY ordinal) - 1 AS position, start_ms, end_ms, coalesce(speaker, '') AS name FROM cues),
+b AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY ordinal) - 1 AS position, CASE WHEN track_id % 4 = 1 AND id % 97 = 0 THEN start_ms + 1 ELSE start_ms END AS start_ms, end_ms, coalesce(speaker, '') AS name
+  FROM cues WHERE track_id % 4 <> 0 OR id % 31 <> 0),
+f AS (SELECT coalesce(a.track_id, b.track_id) AS track_id, count(a.position) AS n, count(b.position) AS m,
+  min(CASE WHEN a.position IS NULL OR b.position IS NULL OR (a.start_ms, a.end_ms, a.name) <> (b.start_ms, b.end_ms, b.name) THEN coalesce(a.position, b.position) END) AS first
+  FROM a FULL JOIN b ON a.track_id = b.track_id AND a.position = b.position GROUP BY 1)
+SELECT track_id, CASE WHEN n = m THEN 'event' ELSE 'count' END AS kind, CASE WHEN n = m THEN first END AS position FROM f WHERE first IS NOT NULL""",
     ),
     "latest_state": (
         lambda s, d: jr.latest_by_key(fx.trace(s, d).select("operation_id", "created_us", "event_id", "state"), ["operation_id"], ["created_us", "event_id"]),
