@@ -144,3 +144,35 @@ def align_to_speech(cues: DataFrame, spans: DataFrame) -> DataFrame:
     started = rows.withColumn("confidence", confidence).withColumn("start_ms", start).select(*cues.columns, "confidence", "frozen")
     ended = started.join(refined_ends(started, spans), key, "left")
     return ended.withColumn("end_ms", F.when(F.col("frozen"), F.col("end_ms")).otherwise(F.coalesce("refined_ms", "end_ms"))).drop("refined_ms", "frozen")
+
+
+def onset_starts(cues: DataFrame, levels: DataFrame, step_ms: int = 20, lookback: int = 20, pre_roll_ms: int = 60, least_ms: int = 5) -> DataFrame:
+    """Cues whose start moves to the first sound inside them, ``pre_roll_ms`` before it.
+
+    The noise is the nearest-rank 0.2 quantile of the track, or that of the ``lookback`` windows before the cue if louder, up to
+    1.5 times the track's plus 3. Sound is a strong window with two weak ones among three, or four weak windows in a row. Crosstalk cues stay.
+    """
+    track = Window.partitionBy("track_id")
+    ranked = levels.withColumn("rank", F.row_number().over(track.orderBy("level", "window_idx"))).withColumn("n", F.count("*").over(track))
+    at = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.2)) + 1
+    floors = ranked.groupBy("track_id").agg(F.max(F.when(F.col("rank") == at, F.col("level"))).alias("whole"), F.max("level").alias("top")).where("top > 0")
+    key = ["track_id", "id"]
+    lo, hi = F.greatest(F.lit(0), F.floor(F.col("start_ms") / step_ms)), F.ceil(F.col("end_ms") / step_ms)
+    free = cues.join(crosstalk_ids(cues), key, "left_anti").select(*key, F.col("start_ms").alias("at_ms"), lo.alias("lo"), hi.alias("hi")).where("hi > lo")
+    heard = free.withColumn("window_idx", F.explode(F.sequence(F.greatest(F.lit(0), F.col("lo") - lookback), F.col("hi") - 1))).join(levels, ["track_id", "window_idx"])
+    inside = F.col("window_idx") >= F.col("lo")
+    before = F.array_sort(F.collect_list(F.when(~inside, F.col("level"))))
+    own = heard.groupBy(*key).agg(before.alias("before"), F.max(F.when(inside, F.col("level"))).alias("peak")).join(floors, "track_id")
+    local = F.coalesce(F.try_element_at("before", F.greatest(F.lit(1), F.least(F.size("before") - 1, F.floor(F.size("before") * 0.2)) + 1).cast("int")), F.col("whole"))
+    noise = F.greatest(F.col("whole"), F.least(local, F.col("whole") * 1.5 + 3))
+    limits = own.where("peak IS NOT NULL").withColumn("noise", noise).select(
+        *key, F.greatest(F.col("noise") * 1.3, F.col("peak") * 0.0005, F.lit(4.0)).alias("weak"), F.greatest(F.col("noise") * 2.0, F.col("peak") * 0.003, F.lit(8.0)).alias("strong")
+    )
+    order = Window.partitionBy(*key).orderBy("window_idx")
+    rows = heard.where(inside).join(limits, key).withColumn("over", (F.col("level") > F.col("weak")).cast("int"))
+    loud = (F.col("level") > F.col("strong")) & (F.sum("over").over(order.rowsBetween(0, 2)) >= 2)
+    long = F.sum("over").over(order.rowsBetween(-3, 0)) == 4
+    hits = rows.withColumn("loud", loud).withColumn("long", long).where("loud OR long").withColumn("onset", F.col("window_idx") - F.when(F.col("loud"), 0).otherwise(3))
+    first = hits.groupBy(*key, "at_ms").agg(F.min_by("onset", "window_idx").alias("onset"))
+    moved = first.select(*key, (F.greatest("at_ms", F.col("onset") * step_ms) - pre_roll_ms).alias("refined_ms"), "at_ms").where(F.col("refined_ms") > F.col("at_ms") + least_ms)
+    return cues.join(moved.drop("at_ms"), key, "left").withColumn("start_ms", F.coalesce("refined_ms", "start_ms").cast("bigint")).drop("refined_ms")

@@ -149,3 +149,72 @@ def document_drift(left: DataFrame, right: DataFrame) -> DataFrame:
     found = both.groupBy("track_id").agg(F.count("a").alias("n"), F.count("b").alias("m"), F.min(F.when(~F.col("a").eqNullSafe(F.col("b")), F.col("position"))).alias("first"))
     same = F.col("n") == F.col("m")
     return found.where(F.col("first").isNotNull()).select("track_id", F.when(same, "event").otherwise("count").alias("kind"), F.when(same, F.col("first")).alias("position"))
+
+
+def discard_provisional(cues: DataFrame) -> DataFrame:
+    """The cues as unstable ones without translations."""
+    return cues.withColumns({"translated": F.lit(None).cast("string"), "stable": F.lit(False)})
+
+
+def rename_cues(cues: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Cues with the ids of ``mapping`` (track_id, id, new_id); others keep theirs."""
+    return cues.join(mapping.select(*KEY, "new_id"), KEY, "left").withColumn("id", F.coalesce("new_id", "id")).select(*cues.columns)
+
+
+def delete_cues(cues: DataFrame, ids: DataFrame) -> DataFrame:
+    return cues.join(ids.select(*KEY), KEY, "left_anti")
+
+
+def batch_journal(attempts: DataFrame) -> DataFrame:
+    """(batch_id, status, response, error, started_us, finished_us, n_attempts) of appended rows (batch_id, at_us, seq, status, response,
+    error): the last status of a batch, the last response and error that were given, and its end once it no longer runs."""
+    order = F.struct("at_us", "seq")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
+    runs = F.count_if(F.col("status") == "running").alias("n_attempts")
+    folded = attempts.groupBy("batch_id").agg(F.max_by("status", order).alias("status"), last("response"), last("error"), F.min("at_us").alias("started_us"), F.max("at_us").alias("seen_us"), runs)
+    return folded.select("batch_id", "status", "response", "error", "started_us", F.when(F.col("status") != "running", F.col("seen_us")).alias("finished_us"), "n_attempts")
+
+
+def add_rows(old: DataFrame, new: DataFrame, key: list[str], number: str | None = None, order: list[str] | None = None) -> DataFrame:
+    """Rows of ``new`` beside those of ``old`` by key. Without ``number``, keys that exist keep their row; with it, the new row replaces the old one,
+    the last by ``order`` of equal new keys counts, and new rows are numbered after the largest ``number`` of their track."""
+    if number is None:
+        return old.unionByName(new.join(old, key, "left_anti"))
+    fresh = latest_by_key(new, key, order or key)
+    top = old.groupBy("track_id").agg(F.max(number).alias("__top"))
+    place = F.row_number().over(Window.partitionBy("track_id").orderBy(*(order or key)))
+    numbered = fresh.withColumn("__place", place).join(top, "track_id", "left").withColumn(number, F.coalesce("__top", F.lit(0)) + F.col("__place"))
+    return old.join(new, key, "left_anti").unionByName(numbered.select(*old.columns))
+
+
+def word_reply_problems(items: DataFrame, words: DataFrame, max_ms: int = 8_000, max_weight: int = 84) -> DataFrame:
+    """(track_id, position, ordinal, kind): what is wrong with items (track_id, position, first, last, source, translated) over a track's words.
+
+    Of an item: outside (it names words that don't exist), inverted, two_speakers; else no_source, no_translation, too_long, and too_wide_source
+    or too_wide_translation. A limit counts only with half of the other measure. Of a word: doubled (claimed by two items of its speaker), uncovered
+    (its speaker has claims), and for speakers without any, silent at their first word. Items that are outside, inverted or of two speakers claim nothing.
+    """
+    from ..functions.text import text_weight
+
+    ends = lambda side: words.select("track_id", F.col("ordinal").alias(side), F.coalesce("speaker", F.lit("")).alias(f"{side}_by"))
+    placed = items.join(ends("first"), ["track_id", "first"], "left").join(ends("last"), ["track_id", "last"], "left")
+    broken = F.when(F.col("first_by").isNull() | F.col("last_by").isNull(), "outside").when(F.col("last") < F.col("first"), "inverted").when(F.col("first_by") != F.col("last_by"), "two_speakers")
+    judged = placed.withColumn("broken", broken)
+    sound = judged.where("broken IS NULL").withColumn("by", F.col("first_by"))
+    own = words.withColumn("by", F.coalesce("speaker", F.lit("")))
+    claims = sound.select("track_id", "by", "position", F.explode(F.sequence("first", "last")).alias("ordinal")).join(own.select("track_id", "by", "ordinal", "start_ms", "end_ms"), ["track_id", "by", "ordinal"])
+    times = claims.groupBy("track_id", "position").agg(F.min_by("start_ms", "ordinal").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    source, translated = F.coalesce(F.trim("source"), F.lit("")), F.coalesce(F.trim("translated"), F.lit(""))
+    rows = sound.join(times, ["track_id", "position"]).select("track_id", "position", F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms")).alias("ms"), text_weight(source).alias("ws"), text_weight(translated).alias("wt"))
+    wide = lambda w: (F.col(w) > max_weight) & (2 * F.col("ms") >= max_ms)
+    kinds = F.array(
+        F.when(F.col("ws") == 0, "no_source"), F.when(F.col("wt") == 0, "no_translation"), F.when((F.col("ms") > max_ms) & (2 * F.greatest("ws", "wt") >= max_weight), "too_long"),
+        F.when(wide("ws"), "too_wide_source"), F.when(wide("wt"), "too_wide_translation"),
+    )
+    none = F.lit(None).cast("bigint")
+    of_items = judged.where("broken IS NOT NULL").select("track_id", "position", none.alias("ordinal"), F.col("broken").alias("kind")).unionAll(rows.select("track_id", "position", none, F.explode(F.array_compact(kinds))))
+    counts = own.join(claims.groupBy("track_id", "ordinal").agg(F.count("*").alias("n")), ["track_id", "ordinal"], "left")
+    seen = counts.withColumn("heard", F.count("n").over(Window.partitionBy("track_id", "by"))).withColumn("place", F.row_number().over(Window.partitionBy("track_id", "by").orderBy("ordinal")))
+    kind = F.when(F.col("n") > 1, "doubled").when(F.col("n").isNull() & (F.col("heard") > 0), "uncovered").when((F.col("heard") == 0) & (F.col("place") == 1), "silent")
+    of_words = seen.select("track_id", none.alias("position"), "ordinal", kind.alias("kind")).where("kind IS NOT NULL")
+    return of_items.unionAll(of_words)

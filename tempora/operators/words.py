@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ends_sentence, text_weight
+from ..functions.text import ends_sentence, overlap_key, text_weight
+
 
 def track():
     return Window.partitionBy("track_id")
@@ -138,3 +139,125 @@ def junctions(words: DataFrame, cues: DataFrame, silence_ms: int = 800) -> DataF
     following = [F.lead(c).over(order).alias(f"next_{c}") for c in ("ordinal", "cue", "speaker", "start_ms")]
     pairs = owned.select("track_id", "ordinal", "cue", "speaker", "end_ms", *following).where("next_ordinal = ordinal + 1 AND next_cue <> cue AND next_speaker = speaker")
     return pairs.where(F.col("next_start_ms") - F.col("end_ms") < silence_ms).select("track_id", "ordinal")
+
+
+def overlap_merge(existing: DataFrame, incoming: DataFrame, within_ms: int = 2_500) -> DataFrame:
+    """(track_id, ordinal, start_ms, end_ms, source) of the incoming cues that are kept.
+
+    In the order of their ordinals, an incoming cue goes if a cue of the same text that exists or was kept starts within ``within_ms``.
+    Only starts that near each other decide, so the starts of a text are cut where neighbours lie further apart; each such stretch is
+    folded on its own, over sorted rows.
+    """
+    key = F.coalesce(overlap_key(F.col("source")), F.lit("")).alias("text_key")
+    columns = ["track_id", "ordinal", "start_ms", "end_ms", "source"]
+    both = existing.select(*columns, key, F.lit(False).alias("new")).unionByName(incoming.select(*columns, key, F.lit(True).alias("new")))
+    by_text = Window.partitionBy("track_id", "text_key").orderBy("start_ms", "new", "ordinal")
+    far = F.col("start_ms") - F.lag("start_ms").over(by_text) > within_ms
+    runs = both.withColumn("far", F.coalesce(far, F.lit(False)).cast("int")).withColumn("run", F.sum("far").over(by_text.rowsBetween(Window.unboundedPreceding, 0)))
+
+    stretch = ["track_id", "text_key", "run"]
+    ordered = runs.select(*columns, "text_key", "new", "run").repartition(*stretch).sortWithinPartitions(*stretch, "new", "ordinal", "start_ms")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, cells = None, {}
+        for batch in batches:
+            keep = []
+            for key, start, new in zip(zip(*[batch[c] for c in stretch], strict=True), batch["start_ms"], batch["new"], strict=True):
+                if key != at:
+                    at, cells = key, {}
+                cell = start // (within_ms + 1)
+                near = any(abs(s - start) <= within_ms for c in (cell - 1, cell, cell + 1) for s in cells.get(c, ()))
+                if not new or not near:
+                    cells.setdefault(cell, []).append(start)
+                keep.append(bool(new) and not near)
+            yield batch.loc[keep, columns]
+
+    return ordered.mapInPandas(fold, "track_id long, ordinal long, start_ms long, end_ms long, source string")
+
+
+def repair_squeezed_words(words: DataFrame, least_ms: int = 50, longest_ms: int = 5_000, duration_ms: int | None = None) -> DataFrame:
+    """Words with new times where a change of speaker squeezed them.
+
+    At every change, the interrupted speaker's own last words that are shorter than ``least_ms`` are spread over the time their text takes at
+    that speaker's rate: at most ``longest_ms``, not beyond the speaker's next word or the duration, and only if that makes them longer. A repair changes
+    what a later one sees, so a track is one sequence; its rates are computed before, by grouping.
+    """
+    rated = _rated(words, least_ms)
+    schema = "track_id long, ordinal long, speaker string, text string, start_ms long, end_ms long"
+
+    def repair(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("ordinal").reset_index(drop=True)
+        start, end = g["start_ms"].tolist(), g["end_ms"].tolist()
+        by, weight, pace = g["speaker"].tolist(), g["weight"].tolist(), g["pace"].tolist()
+        places: dict[object, list[int]] = {}
+        for i, who in enumerate(by):
+            places.setdefault(who, []).append(i)
+        rank = {i: k for own in places.values() for k, i in enumerate(own)}
+        for i in range(len(by) - 1):
+            if by[i] is None or by[i + 1] == by[i]:
+                continue
+            own, last = places[by[i]], rank[i]
+            first = last + 1
+            while first > 0 and end[own[first - 1]] - start[own[first - 1]] < least_ms:
+                first -= 1
+            run = own[first : last + 1]
+            if not run:
+                continue
+            total, begin = sum(weight[j] for j in run), start[run[0]]
+            until = min(begin + total * pace[i], begin + longest_ms)
+            until = min([until, *([start[own[last + 1]]] if last + 1 < len(own) else []), *([duration_ms] if duration_ms is not None else [])])
+            if until <= max(begin, end[run[-1]]):
+                continue
+            done = 0
+            for j in run:
+                start[j] = round(begin + (until - begin) * done / total)
+                done += weight[j]
+                end[j] = round(begin + (until - begin) * done / total)
+        return g.assign(start_ms=start, end_ms=end)[["track_id", "ordinal", "speaker", "text", "start_ms", "end_ms"]]
+
+    return rated.groupBy("track_id").applyInPandas(repair, schema)
+
+
+def _rated(words: DataFrame, least_ms: int) -> DataFrame:
+    rates = speech_rates(words, least_ms).select("track_id", F.coalesce("speaker", F.lit("")).alias("by"), F.col("rate").alias("pace"))
+    keyed = words.withColumn("by", F.coalesce("speaker", F.lit(""))).withColumn("weight", F.greatest(F.lit(1), text_weight(F.trim("text"))))
+    return keyed.join(rates, ["track_id", "by"]).select("track_id", "ordinal", "speaker", "text", "start_ms", "end_ms", "weight", "pace")
+
+
+def word_context(batches: DataFrame, words: DataFrame, cues: DataFrame, before: int = 10, after: int = 40) -> DataFrame:
+    """(track_id, batch_no, preceding, following): ids of the last cues that start before a batch of words, and the ordinals of the next words.
+
+    Cues are numbered in time order; a running count finds how many start before each batch, so both sides are equi-joins.
+    """
+    starts = batches.join(words.select("track_id", F.col("ordinal").alias("first"), "start_ms"), ["track_id", "first"])
+    ranked = cues.select("track_id", "start_ms", "id", F.row_number().over(track().orderBy("start_ms", "end_ms", "id")).cast("bigint").alias("place"))
+    marks = starts.select("track_id", "start_ms", F.lit(0).alias("is_cue"), "batch_no").unionAll(ranked.select("track_id", "start_ms", F.lit(1), F.lit(None).cast("int")))
+    count = F.sum("is_cue").over(track().orderBy("start_ms", "is_cue").rowsBetween(Window.unboundedPreceding, 0))
+    known = marks.withColumn("n", count).where("is_cue = 0")
+    wanted = known.where("n > 0").select("track_id", "batch_no", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - before + 1), F.col("n"))).alias("place"))
+    ids = wanted.join(ranked.select("track_id", "place", "id"), ["track_id", "place"]).groupBy("track_id", "batch_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x.id).alias("preceding"))
+    coming = batches.select("track_id", "batch_no", F.explode(F.sequence(F.col("last") + 1, F.col("last") + after)).alias("ordinal"))
+    following = coming.join(words.select("track_id", "ordinal"), ["track_id", "ordinal"]).groupBy("track_id", "batch_no").agg(F.array_sort(F.collect_list("ordinal")).alias("following"))
+    return batches.select("track_id", "batch_no").join(ids, ["track_id", "batch_no"], "left").join(following, ["track_id", "batch_no"], "left")
+
+
+def settled_prefix(words: DataFrame, cues: DataFrame, pending: DataFrame, complete: bool = True) -> DataFrame:
+    """(track_id, id, final_id): cues (track_id, id, first, last, start_ms, end_ms, speaker) whose place in their timeline can't change any more.
+
+    Words from the first cue on that touches a pending joint (track_id, ordinal), or the first word without a cue, may still change; cues settle
+    in time order while they end before those words and start before all of them.
+    """
+    owner = cues.select("track_id", "first", F.explode(F.sequence("first", "last")).alias("ordinal"))
+    total = words.groupBy("track_id").agg(F.max("ordinal").alias("top"))
+    gap = words.select("track_id", "ordinal").join(owner, ["track_id", "ordinal"], "left_anti").groupBy("track_id").agg(F.min("ordinal").alias("gap"))
+    ends = total.join(gap, "track_id", "left")
+    cut = F.when(F.col("gap").isNotNull(), F.col("gap") - 1) if complete else F.coalesce(F.col("gap") - 1, F.col("top"))
+    barriers = ends.select("track_id", cut.alias("ordinal")).where("ordinal >= 0").unionByName(pending.select("track_id", "ordinal"))
+    mutable = barriers.join(owner, ["track_id", "ordinal"]).groupBy("track_id").agg(F.min("first").alias("mutable"))
+    limits = ends.where("gap IS NULL OR gap > 0").join(mutable, "track_id", "left").select("track_id", F.coalesce("mutable", F.col("top") + 1).alias("mutable"))
+    frontier = words.join(limits, "track_id").where("ordinal >= mutable").groupBy("track_id").agg(F.min("start_ms").alias("frontier"))
+    placed = cues.join(limits, "track_id").join(frontier, "track_id", "left")
+    order = track().orderBy("start_ms", "end_ms", F.coalesce("speaker", F.lit("")), "first")
+    stays = (F.col("last") < F.col("mutable")) & (F.col("frontier").isNull() | (F.col("start_ms") < F.col("frontier")))
+    walked = placed.withColumn("final_id", F.row_number().over(order).cast("bigint")).withColumn("open", F.max((~stays).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return walked.where("open = 0").select("track_id", "id", "final_id")

@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..operators import intervals as iv
 from ..operators import journal as jr
 from ..operators import words as wd
+from . import records, timelines
 
 CUES, SPANS, WORDS, LEVELS, TRACE, REPLIES = fx.CUES_SQL, fx.SPANS_SQL, fx.WORDS_SQL, fx.LEVELS_SQL, fx.TRACE_SQL, fx.REPLIES_SQL
 CROSS = """cross_ids AS (SELECT DISTINCT a.track_id, a.id FROM cues a JOIN cues b ON a.track_id = b.track_id AND a.speaker <> b.speaker
@@ -236,9 +237,12 @@ SELECT plan, stage, round(coalesce(sum(weight) OVER (PARTITION BY plan ORDER BY
 }
 
 
+ALL = {**QUERIES, **records.QUERIES, **timelines.QUERIES}
+
+
 def queries():
-    return {name: q for name, (q, _) in QUERIES.items()}
+    return {name: q for name, (q, _) in ALL.items()}
 
 
 def oracle_sql():
-    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
