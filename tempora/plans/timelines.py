@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
+from ..operators import backends as bk
 from ..operators import intervals as iv
 from ..operators import journal as jr
+from ..operators import publish as pb
 from ..operators import words as wd
 from ..streaming import feeds as fd
 
@@ -60,6 +64,37 @@ def _feed(spark, d):
     return fx.words(spark, d).select("track_id", F.col("ordinal").alias("seq"), "start_ms", "text")
 
 
+def _echo(payload, error):
+    """Stands for a service: its reply repeats each source."""
+    return json.dumps({"cues": [{"id": c["id"], "source": c["source"], "translated": "t:" + c["source"]} for c in json.loads(payload)]})
+
+
+def _published(spark, d):
+    c = fx.cues(spark, d)
+    frames = c.select("track_id").distinct().select("track_id", (F.col("track_id") % 3 * 640 + 640).cast("int").alias("width"), F.lit(720).alias("height"))
+    return pb.publish_documents(c, frames, ["all"], "en", "xx"), frames
+
+
+def _reviewed(spark, d):
+    """The published files, in some tracks damaged: a comma lost, all events gone, a time moved in one mode."""
+    own, _ = _published(spark, d)
+    kind = F.col("track_id") % 7
+    one = F.col("mode") == "translated"
+    text = (
+        F.when((kind == 1) & one, F.regexp_replace("document", "(?m)^(Dialogue: 0),", "$1")).when((kind == 2) & one, F.regexp_replace("document", "(?m)^Dialogue:.*$", ""))
+        .when((kind == 3) & one, F.regexp_replace("document", r"(?m)^Dialogue: 0,0:", "Dialogue: 0,1:")).otherwise(F.col("document"))
+    )
+    return own, own.withColumn("document", text)
+
+
+def _canonical(spark, d):
+    """Which files a rewrite would change: those of one mode of every second track have lost the header's first line."""
+    own, frames = _published(spark, d)
+    docs = own.where("mode = 'bilingual'").withColumn("document", F.when(F.col("track_id") % 2 == 0, F.regexp_replace("document", r"^\[Script Info\]\n", "")).otherwise(F.col("document")))
+    whole = own.where("mode = 'bilingual'").select("track_id", F.col("document").alias("whole"))
+    return pb.canonical_documents(docs.drop("mode", "file"), frames).join(whole, "track_id").select("track_id", F.col("canonical").isNull().alias("unchanged"), F.col("canonical").eqNullSafe(F.col("whole")).alias("restored"))
+
+
 QUERIES = {
     "onset_refine": (
         lambda s, d: iv.onset_starts(_level_cues(s, d), fx.levels(s, d)).select("track_id", "id", "start_ms"),
@@ -136,4 +171,16 @@ SELECT k.track_id, chunk_no, greatest(0, chunk_no * 15000 - 5000) AS from_ms, (c
         lambda s, d: fd.changed_tracks(fx.cues(s, d), fx.cues(s, d).withColumn("source", F.when(F.col("id") % 997 == 0, "x").otherwise(F.col("source")))),
         f"WITH {CUES} SELECT DISTINCT track_id FROM cues WHERE id % 997 = 0",
     ),
+    "translate_missing": (
+        lambda s, d: bk.translate_missing(fx.cues(s, d), _echo).select("track_id", "id", "translated"),
+        f"WITH {CUES} SELECT track_id, id, coalesce(translated, 't:' || source) AS translated FROM cues",
+    ),
+    "align_timeline": (lambda s, d: bk.align_timeline(fx.cues(s, d), fx.spans(s, d), None, 870_000).select("track_id", "id", "parent_id", "start_ms", "end_ms"), None),
+    "publish_documents": (
+        lambda s, d: _published(s, d)[0].select("track_id", "mode", "file", (F.size(F.split("document", "Dialogue:")) - 1).cast("bigint").alias("n")),
+        f"""WITH {CUES}, m AS (SELECT unnest(['source', 'translated', 'bilingual']) AS mode, unnest(['.source.ass', '.translated.ass', '.en-xx.ass']) AS suffix)
+SELECT track_id, mode, CAST(track_id AS VARCHAR) || suffix AS file, count(*) AS n FROM cues CROSS JOIN m GROUP BY track_id, mode, suffix""",
+    ),
+    "canonical_documents": (_canonical, f"WITH {CUES} SELECT DISTINCT track_id, track_id % 2 <> 0 AS unchanged, track_id % 2 = 0 AS restored FROM cues"),
+    "publish_gate": (lambda s, d: pb.publish_gate(*_reviewed(s, d)), None),
 }
