@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..operators import backends as bk
 from ..operators import intervals as iv
 from ..operators import journal as jr
+from ..operators import progress as pg
 from ..operators import publish as pb
 from ..operators import words as wd
 from ..streaming import feeds as fd
@@ -95,6 +97,18 @@ def _canonical(spark, d):
     return pb.canonical_documents(docs.drop("mode", "file"), frames).join(whole, "track_id").select("track_id", F.col("canonical").isNull().alias("unchanged"), F.col("canonical").eqNullSafe(F.col("whole")).alias("restored"))
 
 
+def _progress(spark, d):
+    """Progress of users' plans: their events in the order of time, stage by event type, fractions by value."""
+    e = fx.read(spark, d, "events")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return e.select(F.col("user_id").alias("plan"), seq.cast("bigint").alias("seq"), F.col("event_type").alias("stage"), F.least(F.lit(1.2), F.col("value") / 40).alias("fraction"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("at_s"))
+
+
+def _stages(spark, d):
+    stages = F.explode(F.array(*[F.struct(F.lit(n).alias("stage"), F.lit(a).alias("start"), F.lit(b).alias("span")) for n, a, b in (("signup", 0.0, 0.25), ("click", 0.25, 0.25), ("view", 0.5, 0.25), ("purchase", 0.75, 0.25))]))
+    return fx.read(spark, d, "events").select(F.col("user_id").alias("plan")).distinct().select("plan", stages.alias("s")).select("plan", "s.*")
+
+
 QUERIES = {
     "onset_refine": (
         lambda s, d: iv.onset_starts(_level_cues(s, d), fx.levels(s, d)).select("track_id", "id", "start_ms"),
@@ -183,4 +197,10 @@ SELECT track_id, mode, CAST(track_id AS VARCHAR) || suffix AS file, count(*) AS
     ),
     "canonical_documents": (_canonical, f"WITH {CUES} SELECT DISTINCT track_id, track_id % 2 <> 0 AS unchanged, track_id % 2 = 0 AS restored FROM cues"),
     "publish_gate": (lambda s, d: pb.publish_gate(*_reviewed(s, d)), None),
+    "monotone_progress": (
+        lambda s, d: pg.monotone_progress(_progress(s, d)).select("plan", "seq", "stage", F.round("fraction", 9).alias("fraction")),
+        """WITH p AS (SELECT user_id AS plan, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type AS stage, greatest(0.0::DOUBLE, least(1.0::DOUBLE, value / 40)) AS f FROM events)
+SELECT plan, seq, stage, round(max(f) OVER (PARTITION BY plan, stage ORDER BY seq ROWS UNBOUNDED PRECEDING), 9) AS fraction FROM p""",
+    ),
+    "eta": (lambda s, d: pg.remaining_seconds(_progress(s, d), _stages(s, d)), None),
 }
