@@ -8,7 +8,9 @@ a window has a fingerprint in common with its earlier copy, and nothing shorter
 
 All places of a fingerprint are joined with its first place only, never with each other.  Each match is extended
 both ways while the lines stay equal, and the later of the two runs is deleted with the
-blank lines inside it.  "Earlier" is by (id, row, line), null ids first.  A line is deleted only
+blank lines inside it.  The first place need not be the copy that agrees for longest, so every window is keyed whole as
+well and deleted if its first place is earlier: a repeated run as long as a window goes whole, whichever document
+holds its earlier copy.  "Earlier" is by (id, row, line), null ids first.  A line is deleted only
 because the same line stands earlier, so the first copy of any line in the corpus always stays.
 
 Built from Spark expressions only: arrays of line hashes, explode, aggregation, joins on keys.  The texts
@@ -35,8 +37,9 @@ def numbered_lines(text: Column) -> Column:
     return F.transform(F.filter(lines, lambda x: x.line != ""), lambda x: F.struct(x.pos.alias("pos"), F.xxhash64(x.line).alias("h"), words(x.line).alias("w")))
 
 
-def fingerprints(gram_words: int, gram_lines: int, run_words: int, run_lines: int) -> tuple[Column, Column]:
-    """The grams (end, gram) of column ``lines``, and of column ``grams`` the selected ones (gram, back: minus the place)."""
+def fingerprints(gram_words: int, gram_lines: int, run_words: int, run_lines: int) -> tuple[Column, Column, Column]:
+    """The grams (end, gram, to: the window's end) of column ``lines``, and of column ``grams`` the selected ones (gram,
+    back: minus the place) and the whole windows (window, check, from, to: two hashes and the places)."""
     lines, grams = F.col("lines"), F.col("grams")
 
     def last_of(i: Column, words: int, most: int, w=None) -> Column:
@@ -52,26 +55,33 @@ def fingerprints(gram_words: int, gram_lines: int, run_words: int, run_lines: in
             expr = F.when(found, end) if expr is None else expr.when(found, end)
         return expr.otherwise(out)
 
+    def hashes(i: Column, end: Column) -> Column:
+        return F.transform(F.slice(lines, i + 1, end - i + 1), lambda x: x.h)
+
     def gram(i: Column) -> Column:
         end = last_of(i, gram_words, gram_lines)
-        return F.struct(end.alias("end"), F.when(end.isNotNull(), F.xxhash64(F.transform(F.slice(lines, i + 1, end - i + 1), lambda x: x.h))).alias("gram"))
+        return F.struct(end.alias("end"), F.when(end.isNotNull(), F.xxhash64(hashes(i, end))).alias("gram"), last_of(i, run_words, run_lines).alias("to"))
 
     def least_of(i: Column) -> Column:
-        end = last_of(i, run_words, run_lines)
+        end = F.get(grams, i).to
         options = [F.when(F.get(grams, i + k).end <= end, F.struct(F.get(grams, i + k).gram.alias("gram"), (-(i + k)).alias("back"))) for k in range(run_lines)]
         return F.array_min(F.array(*options))
 
+    def window(g: Column, i: Column) -> Column:
+        own = hashes(i, g.to)
+        return F.when(g.to.isNotNull(), F.struct(F.xxhash64(own).alias("window"), F.hash(own).alias("check"), F.get(lines, i).pos.alias("from"), F.get(lines, g.to).pos.alias("to")))
+
     every = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(every, gram), F.filter(F.array_distinct(F.transform(every, least_of)), lambda x: x.isNotNull())
+    return F.transform(every, gram), F.filter(F.array_distinct(F.transform(every, least_of)), lambda x: x.isNotNull()), F.filter(F.transform(grams, window), lambda x: x.isNotNull())
 
 
 def repeated_runs(docs: DataFrame, id: str, text: str, gram_words: int, gram_lines: int, run_words: int, run_lines: int) -> DataFrame:
     """(row, first, last): the lines [first, last] of the numbered rows that are to be deleted."""
     base = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).withColumn("row", F.monotonically_increasing_id())
     base = base.select("id", "row", numbered_lines(F.col("text")).alias("lines")).where(F.size("lines") > 0)
-    grams, least = fingerprints(gram_words, gram_lines, run_words, run_lines)
-    picked = base.withColumn("grams", grams).withColumn("picked", least)
-    lined = stored(picked.select("id", "row", F.transform("lines", lambda x: x.h).alias("hashes"), F.transform("lines", lambda x: x.pos).alias("places"), "picked"), "lines")
+    grams, least, windows = fingerprints(gram_words, gram_lines, run_words, run_lines)
+    picked = base.withColumn("grams", grams).withColumn("picked", least).withColumn("windows", windows)
+    lined = stored(picked.select("id", "row", F.transform("lines", lambda x: x.h).alias("hashes"), F.transform("lines", lambda x: x.pos).alias("places"), "picked", "windows"), "lines")
 
     place = lined.select("id", "row", F.inline("picked")).select("gram", F.struct("id", "row", (-F.col("back")).alias("at")).alias("place"))
     first = place.groupBy("gram").agg(F.min("place").alias("first"), F.max("place").alias("final")).where("first <> final").select("gram", "first")
@@ -89,7 +99,13 @@ def repeated_runs(docs: DataFrame, id: str, text: str, gram_words: int, gram_lin
 
     sides = hits.join(lined.select("row", "hashes", "places"), "row").join(lined.select(F.col("row").alias("first_row"), F.col("hashes").alias("first_hashes")), "first_row")
     runs = sides.select("row", "places", (at - equal_steps(behind, -1)).alias("a"), (at + equal_steps(ahead, 1) - 1).alias("z"))
-    return runs.select("row", F.get("places", F.col("a")).alias("first"), F.get("places", F.col("z")).alias("last")).distinct()
+    extended = runs.select("row", F.get("places", F.col("a")).alias("first"), F.get("places", F.col("z")).alias("last")).distinct()
+
+    # whole windows, each joined with its first place only; the second hash is compared where the first one is equal
+    window = lined.select("id", "row", F.inline("windows")).select("window", "to", F.struct("id", "row", "from", "check").alias("place"))
+    origin = window.groupBy("window").agg(F.min("place").alias("origin"), F.max("place").alias("final")).where("origin <> final").select("window", "origin")
+    again = window.join(origin, "window").where("place <> origin AND place.check = origin.check")
+    return extended.unionByName(again.select(F.col("place.row").alias("row"), F.col("place.from").alias("first"), F.col("to").alias("last")))
 
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", gram_words: int = 25, gram_lines: int = 3, run_words: int = 50, run_lines: int = 4) -> DataFrame:

@@ -86,3 +86,24 @@ def test_query_deletes_only_repeats(spark, sf_dir):
     out = {r.doc_id: r.text for r in line_dedup.query(spark, sf_dir).collect()}
     check(docs, [out[i] for i, _ in docs])
     assert any(out[i] != t for i, t in docs)
+
+
+def test_repeated_windows_go_whole_whichever_copy_is_first(spark):
+    rnd = random.Random(7)
+    line = lambda n: " ".join("".join(rnd.choices("abcdefghij", k=5)) for _ in range(n))
+    run = [line(30) for _ in range(3)]
+    texts = [f"{x}\n{line(20)}" for x in run] + ["\n".join(run)] * 2  # each line first stands alone, then the run stands twice
+    frequent, others = [line(26) for _ in range(6)], [line(n) for n in (3, 9, 20, 28) for _ in range(5)]
+    for _ in range(60):
+        texts.append("\n".join(rnd.choice(rnd.choice([frequent, others])) for _ in range(rnd.randint(1, 12))))
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    check(docs, [out[i] for i, _ in docs])
+    assert out[4] == ""
+    must = {}
+    for r, places in guaranteed(docs):
+        must.setdefault(r, set()).update(places)
+    for r, gone in must.items():
+        rest = iter(x for p, x in enumerate(texts[r].split("\n")) if p not in gone)
+        assert out[r] == "" or all(x in rest for x in out[r].split("\n")), r
