@@ -4,7 +4,7 @@ Words are lower-cased and stripped of punctuation.  A seed is a fixed mask over
 only the words at its marked positions are hashed, so a substituted word at another position
 leaves the hash equal.  Hashes of the benchmark (test) and of the documents (training) are joined,
 and around each hit the two word sequences are laid over each other and compared word by word;
-the best-scoring stretch counts as an overlap if it is long and equal enough.
+the whole overlay counts as an overlap if it is long and equal enough, else the best-scoring stretch of it if that is.
 
 Plan: one scan of the documents keeps only seeds that a Bloom filter of the benchmark's hashes lets
 through.  The filter has a fixed number of bits whatever the benchmark's size: a larger benchmark only
@@ -12,10 +12,12 @@ lets more seeds through to the join, which is exact and shuffled.  Per stretch o
 seeds, one row with its word hashes goes to a table in the shared folder; seeds of that table are
 joined with the benchmark's hashes, each (stretch, item, diagonal) once, and verified.
 
-Bounds: a passage is found if it shares at least one masked window (``MASKS`` span 11 and 12 words)
-with an item and its verified stretch has at least ``min_words`` words, or all words of a shorter item, of
-which ``min_equal`` are equal.  Items shorter than a mask are looked up whole by a mask of their own
-length; items under ``MIN_ITEM`` words take no part, as such a few words say nothing.
+Bounds: an overlay counts if it has at least ``min_words`` words, or all words of a shorter item, of which
+``min_equal`` are equal.  Wherever a quarter of 12 to 23 words is substituted, one of ``MASKS`` still has a window
+without a substituted word, and longer overlays can be cut into pieces of such lengths of which one has no larger share
+substituted.  Items under ``FULL`` words have masks of their own length with the same property.  So every overlay
+of an item that is three quarters equal is found.  Part of an overlay that isn't equal enough as a whole is judged by
+its best-scoring stretch only.  Items under ``MIN_ITEM`` words take no part, as such a few words say nothing.
 
 Defined results: null and empty texts have no overlap; null ids stay null ids; repeated rows are
 reported once; an empty table gives an empty result; other columns are ignored.
@@ -24,6 +26,7 @@ reported once; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -35,8 +38,8 @@ from .common import chunks, give_back, stored, table
 from .tokens import inside, windows_hash, word_hashes
 
 # The masks; 1 marks a word that is hashed.
-MASKS = ("111010010111", "110110001111", "11101100111", "101111000111")
-MIN_ITEM = 5
+MASKS = ("110111", "1101000011", "11001011", "110100011", "1111000001")
+MIN_ITEM, FULL = 5, 12
 REACH = 64
 CHUNK_CHARS = 1_000_000
 
@@ -56,23 +59,28 @@ def seeds(h: np.ndarray, starts: np.ndarray, masks: list[str]) -> tuple[np.ndarr
     for mask in masks:
         at, text = inside(starts, len(mask))
         if len(at):
-            found.append((at, text, windows_hash(h, offsets(mask))[at] ^ np.uint64((int(mask, 2) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)))
+            found.append((at, text, windows_hash(h, offsets(mask))[at] ^ np.uint64((int("1" + mask, 2) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def short_masks(n: int) -> list[str]:
+    """Masks over the whole of an item of n < FULL words: whichever quarter of the words is substituted, one marks no such word."""
+    drop, parts = n // 4, n if n < 6 else 3 if n < 8 else 4
+    return ["".join("01"[i * parts // n not in gone] for i in range(n)) for gone in combinations(range(parts), drop)]
+
+
 def own_masks(items: DataFrame, text: str) -> list[str]:
-    """The fixed masks, and for each length of short items present (at most seven) one mask of ones."""
+    """The fixed masks, and those of each length of short items present (at most seven lengths)."""
 
     def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             _, starts = word_hashes(b["text"].tolist(), strip_word)
             yield pd.DataFrame({"n": np.unique(np.diff(starts)).astype("int64")})
 
-    short = min(map(len, MASKS))
-    found = items.select(F.col(text).alias("text")).mapInPandas(lengths, "n long").where((F.col("n") >= MIN_ITEM) & (F.col("n") < short)).distinct().collect()
-    return [*MASKS, *("1" * n for n in sorted(r.n for r in found))]
+    found = items.select(F.col(text).alias("text")).mapInPandas(lengths, "n long").where((F.col("n") >= MIN_ITEM) & (F.col("n") < FULL)).distinct().collect()
+    return [*MASKS, *(m for n in sorted(r.n for r in found) for m in short_masks(n))]
 
 
 def item_seeds(items: DataFrame, id: str, text: str, masks: list[str]) -> DataFrame:
@@ -84,7 +92,7 @@ def item_seeds(items: DataFrame, id: str, text: str, masks: list[str]) -> DataFr
             n, found = np.diff(starts), []
             for i, mask in enumerate(masks):
                 at, item, value = seeds(h, starts, [mask])
-                keep = n[item] == len(mask) if i >= len(MASKS) else n[item] >= MIN_ITEM  # masks of ones are for items of just that length
+                keep = n[item] == len(mask) if i >= len(MASKS) else n[item] >= MIN_ITEM  # masks behind the fixed ones are for items of just that length
                 found.append((at[keep], item[keep], value[keep]))
             at, item, value = (np.concatenate(x) for x in zip(*found, strict=True))
             ids, signed = b["id"].to_numpy(), h.view(np.int64)
@@ -96,8 +104,10 @@ def item_seeds(items: DataFrame, id: str, text: str, masks: list[str]) -> DataFr
     return items.select(F.col(id).alias("id"), F.col(text).alias("text")).dropna().mapInPandas(of, f"hash long, item_id {kind}, item_at int, words array<long>")
 
 
-def best_stretch(equal: np.ndarray) -> tuple[int, int]:
-    """The stretch [a, b) with the largest sum of +1 for equal and -3 for other words; the first on ties."""
+def best_stretch(equal: np.ndarray, min_equal: float = 0.75) -> tuple[int, int]:
+    """All of the overlay if ``min_equal`` of it are equal, else the stretch [a, b) with the largest sum of +1 for equal and -3 for other words; the first on ties."""
+    if np.count_nonzero(equal) >= min_equal * len(equal):
+        return 0, len(equal)
     total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -3))])
     low = np.minimum.accumulate(total)
     b = int(np.argmax(total - low))
@@ -149,7 +159,7 @@ def find_overlaps(docs: DataFrame, items: DataFrame, min_words: int = 12, min_eq
             for r in b.itertuples(index=False):
                 lo, hi = max(0, r.diagonal), min(len(r.words), r.diagonal + len(r.item_words))
                 equal = r.words[lo:hi] == r.item_words[lo - r.diagonal : hi - r.diagonal]
-                a, z = best_stretch(equal)
+                a, z = best_stretch(equal, min_equal)
                 if z - a >= min(min_words, len(r.item_words)) and equal[a:z].mean() >= min_equal:
                     rows.append((r.id, r.item_id, z - a, int(equal[a:z].sum()), int(r.begin + lo + a), int(lo + a - r.diagonal)))
             yield pd.DataFrame(rows, columns=["id", "item_id", "n_words", "n_equal", "doc_at", "item_at"])

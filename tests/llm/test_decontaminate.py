@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 
@@ -62,3 +63,40 @@ def test_query_finds_exact_passages(spark, sf_dir):
     items = [(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").collect()]
     got = {(r.doc_id, r.item_id) for r in d.query(spark, sf_dir).collect()}
     assert {(i, k) for i, t in docs for k, u in items if u in (t or "")} <= got <= brute(docs, items)
+
+
+def test_every_overlay_that_is_three_quarters_equal(spark):
+    """Against a brute force that judges whole overlays by their equal words alone."""
+    rnd = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(900)]
+    prose = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    items = [(n, prose(n)) for n in range(d.MIN_ITEM, 41)]
+    docs = []
+    for n, item in items:
+        for _ in range(8):
+            part, text = list(item), prose(rnd.randint(0, 30))
+            for at in rnd.sample(range(n), rnd.randint(n // 8, n // 4)):
+                part[at] = "other"
+            cut = rnd.randint(0, len(text))
+            docs.append((len(docs), text[:cut] + part + text[cut:]))
+    must = set()
+    for i, a in docs:
+        for k, b in items:
+            for g in range(-len(b) + 1, len(a)):
+                lo, hi = max(0, g), min(len(a), g + len(b))
+                if hi - lo >= min(12, len(b)) and 4 * sum(x == y for x, y in zip(a[lo:hi], b[lo - g : hi - g], strict=True)) >= 3 * (hi - lo):
+                    must.add((i, k))
+    assert len(must) >= len(docs)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")
+    idf = spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in d.find_overlaps(df, idf).collect()}
+    assert must <= got and len(got) <= len(must) + 5
+
+
+def test_masks_leave_a_window_free(spark):
+    for n in range(d.MIN_ITEM, 24):
+        masks = d.short_masks(n) if n < d.FULL else d.MASKS
+        windows = [sum(1 << o + i for i in d.offsets(m)) for m in masks for o in range(n - len(m) + 1)]
+        gone = np.array([sum(1 << i for i in c) for c in combinations(range(n), n // 4)])
+        assert np.any([(gone & w) == 0 for w in windows], axis=0).all(), n
+        assert min(len(d.offsets(m)) for m in masks) >= 4
