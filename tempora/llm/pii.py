@@ -5,13 +5,15 @@ permuted within its format: equal values get equal pseudonyms in every document,
 of one format different ones, and whoever holds the key can go back.  Kinds:
 
 * payment cards: 13 to 19 digits, blanks or hyphens between groups, Luhn-valid; all digits but the
-  last are permuted and the check digit is set anew, so the pseudonym is Luhn-valid as well
+  last are permuted and the check digit is set anew, so the pseudonym is Luhn-valid as well.  In a row of up to
+  CHAIN digit groups every run of whole groups is tried, from the left, longest first; beside other numbers a
+  pseudonym may by chance be read with them, so going back is sure for cards that stand alone only
 * phone numbers: ``+`` country code and ten digits; the ten digits are permuted
 * social security numbers: ``ddd-dd-dddd`` outside area 000, 666, 9xx, group 00, serial 0000
 * IPv4 addresses: four octets of 0 to 255, permuted as one 32-bit number
 * dates: ``yyyy-mm-dd`` and ``dd/mm/yyyy`` from 1900 to 2099 that exist, permuted as a day number
 
-What is no number has no Feistel format: e-mail addresses and secrets (32 and more hex digits) get
+What is no number has no Feistel format: e-mail addresses and secrets (32 and more hex digits, small or capital) get
 keyed digests in their own format, which are equal for equal values as well.
 
 Built from Spark expressions only: one pattern finds all candidates; the text is split at them, each
@@ -31,17 +33,20 @@ from .common import table
 
 ROUNDS = 8
 DAYS, FIRST_DAY = 73_049, "1900-01-01"
+CHAIN = 200
 
 # The patterns of candidates, in the order in which they are tried.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![0-9A-Za-z])[0-9a-f]{32,}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])",
     "phone": r"\+[0-9]{1,3}[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![0-9])",
     "date": r"(?<![0-9])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
 }
+GROUP = "[0-9]{1,19}+(?![0-9])"
+# a row of digit groups; it ends where a candidate of another kind begins
+PATTERNS["card"] = rf"(?<![0-9])(?=[0-9](?:[ \-]?[0-9]){{12}}){GROUP}(?:[ \-](?!{'|'.join(f'(?:{p})' for p in PATTERNS.values())}){GROUP}){{0,{CHAIN - 1}}}+"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -100,11 +105,36 @@ def luhn_sum(number: Column, doubled: int) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
 
-def _card(m: Column, key: str, back: bool) -> Column:
+def _one_card(m: Column, key: str, back: bool) -> Column:
     d = digits(m)
     body = permute_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, "card", back)
-    new = F.concat(body, F.pmod(-luhn_sum(body, 0), F.lit(10)).cast("string"))
-    return F.when((luhn_sum(d, 1) % 10) == 0, refill(m, new)).otherwise(m)
+    return refill(m, F.concat(body, F.pmod(-luhn_sum(body, 0), F.lit(10)).cast("string")))
+
+
+def _card(m: Column, key: str, back: bool) -> Column:
+    """A row of digit groups with the cards in it replaced: from each group on, the longest run of groups that is one."""
+    groups, gaps = F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)), F.split(m, "[0-9]+", -1)
+
+    def rows(_, parts):
+        def run(i, j):
+            return F.array_join(F.transform(F.sequence(i, j), lambda k: F.concat(F.when(k > i, F.get(parts.gaps, k)).otherwise(F.lit("")), F.get(parts.groups, k))), "")
+
+        def is_card(d):
+            return F.length(d).between(13, 19) & ((luhn_sum(d, 1) % 10) == 0)
+
+        def step(acc, i):
+            ends = F.filter(F.sequence(F.least(i + 18, F.size(parts.groups) - 1), i, F.lit(-1)), lambda j: is_card(digits(run(i, j))))
+
+            def put(_, j):
+                piece = F.when(j >= 0, _one_card(run(i, j), key, back)).otherwise(F.get(parts.groups, i))
+                return F.struct(F.concat(acc.text, F.get(parts.gaps, i), piece).alias("text"), (F.greatest(i, j) + 1).alias("at"))
+
+            return F.when(i < acc["at"], acc).otherwise(F.aggregate(F.array(F.coalesce(F.get(ends, F.lit(0)), F.lit(-1))), acc, put))
+
+        start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(parts.groups) - 1), start, step, lambda acc: acc.text)
+
+    return F.aggregate(F.array(F.struct(groups.alias("groups"), gaps.alias("gaps"))), F.lit(""), rows)
 
 
 def _phone(m: Column, key: str, back: bool) -> Column:
@@ -155,7 +185,8 @@ def _email(m: Column, key: str) -> Column:
 
 def _secret(m: Column, key: str) -> Column:
     part = lambda i: F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), i.cast("string"), m), 256)
-    return F.substr(F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(m) / 64).cast("int")), part), ""), F.lit(1), F.length(m))
+    out = F.substr(F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(m) / 64).cast("int")), part), ""), F.lit(1), F.length(m))
+    return F.when(m.rlike("[A-F]") & ~m.rlike("[a-f]"), F.upper(out)).otherwise(out)
 
 
 def pseudonym(m: Column, key: str, back: bool = False) -> Column:
@@ -166,7 +197,7 @@ def pseudonym(m: Column, key: str, back: bool = False) -> Column:
     out = out.when(full("date"), _date(m, key, back))
     out = out.when(full("ssn"), _ssn(m, key, back))
     out = out.when(full("ipv4"), _ipv4(m, key, back))
-    out = out.when((F.length(m) >= 32), m if back else _secret(m, key))
+    out = out.when(m.rlike("^[0-9A-Fa-f]{32,}$"), m if back else _secret(m, key))
     return out.otherwise(_card(m, key, back))
 
 

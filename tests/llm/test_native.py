@@ -59,6 +59,19 @@ def test_pii(spark):
     assert pii.pseudonymise(df.limit(0), KEY).count() == 0
 
 
+def test_pii_cards_beside_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    beside = ["{} 123", "2 {}", "1227 {}", "{} 12/27", "{} 2027-01-01", "{} 123-45-6789", "{} 7@x.org", "7 {} 123 {} 99", "1 2 " * 2_000 + "{}"]
+    texts = [b.replace("{}", c) for b in beside for c in (card, card.replace(" ", ""))] + ["24BE64439E3E49CF46B2D7C90F3602A3D0B907FF", "1234567890123 12"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r.text for r in sorted(pii.pseudonymise(df, KEY).collect(), key=lambda r: r.doc_id)]
+    for was, now in zip(texts[:-2], out, strict=False):
+        assert len(now) == len(was) or "@" in was
+        assert card not in now and card.replace(" ", "") not in now, was[-60:]
+    assert all("2027-01-01" not in x and "123-45-6789" not in x and "7@x.org" not in x for x in out)
+    assert re.fullmatch("[0-9A-F]{40}", out[-2]) and out[-2] != texts[-2] and out[-1] == texts[-1]
+
+
 def _number(key, tweak, *parts):
     return int(hashlib.sha256("|".join([key, tweak, *map(str, parts)]).encode()).hexdigest()[:15], 16)
 
