@@ -78,11 +78,17 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def bounded_sample(rows: DataFrame, most: int) -> list:
+def bounded_sample(rows: DataFrame, most: int) -> pa.Table:
     """At most ``most`` distinct rows, those with the smallest hashes of about twice as many that pass a hash cut.
 
-    The cut keeps what reaches the driver near 2 * ``most`` rows, however many tasks there are.
+    The cut keeps what reaches the driver near 2 * ``most`` rows, however many tasks there are.  If it leaves too
+    few, there are few distinct rows, and the smallest hashes of all are taken.
     """
     cut = min(1 << 32, (1 << 32) * 2 * most // max(1, rows.count()) + 1)
-    h = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 32))
-    return rows.withColumn("__h", h).where(F.col("__h") < cut).distinct().orderBy("__h", *rows.columns).limit(most).drop("__h").collect()
+    hashed = rows.withColumn("__h", F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 32)))
+
+    def smallest(some: DataFrame) -> pa.Table:
+        return some.distinct().orderBy("__h", *rows.columns).limit(most).drop("__h").toArrow()
+
+    drawn = smallest(hashed.where(F.col("__h") < cut))
+    return drawn if len(drawn) == most or cut == 1 << 32 else smallest(hashed)

@@ -1,7 +1,9 @@
 """Language identification by Bayesian fusion of four kinds of evidence.
 
-* text: a naive Bayes model over hashed byte trigrams, fitted on a bounded sample of labelled rows
-  (``sample`` rows, those with the smallest hashes); the likelihood is tempered, as trigrams overlap
+* text: a naive Bayes model over hashed byte trigrams, fitted on a bounded sample of labelled rows (about ``sample``
+  rows, shared evenly among the ``languages`` most frequent labels of all rows; in each label those with the smallest
+  hashes).  The likelihood is tempered, as trigrams overlap.  A background that finds all trigrams equally likely
+  competes with the languages, with the prior ``UNKNOWN``: a text that no language explains better has none
 * markup: the language the page or row declares, with the reliability that declarations show against
   the text model over all rows
 * address suffix: what the host's last label says of the language, counted over all rows
@@ -9,21 +11,27 @@
   the whole table, counted over all rows by grouped aggregation
 
 With log-likelihoods per language, the posterior is the softmax of text + markup + suffix and host prior.  The
-counts behind the priors are sums of the text model's posteriors, a table a grouping level, joined
-to the rows by key; they are grouped before they are shuffled, so a hot host costs one row a task.
+counts behind the priors are sums of the text model's posteriors, grouped before they are shuffled, so a hot host costs
+one row a task.  Trigrams are counted inside the tasks; the driver gets one array a language.
 
-A row is rejected (``keep`` false) if its text has no letter, or if the fused posterior is under
-``least`` or another language than a declared one of the model's has ``firm`` or more.
+The text model reads every row once; rows and likelihoods go to a table in the shared folder.  The hosts' priors are joined to
+it by broadcast if they are known to be small (their rows are counted), else by key after each host's rows are dealt over
+``SALTS`` keys, so a host with a third of all rows is not one task's work.
 
-Defined results: null, empty and letterless texts have a null language, confidence 0, and are rejected; a
-null or unknown declaration and a null host are no evidence; repeated rows are treated alike; rows and
-other columns stay, whatever their names; an empty table gives an empty result; a sample
-without labels gives null languages throughout.
+A row is rejected (``keep`` false) if its text has no letter, if the background explains it better, if the fused posterior is under
+``least``, or if another language than a declared one of the model's has ``firm`` or more.
+
+Defined results: null, empty and letterless texts, and texts in none of the model's languages, have a null language and are
+rejected (the first three with confidence 0); a null or unknown declaration and a null host are no evidence; repeated rows
+are treated alike; rows and other columns stay, but a column named as a result is replaced by it; an empty table gives an
+empty result; a sample without labels gives null languages throughout.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +39,37 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, chunks, give_back, lower_ascii, packed, stored, table
+from .common import chunks, give_back, lower_ascii, packed, stored, table
 from .url_filter import url_host
 
-CELLS, TEMPER, STRENGTH = 1 << 18, 60.0, 8.0
+CELLS, PSEUDO, TEMPER, STRENGTH, UNKNOWN = 1 << 18, 0.01, 60.0, 8.0, 0.001
+SMALL_ROWS, SALTS = 50_000, 64
 CHUNK_CHARS = 1_000_000
-TAGS = re.compile(r"(?s)<(script|style)\b.*?</\1\s*>|<[^>]*>")
+OPENING, TAG = re.compile(r"(?i)<(script|style)\b"), re.compile(r"<[^>]*>")
+CLOSING = {"script": re.compile(r"(?i)</script\s*>"), "style": re.compile(r"(?i)</style\s*>")}
+
+
+def without_tags(html: str) -> str:
+    """Text of a page; in one sweep, as what is never closed is not looked for twice."""
+    parts, at, open_ended = [], 0, set()
+    for m in OPENING.finditer(html):
+        kind = m[1].lower()
+        if m.start() < at or kind in open_ended:
+            continue
+        end = CLOSING[kind].search(html, m.end())
+        if not end:
+            open_ended.add(kind)
+            continue
+        parts.append(html[at : m.start()])
+        at = end.end()
+    html = " ".join([*parts, html[at:]])
+    last = html.rfind(">") + 1
+    return TAG.sub(" ", html[:last]) + html[last:]
 
 
 def trigram_cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Cells of the byte trigrams of all texts (lower-cased, runs without letters as one blank), and where each text begins."""
-    # each text stands between a blank and zeros, so that no trigram depends on its neighbours
+    # each text stands between a blank and zeros, at which no trigram begins, so none depends on its neighbours
     coded = [(" " + t.lower() + " \0\0").encode() for t in texts]
     data = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint32)
     data = np.where((data != 0) & ((data < 97) | ((data > 122) & (data < 128))), 32, data)
@@ -52,36 +80,63 @@ def trigram_cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     data = np.concatenate([data, np.full(2, 32, data.dtype)])
     n = starts[-1]
     key = (data[:n] * np.uint32(0x9E3779B1)) ^ (data[1 : n + 1] * np.uint32(0x85EBCA77)) ^ (data[2 : n + 2] * np.uint32(0xC2B2AE3D))
-    return ((key ^ (key >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(14)).astype(np.int64), starts
+    cells = ((key ^ (key >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(14)).astype(np.int64)
+    begins = data[:n] != 0
+    return cells[begins], np.concatenate([[0], np.cumsum(begins)])[starts]
 
 
 class TextModel:
-    """Log-likelihoods of trigram cells by language."""
+    """Log-likelihoods of trigram cells by language; the last column of what it returns is the background's."""
 
-    def __init__(self, texts: list[str], labels: list[str]):
-        self.languages = sorted(set(labels))
-        counts = np.full((len(self.languages), CELLS), 0.1)
-        for text, label in zip(texts, labels, strict=True):
-            np.add.at(counts[self.languages.index(label)], trigram_cells([text])[0], 1)
-        self.log = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32).T.copy() if self.languages else np.zeros((CELLS, 0), np.float32)
+    def __init__(self, languages: list[str], log: np.ndarray):
+        self.languages, self.log = languages, log
 
     def likelihoods(self, texts: list[str]) -> np.ndarray:
         """A row of tempered log-likelihoods for each text."""
-        out = np.zeros((len(texts), len(self.languages)))
+        out = np.zeros((len(texts), len(self.languages) + 1))
         for lo, hi in chunks(np.array([len(t) for t in texts]), CHUNK_CHARS):
             cells, starts = trigram_cells(texts[lo:hi])
             n = np.diff(starts)
             for j in range(len(self.languages)):
-                total = np.concatenate([[0.0], np.cumsum(self.log[cells, j], dtype=np.float64)])
+                total = np.concatenate([[0.0], np.cumsum(self.log[j][cells], dtype=np.float64)])
                 out[lo:hi, j] = (total[starts[1:]] - total[starts[:-1]]) / np.maximum(n, 1) * np.minimum(n, TEMPER)
-        return out - out.max(axis=1, keepdims=True) if self.languages else out
-
-
-def fit_text_model(labelled: DataFrame, text: str, label: str, sample: int = 4_000) -> TextModel:
-    """From at most ``sample`` labelled rows, those with the smallest hashes of their text."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(label).alias("label")).dropna().where("text <> '' AND label <> ''")
-    drawn = bounded_sample(rows, sample)
-    return TextModel([r.text for r in drawn], [r.label for r in drawn])
+            out[lo:hi, -1] = -np.log(CELLS) * np.minimum(n, TEMPER)
+        return out - out.max(axis=1, keepdims=True)
+
+
+def fit_text_model(labelled: DataFrame, text: str, label: str, sample: int = 4_000, languages: int = 256) -> TextModel:
+    """From about ``sample`` labelled rows, an even share for each of the ``languages`` most frequent labels of all rows."""
+    rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").alias("label")).dropna().where("text <> '' AND label <> ''")
+    sizes = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(languages).collect()
+    if not sizes:
+        return TextModel([], np.zeros((0, CELLS), np.float32))
+    known, share = F.array(*[F.lit(r.label) for r in sizes]), max(1, sample // len(sizes))
+    cuts = F.array(*[F.lit(min(1 << 32, (1 << 32) * share // r["count"] + 1)) for r in sizes])
+    number = F.array_position(known, F.col("label")).cast("int")
+    drawn = rows.where(F.col("label").isin([r.label for r in sizes])).withColumn("label", number)
+    drawn = drawn.where(F.pmod(F.xxhash64("text", "label"), F.lit(1 << 32)) < F.get(cuts, F.col("label") - 1)).distinct()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            labels = b["label"].to_numpy()
+            for lo, hi in chunks(pc.utf8_length(b["text"]).to_numpy(), CHUNK_CHARS):
+                cells, starts = trigram_cells(b["text"].slice(lo, hi - lo).to_pylist())
+                of, found = np.repeat(labels[lo:hi], np.diff(starts)), []
+                for k in np.unique(labels[lo:hi]):
+                    found.append((k, zlib.compress(np.bincount(cells[of == k], minlength=CELLS).astype(np.uint32).tobytes(), 1)))
+                yield pa.RecordBatch.from_pydict({"label": pa.array([k for k, _ in found], pa.int32()), "cells": pa.array([c for _, c in found], pa.binary())})
+            give_back()
+
+    def add(key: tuple, group: pa.Table) -> pa.Table:
+        total = np.full(CELLS, PSEUDO)
+        for c in group["cells"]:
+            total += np.frombuffer(zlib.decompress(c.as_py()), np.uint32)
+        return pa.table({"label": pa.array([key[0].as_py()], pa.int32()), "log": pa.array([np.log(total / total.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+    counted = drawn.mapInArrow(count, "label int, cells binary").groupBy("label").applyInArrow(add, "label int, log binary").toArrow()
+    found = sorted((sizes[k - 1].label, i) for i, k in enumerate(counted["label"].to_pylist()))
+    log = [np.frombuffer(counted["log"][i].as_buffer(), np.float32) for _, i in found]
+    return TextModel([name for name, _ in found], np.array(log).reshape(len(found), CELLS))
 
 
 def softmax(scores: Column) -> Column:
@@ -110,66 +165,78 @@ def identify(
     ``declared`` and ``host`` name columns; with ``markup`` the text is HTML whose tags are left out.
     """
     languages, n = model.languages, len(model.languages)
+    results = [f"{prefix}{c}" for c in ("language", "confidence", "declared_language", "keep")]
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("ll array<double>, letters boolean")
     def read(texts: pa.Array) -> pa.Array:
-        found, letters = [np.zeros((0, n))], []
+        found, letters = [np.zeros((0, n + 1))], []
         for lo, hi in chunks(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False), CHUNK_CHARS):  # only a chunk's strings are held
-            values = [TAGS.sub(" ", t) if markup and t else (t or "") for t in texts.slice(lo, hi - lo).to_pylist()]
+            values = [without_tags(t) if markup and t else (t or "") for t in texts.slice(lo, hi - lo).to_pylist()]
             found.append(sent.value.likelihoods(values))
             letters.extend(any(map(str.isalpha, t)) for t in values)
         give_back()
-        ends = pa.array(np.arange(len(texts) + 1) * n, pa.int32())
+        ends = pa.array(np.arange(len(texts) + 1) * (n + 1), pa.int32())
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, np.concatenate(found).ravel()), pa.array(letters, pa.bool_())], ["ll", "letters"])
 
     null = F.lit(None).cast("string")
-    host_of = lower_ascii(F.col(f"`{host}`")) if host else null
+    host_of = F.nullif(lower_ascii(F.col(f"`{host}`")), F.lit("")) if host else null
     saying = lower_ascii(F.regexp_extract(F.col(f"`{declared}`"), "^[A-Za-z]+", 0)) if declared else null
     evidence = rows.select(packed(rows), read(F.col(f"`{text}`")).alias("read"), host_of.alias("host"), saying.alias("declared"))
-    evidence = evidence.select("row", F.col("read.ll").alias("ll"), F.col("read.letters").alias("letters"), F.nullif("host", F.lit("")).alias("host"), F.when(F.col("declared").isin(languages), F.col("declared")).alias("declared"))
-    evidence = evidence.withColumn("domain", F.array_join(F.slice(F.split("host", r"\."), -2, 2), ".") if host else null).withColumn("suffix", F.element_at(F.split("host", r"\."), -1))
-    evidence = evidence.withColumn("domain", F.when(F.size(F.split("host", r"\.")) > 1, F.col("domain")).otherwise(F.col("host")))
+    evidence = evidence.select("row", F.col("read.ll").alias("ll"), F.col("read.letters").alias("letters"), "host", F.when(F.col("declared").isin(languages), F.col("declared")).alias("declared"))
+    evidence = stored(evidence, "language-evidence")
+    others = [F.col(f"row.`{c}`") for c in rows.columns if c not in results]
     if n == 0:
-        return evidence.select("row.*", null.alias(f"{prefix}language"), F.lit(0.0).alias(f"{prefix}confidence"), F.col("declared").alias(f"{prefix}declared_language"), F.lit(False).alias(f"{prefix}keep"))
+        return evidence.select(*others, null.alias(results[0]), F.lit(0.0).alias(results[1]), F.col("declared").alias(results[2]), F.lit(False).alias(results[3]))
 
     # one small row a row: what the counts need; the grouping keys nest (host in domain in suffix)
-    slim = evidence.where("letters").select("host", "domain", "suffix", "declared", softmax(F.col("ll")).alias("p"))
+    labels = F.split("host", r"\.")
+    slim = evidence.where("letters").select("host", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".").alias("domain"), F.element_at(labels, -1).alias("suffix"), "declared", F.slice(softmax(F.col("ll")), 1, n).alias("p"))
     by_host = stored(sums(slim, ["suffix", "domain", "host", "declared"], n).withColumnRenamed("s", "p"), "language-counts")
     even = F.array(*[F.lit(1.0 / n)] * n)
     whole = sums(by_host, [], n).select(smoothed(F.col("s"), even).alias("base")).collect()[0].base  # one number a language
     base = F.array(*[F.lit(float(x)) for x in whole])
     by_suffix = sums(by_host, ["suffix"], n).where("suffix IS NOT NULL").select("suffix", smoothed(F.col("s"), base).alias("suffix_prior"))
     by_domain = sums(by_host, ["suffix", "domain"], n).join(by_suffix, "suffix").select("domain", "suffix_prior", smoothed(F.col("s"), F.col("suffix_prior")).alias("domain_prior"))
-    priors = sums(by_host, ["domain", "host"], n).join(by_domain, "domain").select("host", "suffix_prior", smoothed(F.col("s"), F.col("domain_prior")).alias("prior"))
+    priors = sums(by_host, ["domain", "host"], n).join(by_domain, "domain").select("host", smoothed(F.col("s"), F.col("domain_prior")).alias("prior"))
     # how often text of a language declares each one: at most one row for each pair of languages, plus none
     told = sums(by_host, ["declared"], n).where("declared IS NOT NULL").collect()
     table_ = {r.declared: r.s for r in told}
     trust = np.array([[table_.get(d, [0.0] * n)[j] for j in range(n)] for d in languages]) + 1.0
     trust = np.log(trust / trust.sum(axis=0, keepdims=True))
-    markup_ll = F.lit(None).cast("array<double>")
+    markup_ll = F.array(*[F.lit(0.0)] * (n + 1))
     for i, d in enumerate(languages):
-        markup_ll = F.when(F.col("declared") == d, F.array(*[F.lit(float(x)) for x in trust[i]])).otherwise(markup_ll)
-
-    joined = evidence.join(priors, "host", "left") if host else evidence.withColumn("suffix_prior", F.lit(None).cast("array<double>")).withColumn("prior", F.lit(None).cast("array<double>"))
-    zero = F.array(*[F.lit(0.0)] * n)
+        markup_ll = F.when(F.col("declared") == d, F.array(*[F.lit(float(x)) for x in trust[i]], F.lit(float(-np.log(n))))).otherwise(markup_ll)
+
+    if not host:
+        joined = evidence.withColumn("prior", F.lit(None).cast("array<double>"))
+    else:
+        priors = stored(priors, "language-priors")
+        if priors.count() * n <= SMALL_ROWS * 8:  # at most 4 MB of numbers
+            joined = evidence.join(F.broadcast(priors), "host", "left")
+        else:
+            salt = F.pmod(F.xxhash64("row", "ll"), F.lit(SALTS)).cast("int")
+            spread = priors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            joined = evidence.withColumn("salt", salt).join(spread, ["host", "salt"], "left")
     # the suffix is evidence by what it adds to the whole table's distribution; the host's prior holds it already
-    prior = F.coalesce("prior", "suffix_prior", base)
-    score = F.zip_with(F.zip_with("ll", F.coalesce(markup_ll, zero), lambda a, b: a + b), prior, lambda a, p: a + F.log(p))
+    prior = F.concat(F.transform(F.coalesce("prior", base), lambda p: p * (1 - UNKNOWN)), F.array(F.lit(UNKNOWN)))
+    score = F.zip_with(F.zip_with(F.col("ll"), markup_ll, lambda a, b: a + b), prior, lambda a, p: a + F.log(p))
     fused = joined.withColumn("posterior", F.when(F.col("letters"), softmax(score)))
     names = F.array(*[F.lit(x) for x in languages])
-    fused = fused.withColumn("confidence", F.coalesce(F.array_max("posterior"), F.lit(0.0)))
-    fused = fused.withColumn("language", F.get(names, (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int")))
+    best = F.array_max(F.slice("posterior", 1, n))
+    fused = fused.withColumn("best", best).withColumn("confidence", F.coalesce("best", F.lit(0.0)))
+    found = F.get(names, (F.array_position("posterior", F.col("best")) - 1).cast("int"))
+    fused = fused.withColumn("language", F.when(F.col("best") > F.get("posterior", F.lit(n)), found))
     other = F.col("declared").isNotNull() & (F.col("declared") != F.col("language")) & (F.col("confidence") >= firm)
     keep = F.col("language").isNotNull() & (F.col("confidence") >= least) & ~other
-    return fused.select(*[F.col(f"row.`{c}`") for c in rows.columns], F.col("language").alias(f"{prefix}language"), F.col("confidence").alias(f"{prefix}confidence"), F.col("declared").alias(f"{prefix}declared_language"), F.coalesce(keep, F.lit(False)).alias(f"{prefix}keep"))
+    return fused.select(*others, F.col("language").alias(results[0]), F.col("confidence").alias(results[1]), F.col("declared").alias(results[2]), F.coalesce(keep, F.lit(False)).alias(results[3]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: every document (its source as host) and every page (its html tag's language and its url's host)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     model = fit_text_model(docs, "text", "lang")
-    pages = table(spark, sf_dir, "pages").select("page_id", "html", url_host(F.col("url")).alias("host"), F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)", 1).alias("lang"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "html", url_host(F.col("url")).alias("host"), F.regexp_extract("html", r"(?is)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-z]+)", 1).alias("lang"))
     some = ["language", "confidence", "declared_language", "keep"]
     a = identify(docs, model, declared="lang", host="source").select("doc_id", F.lit(None).cast("bigint").alias("page_id"), *some)
     b = identify(pages, model, text="html", declared="lang", host="host", markup=True).select(F.lit(None).cast("bigint").alias("doc_id"), "page_id", *some)
