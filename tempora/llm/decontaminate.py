@@ -6,18 +6,19 @@ leaves the hash equal.  Hashes of the benchmark (test) and of the documents (tra
 and around each hit the two word sequences are laid over each other and compared word by word;
 the whole overlay counts as an overlap if it is long and equal enough, else the best-scoring stretch of it if that is.
 
-Plan: one scan of the documents keeps only seeds that a Bloom filter of the benchmark's hashes lets
+Plan: the items' words and seeds are two tables in the shared folder.  One scan of the documents keeps only seeds that a Bloom filter of the benchmark's hashes lets
 through.  The filter has a fixed number of bits whatever the benchmark's size: a larger benchmark only
 lets more seeds through to the join, which is exact and shuffled.  Per stretch of a document with
 seeds, one row with its word hashes goes to a table in the shared folder; seeds of that table are
-joined with the benchmark's hashes, each (stretch, item, diagonal) once, and verified.
+joined with the benchmark's hashes, and each (stretch, item) is verified once, along all the diagonals that hold a hit.
 
 Bounds: an overlay counts if it has at least ``min_words`` words, or all words of a shorter item, of which
 ``min_equal`` are equal.  Wherever a quarter of 12 to 23 words is substituted, one of ``MASKS`` still has a window
 without a substituted word, and longer overlays can be cut into pieces of such lengths of which one has no larger share
 substituted.  Items under ``FULL`` words have masks of their own length with the same property.  So every overlay
 of an item that is three quarters equal is found.  Part of an overlay that isn't equal enough as a whole is judged by
-its best-scoring stretch only.  Items under ``MIN_ITEM`` words take no part, as such a few words say nothing.
+its best-scoring stretch only.  Items under ``min_item`` words take no part, as such a few words say nothing; with a smaller ``min_item`` they are
+found as well, each by masks over the whole of it.
 
 Defined results: null and empty texts have no overlap; null ids stay null ids; repeated rows are
 reported once; an empty table gives an empty result; other columns are ignored.
@@ -39,7 +40,7 @@ from .tokens import inside, windows_hash, word_hashes
 
 # The masks; 1 marks a word that is hashed.
 MASKS = ("110111", "1101000011", "11001011", "110100011", "1111000001")
-MIN_ITEM, FULL = 5, 12
+FULL = 12
 REACH = 64
 CHUNK_CHARS = 1_000_000
 
@@ -71,37 +72,43 @@ def short_masks(n: int) -> list[str]:
     return ["".join("01"[i * parts // n not in gone] for i in range(n)) for gone in combinations(range(parts), drop)]
 
 
-def own_masks(items: DataFrame, text: str) -> list[str]:
-    """The fixed masks, and those of each length of short items present (at most seven lengths)."""
+def item_words(items: DataFrame, id: str, text: str) -> DataFrame:
+    """(item_id, item_words): the word hashes of every benchmark item, each different pair once."""
 
-    def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            _, starts = word_hashes(b["text"].tolist(), strip_word)
-            yield pd.DataFrame({"n": np.unique(np.diff(starts)).astype("int64")})
+            for lo, hi in chunks(b["text"].str.len().to_numpy(), CHUNK_CHARS):
+                h, starts = word_hashes(b["text"].tolist()[lo:hi], strip_word)
+                yield pd.DataFrame({"item_id": b["id"].iloc[lo:hi].to_numpy(), "item_words": np.split(h.view(np.int64), starts[1:-1])})
+
+    kind = items.schema[id].dataType.simpleString()
+    return items.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).dropna().mapInPandas(of, f"item_id {kind}, item_words array<long>").distinct()
 
-    found = items.select(F.col(text).alias("text")).mapInPandas(lengths, "n long").where((F.col("n") >= MIN_ITEM) & (F.col("n") < FULL)).distinct().collect()
+
+def own_masks(words: DataFrame, min_item: int) -> list[str]:
+    """The fixed masks, and those of each length of short items present (at most eleven lengths)."""
+    n = F.size("item_words").alias("n")
+    found = words.select(n).where((F.col("n") >= min_item) & (F.col("n") < FULL)).distinct().collect()
     return [*MASKS, *(m for n in sorted(r.n for r in found) for m in short_masks(n))]
 
 
-def item_seeds(items: DataFrame, id: str, text: str, masks: list[str]) -> DataFrame:
-    """(hash, item_id, item_at, words): the seeds of every benchmark item and its word hashes."""
+def item_seeds(words: DataFrame, masks: list[str], min_item: int) -> DataFrame:
+    """(hash, item_id, item_at): the seeds of every benchmark item."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            h, starts = word_hashes(b["text"].tolist(), strip_word)
-            n, found = np.diff(starts), []
-            for i, mask in enumerate(masks):
-                at, item, value = seeds(h, starts, [mask])
-                keep = n[item] == len(mask) if i >= len(MASKS) else n[item] >= MIN_ITEM  # masks behind the fixed ones are for items of just that length
-                found.append((at[keep], item[keep], value[keep]))
-            at, item, value = (np.concatenate(x) for x in zip(*found, strict=True))
-            ids, signed = b["id"].to_numpy(), h.view(np.int64)
-            for lo in range(0, len(at), 10_000):
-                s = slice(lo, lo + 10_000)
-                yield pd.DataFrame({"hash": value[s].view(np.int64), "item_id": ids[item[s]], "item_at": (at[s] - starts[item[s]]).astype("int32"), "words": [signed[starts[i] : starts[i + 1]] for i in item[s]]})
+            n = b["item_words"].str.len().to_numpy()
+            for lo, hi in chunks(n, CHUNK_CHARS // 10):
+                starts = np.concatenate([[0], np.cumsum(n[lo:hi])])
+                h = np.concatenate([np.zeros(0, np.int64), *b["item_words"].iloc[lo:hi]]).view(np.uint64)
+                for i, mask in enumerate(masks):
+                    at, item, value = seeds(h, starts, [mask])
+                    keep = n[lo:hi][item] == len(mask) if i >= len(MASKS) else n[lo:hi][item] >= min_item  # masks behind the fixed ones are for items of just that length
+                    at, item, value = at[keep], item[keep], value[keep]
+                    yield pd.DataFrame({"hash": value.view(np.int64), "item_id": b["item_id"].iloc[lo:hi].to_numpy()[item], "item_at": (at - starts[item]).astype("int32")})
 
-    kind = items.schema[id].dataType.simpleString()
-    return items.select(F.col(id).alias("id"), F.col(text).alias("text")).dropna().mapInPandas(of, f"hash long, item_id {kind}, item_at int, words array<long>")
+    kind = words.schema["item_id"].dataType.simpleString()
+    return words.mapInPandas(of, f"hash long, item_id {kind}, item_at int")
 
 
 def best_stretch(equal: np.ndarray, min_equal: float = 0.75) -> tuple[int, int]:
@@ -114,11 +121,12 @@ def best_stretch(equal: np.ndarray, min_equal: float = 0.75) -> tuple[int, int]:
     return int(np.argmin(total[: b + 1])), b
 
 
-def find_overlaps(docs: DataFrame, items: DataFrame, min_words: int = 12, min_equal: float = 0.75, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_overlaps(docs: DataFrame, items: DataFrame, min_words: int = 12, min_equal: float = 0.75, min_item: int = 5, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item that overlap: (id, item_id, n_words, n_equal, doc_at, item_at), the largest overlap."""
     spark = docs.sparkSession
-    masks = own_masks(items, item_text)
-    tests = item_seeds(items, item_id, item_text, masks)
+    words = stored(item_words(items, item_id, item_text), "benchmark-words")
+    masks = own_masks(words, min_item)
+    tests = stored(item_seeds(words, masks, min_item), "benchmark-seeds")
     bloom = spark.sparkContext.broadcast(bloom_filter(tests.select("hash").distinct()))
 
     def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,26 +153,29 @@ def find_overlaps(docs: DataFrame, items: DataFrame, min_words: int = 12, min_eq
     scanned = docs.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").mapInPandas(stretches, "id string, begin int, words array<long>, ats array<int>, hashes array<long>")
     # ids pass through pandas as strings: a column with nulls would become double there
     kept = stored(scanned.withColumn("part", F.monotonically_increasing_id()), "decontaminate")
+    bloom.destroy()
     hits = (
         kept.select("part", F.inline(F.arrays_zip("ats", "hashes"))).join(tests.select(F.col("hash").alias("hashes"), "item_id", "item_at"), "hashes")
-        .select("part", "item_id", (F.col("ats") - F.col("item_at")).alias("diagonal")).distinct()
+        .groupBy("part", "item_id").agg(F.collect_set(F.col("ats") - F.col("item_at")).alias("diagonals"))
     )
-    whole = tests.select("item_id", F.col("words").alias("item_words")).distinct()
-    pairs = hits.join(whole, "item_id").join(kept.select("part", "id", "begin", "words"), "part")
+    pairs = hits.join(words, "item_id").join(kept.select("part", "id", "begin", "words"), "part")
     item_kind = items.schema[item_id].dataType.simpleString()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for r in b.itertuples(index=False):
-                lo, hi = max(0, r.diagonal), min(len(r.words), r.diagonal + len(r.item_words))
-                equal = r.words[lo:hi] == r.item_words[lo - r.diagonal : hi - r.diagonal]
-                a, z = best_stretch(equal, min_equal)
-                if z - a >= min(min_words, len(r.item_words)) and equal[a:z].mean() >= min_equal:
-                    rows.append((r.id, r.item_id, z - a, int(equal[a:z].sum()), int(r.begin + lo + a), int(lo + a - r.diagonal)))
+                for diagonal in sorted(r.diagonals):
+                    lo, hi = max(0, diagonal), min(len(r.words), diagonal + len(r.item_words))
+                    equal = r.words[lo:hi] == r.item_words[lo - diagonal : hi - diagonal]
+                    if np.count_nonzero(equal) < min_equal * min(min_words, len(r.item_words)):
+                        continue
+                    a, z = best_stretch(equal, min_equal)
+                    if z - a >= min(min_words, len(r.item_words)) and equal[a:z].mean() >= min_equal:
+                        rows.append((r.id, r.item_id, z - a, int(equal[a:z].sum()), int(r.begin + lo + a), int(lo + a - diagonal)))
             yield pd.DataFrame(rows, columns=["id", "item_id", "n_words", "n_equal", "doc_at", "item_at"])
 
-    found = pairs.select("id", "item_id", "begin", "diagonal", "words", "item_words").mapInPandas(verify, f"id string, item_id {item_kind}, n_words int, n_equal int, doc_at int, item_at int")
+    found = pairs.select("id", "item_id", "begin", "diagonals", "words", "item_words").mapInPandas(verify, f"id string, item_id {item_kind}, n_words int, n_equal int, doc_at int, item_at int")
     best = F.max(F.struct("n_equal", "n_words", (-F.col("doc_at")).alias("d"), (-F.col("item_at")).alias("i"))).alias("best")
     return found.groupBy("id", "item_id").agg(best).select(F.col("id").cast(docs.schema[id].dataType).alias(id), F.col("item_id").alias(item_id), "best.n_words", "best.n_equal", (-F.col("best.d")).alias("doc_at"), (-F.col("best.i")).alias("item_at"))
 
@@ -172,7 +183,7 @@ def find_overlaps(docs: DataFrame, items: DataFrame, min_words: int = 12, min_eq
 def decontaminate(docs: DataFrame, items: DataFrame, id: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the rows whose text overlaps a benchmark item (rows without an id are judged by their null id)."""
     bad = find_overlaps(docs, items, id=id, **options).select(F.col(id).alias("__bad")).distinct()
-    return docs.join(bad, docs[id].eqNullSafe(F.col("__bad")), "left_anti")
+    return docs.join(bad, docs[id].eqNullSafe(bad["__bad"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
