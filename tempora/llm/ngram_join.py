@@ -4,9 +4,10 @@ A document's set is its distinct word shingles (five words; A-Z lower-cased, wor
 space; with fewer words the whole sequence; without words the set is empty and links with nothing).
 Two sets link when ``100 * intersection >= percent * union``.
 
-1. Counts: all shingles of all documents are counted in a table of fixed size (2**22 cells, 16 MB)
-   that tasks fill and a tree of sums merges.  A cell's count orders its shingles, rarest first, ties
-   by hash.  Any order gives right results; cells shared by chance only make it less sharp.
+1. Counts: all shingles of all documents are counted in a table of fixed size (2**22 cells)
+   that tasks fill and a tree of sums merges; of the sums, tasks are sent their logarithms (a byte each, 4 MB).  A cell's
+   level orders its shingles, rarest first, ties by hash.  Any order gives right results; cells shared by chance only
+   make it less sharp.
 2. Prefixes: a set of n that reaches the threshold with another shares one of its n - ceil(t n) + 1
    first shingles with it.  Equal sets are one class; each task emits a class once.
 3. Candidates: prefix shingles are grouped; those of one class only are dropped.  Length filter:
@@ -37,6 +38,7 @@ from math import ceil, log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,23 +93,29 @@ def members_and_counts(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInPandas(of, "doc_id string, class long, n int, ranges binary, part long, block int, cells binary")
 
 
-def summed_counts(parts: DataFrame, tasks: int) -> np.ndarray:
-    """The sum of all tasks' tables by a tree of sums in which about FAN_IN tables meet; saturates at 2**32 - 1."""
+def count_levels(parts: DataFrame, tasks: int) -> np.ndarray:
+    """The sum of all tasks' tables by a tree of sums in which about FAN_IN tables meet, as levels: 10 to each doubling up to 2**25."""
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
+    def adder(last: bool):
+        return lambda group: add(group, last)
+
+    def add(group: pa.Table, last: bool) -> pa.Table:
         total = np.zeros(CELLS // BLOCKS, np.uint64)
         for x in group["cells"]:
-            total += np.frombuffer(zlib.decompress(x), np.uint32)
-        return pd.DataFrame({"part": group["part"].iloc[:1], "block": group["block"].iloc[:1], "cells": [zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)]})
-
-    for level in range(max(1, ceil(log(tasks, FAN_IN)))):
-        tasks = ceil(tasks / FAN_IN)
+            total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+        total = np.minimum(10 * np.log2(total + 1.0), 255).astype(np.uint8) if last else np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
+        return pa.table({"part": group["part"][:1], "block": group["block"][:1], "cells": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    levels = max(1, ceil(log(tasks, FAN_IN)))
+    for level in range(levels):
+        last = level == levels - 1
+        tasks = 1 if last else ceil(tasks / FAN_IN)
         meet = F.pmod(F.xxhash64("part", F.lit(level)), F.lit(tasks)).alias("meet")
-        parts = parts.groupBy("block", meet).applyInPandas(lambda g: add(g), "part long, block int, cells binary")
-    cells = np.zeros(CELLS, np.uint64)
-    for r in parts.toLocalIterator():
-        cells[r.block * (CELLS // BLOCKS) : (r.block + 1) * (CELLS // BLOCKS)] += np.frombuffer(zlib.decompress(bytes(r.cells)), np.uint32)
-    return np.minimum(cells, 0xFFFFFFFF).astype(np.uint32)
+        parts = parts.groupBy("block", meet).applyInArrow(adder(last), "part long, block int, cells binary")
+    found, out = parts.toArrow(), np.zeros((BLOCKS, CELLS // BLOCKS), np.uint8)
+    for block, data in zip(found["block"].to_pylist(), found["cells"], strict=True):
+        out[block] = np.frombuffer(zlib.decompress(data.as_py()), np.uint8)
+    return out.reshape(-1)
 
 
 def postings(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
@@ -141,7 +149,7 @@ def id_hash(ids: list[str | None]) -> np.ndarray:
 
 
 def whole_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """(class, grams) of ``classes``, each from one of its documents, in one scan of the documents.
+    """(class, grams) of ``classes``, stored, each from one of its documents, in one scan of the documents.
 
     A Bloom filter of fixed size over the chosen ids keeps other documents from being cut into shingles; those
     that pass by chance drop out when the sets are joined.
@@ -165,7 +173,9 @@ def whole_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, size: in
                     yield pd.DataFrame({"class": [set_class(g) for g in part], "grams": [g.view(np.int64) for g in part]})
             give_back()
 
-    return docs.mapInPandas(of, "class long, grams array<long>")
+    sets = stored(docs.mapInPandas(of, "class long, grams array<long>"), "sets")
+    bloom.destroy()
+    return sets
 
 
 def needed(n: Column, m: Column, percent: int) -> Column:
@@ -196,7 +206,7 @@ def near_pairs(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 def verify(pairs: DataFrame, docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link, each compared once on the whole sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    sets = stored(whole_sets(docs, wanted, members, size), "sets")
+    sets = whole_sets(docs, wanted, members, size)
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("class").alias("b"), F.col("grams").alias("gb")), "b")
     shared, total = F.size(F.array_intersect("ga", "gb")), F.size("ga") + F.size("gb")
     return both.select("a", "b", shared.alias("shared"), total.alias("total")).where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
@@ -210,7 +220,7 @@ def link_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", size: i
     tasks = max(1, rows.rdd.getNumPartitions())
     scanned = stored(members_and_counts(rows, size), "members")
     members = scanned.where("block IS NULL").select("doc_id", "class", "n", "ranges")
-    counts = spark.sparkContext.broadcast(summed_counts(scanned.where("block IS NOT NULL").select("part", "block", "cells"), tasks))
+    counts = spark.sparkContext.broadcast(count_levels(scanned.where("block IS NOT NULL").select("part", "block", "cells"), tasks))
 
     alike = Window.partitionBy("gram")
     lead = F.struct("spot", "class")
@@ -219,14 +229,26 @@ def link_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", size: i
         .where("first.class <> last.class").select("gram", F.struct("class", "spot").alias("x"), F.col("first").alias("y")),
         "postings",
     )
+    counts.destroy()
 
     pair = [F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")]
     star = stored(near_pairs(shared.where((F.col("x.class") != F.col("y.class")) & may_link(percent)).select(*pair).distinct(), members, percent), "pairs")
     links = stored(verify(star, rows, members, size, percent), "links")
-    groups = connected_components(links)
+    # a class goes into the components under its smallest id, so that the smallest node of a component holds the result
+    key = F.col("doc_id").cast(docs.schema[id].dataType)
+    lows = stored(members.groupBy("class").agg(F.min(key).alias("low")), "classes")
+    name = F.struct(F.col("low").isNull().alias("none"), "low", "class")
+
+    def components(links: DataFrame) -> DataFrame:
+        """(class, head, low): the class that heads each linked class's component, and its smallest id."""
+        a, b = (lows.select(F.col("class").alias(c), name.alias(f"node_{c}")) for c in ("a", "b"))
+        found = connected_components(links.join(a, "a").join(b, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+        return found.select("node.class", F.col("component.class").alias("head"), "component.low")
+
+    groups = components(links)
 
     # pairs in groups that hold several components after the star pass
-    named = shared.select("gram", "x").join(groups, F.col("x.class") == F.col("node"), "left").select("gram", "x", F.coalesce("component", "x.class").alias("c"))
+    named = shared.select("gram", "x").join(groups, F.col("x.class") == F.col("class"), "left").select("gram", "x", F.coalesce("head", "x.class").alias("c"))
     mixed = stored(named.withColumn("low", F.min("c").over(alike)).withColumn("high", F.max("c").over(alike)).where("low <> high").select("gram", "x", "c"), "rest")
     other = mixed.select("gram", F.col("x").alias("y"), F.col("c").alias("d"))
     rest = mixed.join(other, "gram").where((F.col("c") != F.col("d")) & (F.col("x.class") < F.col("y.class")) & may_link(percent)).select(*pair).distinct()
@@ -234,11 +256,9 @@ def link_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", size: i
     if not new.isEmpty():
         more = stored(verify(new, rows, members, size, percent), "links")
         if not more.isEmpty():
-            groups = connected_components(links.unionAll(more))
+            groups = components(links.unionAll(more))
 
-    key = F.col("doc_id").cast(docs.schema[id].dataType)
-    classes = members.groupBy("class").agg(F.min(key).alias("low")).join(groups, F.col("class") == F.col("node"), "left").select("class", "low", F.coalesce("component", "class").alias("group"))
-    known = classes.select("class", "group").join(classes.groupBy("group").agg(F.min("low").alias("component_id")), "group").select("class", "component_id")
+    known = lows.join(groups.select("class", F.col("low").alias("least")), "class", "left").select("class", F.coalesce("least", "low").alias("component_id"))
     out = members.select("class", key.alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles")).join(known, "class", "left")
     return out.select(F.col("doc_id").alias(id), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -247,7 +267,7 @@ def keep_one(docs: DataFrame, id: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one document of each group, that with the smallest id. Rows without an id stay, as do rows that share the kept id."""
     groups = link_groups(docs, id=id, **options).where(F.col(id).isNull() | (F.col("component_id") == F.col(id)))
     keep = groups.select(F.col(id).alias("__keep")).distinct()
-    return docs.join(keep, docs[id].eqNullSafe(F.col("__keep")), "left_semi")
+    return docs.join(keep, docs[id].eqNullSafe(keep["__keep"]), "left_semi")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
