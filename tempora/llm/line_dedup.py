@@ -6,20 +6,20 @@ the grams inside the shortest run with at least ``run_words`` words or ``run_lin
 window the gram with the smallest hash is a fingerprint (the last of equals).  So every repeated run as long as
 a window has a fingerprint in common with its earlier copy, and nothing shorter than a gram is found.
 
-All places of a fingerprint are joined with its first place only, never with each other.  Each match is extended
-both ways while the lines stay equal, and the later of the two runs is deleted with the
+All places of a fingerprint are joined with its first place only, never with each other.  The matches of two rows at one
+shift are extended together, both ways while the lines stay equal, and the later of the two runs is deleted with the
 blank lines inside it.  The first place need not be the copy that agrees for longest, so every window is keyed whole as
 well and deleted if its first place is earlier: a repeated run as long as a window goes whole, whichever document
 holds its earlier copy.  "Earlier" is by (id, row, line), null ids first.  A line is deleted only
 because the same line stands earlier, so the first copy of any line in the corpus always stays.
 
-Built from Spark expressions only: arrays of line hashes, explode, aggregation, joins on keys.  The texts
+Built from Spark expressions only: arrays of line hashes, explode, aggregation, joins on keys.  Rows are numbered once, in
+a table in the shared folder that all later steps read, so a step that runs again sees the same numbers.  The texts
 are shuffled once, to meet the runs to be deleted from them.
 
 Defined results: rows and other columns stay, whatever their names; null and empty texts stay;
 a text all of whose lines go becomes empty; repeated rows are repeats of the first; an empty table
-gives an empty result.  The input must give the same rows in the same order when read again (a
-table does), as rows are numbered by their place in it.
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -75,31 +75,27 @@ def fingerprints(gram_words: int, gram_lines: int, run_words: int, run_lines: in
     return F.transform(every, gram), F.filter(F.array_distinct(F.transform(every, least_of)), lambda x: x.isNotNull()), F.filter(F.transform(grams, window), lambda x: x.isNotNull())
 
 
-def repeated_runs(docs: DataFrame, id: str, text: str, gram_words: int, gram_lines: int, run_words: int, run_lines: int) -> DataFrame:
-    """(row, first, last): the lines [first, last] of the numbered rows that are to be deleted."""
-    base = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).withColumn("row", F.monotonically_increasing_id())
-    base = base.select("id", "row", numbered_lines(F.col("text")).alias("lines")).where(F.size("lines") > 0)
+def repeated_runs(rows: DataFrame, id: str, text: str, gram_words: int, gram_lines: int, run_words: int, run_lines: int) -> DataFrame:
+    """(row, first, last): the lines [first, last] of the numbered rows (data, row) that are to be deleted."""
+    base = rows.select(F.col(f"data.`{id}`").alias("id"), "row", numbered_lines(F.col(f"data.`{text}`")).alias("lines")).where(F.size("lines") > 0)
     grams, least, windows = fingerprints(gram_words, gram_lines, run_words, run_lines)
     picked = base.withColumn("grams", grams).withColumn("picked", least).withColumn("windows", windows)
     lined = stored(picked.select("id", "row", F.transform("lines", lambda x: x.h).alias("hashes"), F.transform("lines", lambda x: x.pos).alias("places"), "picked", "windows"), "lines")
 
     place = lined.select("id", "row", F.inline("picked")).select("gram", F.struct("id", "row", (-F.col("back")).alias("at")).alias("place"))
     first = place.groupBy("gram").agg(F.min("place").alias("first"), F.max("place").alias("final")).where("first <> final").select("gram", "first")
-    hits = place.join(first, "gram").where("place <> first").select(F.col("place.row").alias("row"), F.col("place.at").alias("at"), F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at"))
-
-    a, b, at, first_at = F.col("hashes"), F.col("first_hashes"), F.col("at"), F.col("first_at")
-    ahead = F.least(F.size(a) - at, F.size(b) - first_at)
-    behind = F.least(at, first_at)
-
-    def equal_steps(most: Column, sign: int) -> Column:
-        """How many lines from the match on are equal, forwards (0, 1, ...) or backwards (1, 2, ...)."""
-        steps = F.sequence(F.lit(0), most - 1) if sign > 0 else F.sequence(F.lit(1), most)
-        other = F.array_min(F.filter(steps, lambda k: F.get(a, at + sign * k) != F.get(b, first_at + sign * k)))
-        return F.when(most > 0, F.coalesce(other - (0 if sign > 0 else 1), most)).otherwise(0)
-
-    sides = hits.join(lined.select("row", "hashes", "places"), "row").join(lined.select(F.col("row").alias("first_row"), F.col("hashes").alias("first_hashes")), "first_row")
-    runs = sides.select("row", "places", (at - equal_steps(behind, -1)).alias("a"), (at + equal_steps(ahead, 1) - 1).alias("z"))
-    extended = runs.select("row", F.get("places", F.col("a")).alias("first"), F.get("places", F.col("z")).alias("last")).distinct()
+    hits = place.join(first, "gram").where("place <> first")
+    # the hits that two rows have at one shift are extended together, in one pass over the lines laid over each other
+    shift = (F.col("place.at") - F.col("first.at")).alias("shift")
+    pairs = hits.groupBy(F.col("place.row").alias("row"), F.col("first.row").alias("first_row"), shift).agg(F.collect_set("place.at").alias("ats"))
+    a, b, shift = F.col("hashes"), F.col("first_hashes"), F.col("shift")
+    low, high = F.greatest(shift, F.lit(0)), F.least(F.size(a), F.size(b) + shift)
+    sides = pairs.join(lined.select("row", "hashes", "places"), "row").join(lined.select(F.col("row").alias("first_row"), F.col("hashes").alias("first_hashes")), "first_row")
+    breaks = F.filter(F.sequence(low, high - 1), lambda p: F.get(a, p) != F.get(b, p - shift))
+    edges = sides.select("row", "places", "ats", F.concat(F.array(low - 1), breaks, F.array(high)).alias("edges"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("edges") - 2), lambda i: F.struct((F.get("edges", i) + 1).alias("a"), (F.get("edges", i + 1) - 1).alias("z")))
+    matched = edges.select("row", "places", F.inline(F.filter(runs, lambda r: F.exists("ats", lambda at: at.between(r.a, r.z)))))
+    extended = matched.select("row", F.get("places", F.col("a")).alias("first"), F.get("places", F.col("z")).alias("last"))
 
     # whole windows, each joined with its first place only; the second hash is compared where the first one is equal
     window = lined.select("id", "row", F.inline("windows")).select("window", "to", F.struct("id", "row", "from", "check").alias("place"))
@@ -110,9 +106,10 @@ def repeated_runs(docs: DataFrame, id: str, text: str, gram_words: int, gram_lin
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", gram_words: int = 25, gram_lines: int = 3, run_words: int = 50, run_lines: int = 4) -> DataFrame:
     """``docs`` with later repeats of runs of lines taken out of ``text``."""
-    runs = repeated_runs(docs, id, text, gram_words, gram_lines, run_words, run_lines)
-    cuts = runs.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("cuts"))
-    whole = docs.select(packed(docs, "data")).withColumn("row", F.monotonically_increasing_id()).join(cuts, "row", "left")
+    rows = stored(docs.select(packed(docs, "data")).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    runs = repeated_runs(rows, id, text, gram_words, gram_lines, run_words, run_lines)
+    cuts = runs.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("cuts"))
+    whole = rows.join(cuts, "row", "left")
     value = F.col(f"data.`{text}`")
 
     def merged(ranges: Column) -> Column:
