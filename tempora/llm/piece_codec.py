@@ -202,7 +202,9 @@ def encode_texts(texts: list[str], v: Pieces) -> tuple[np.ndarray, np.ndarray]:
 
 
 def decode_ids(ids: np.ndarray, v: Pieces) -> str:
-    """The text of ids; the blank before the first word goes."""
+    """The text of ids; the blank before the first word goes. Ids that the model does not have are an error."""
+    if len(ids) and not 0 <= ids.min() <= ids.max() < len(v.texts):
+        raise ValueError(f"ids outside 0 to {len(v.texts) - 1}")
     return b"".join([v.texts[i] for i in ids.tolist()]).decode("utf-8", "surrogatepass").removeprefix(" ")
 
 
@@ -211,7 +213,7 @@ def decoder(v: Pieces):
 
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else decode_ids(np.asarray(x), v) for x in ids], dtype=object)
+        return pd.Series([None if x is None or pd.isna(x).any() else decode_ids(np.asarray(x, np.int64), v) for x in ids], dtype=object)
 
     return decode
 

@@ -56,3 +56,11 @@ def test_round_trip_and_cases(spark, pieces):
 def test_query_is_exact(spark, sf_dir):
     assert c.query(spark, sf_dir).where("NOT exact OR n_tokens <> size(ids)").count() == 0
     assert np.isfinite(c.Pieces.load(c.MODEL).scores).all()
+
+
+def test_ids_that_are_no_pieces(spark, pieces):
+    for bad in ([-1, -2], [5, len(pieces.texts)]):
+        with pytest.raises(ValueError):
+            c.decode_ids(np.array(bad), pieces)
+    df = spark.createDataFrame([([259, None],), (None,), ([],)], "ids array<int>")
+    assert [r.text for r in c.decode(df).collect()] == [None, None, ""]
