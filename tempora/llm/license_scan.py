@@ -6,7 +6,8 @@ digests of known texts.  Units looked up are every entire document and every ent
 notice such as "Released under the MIT License." is a line of its own).
 
 The known texts are a table; nothing is broadcast by hand, so Spark joins a small table by
-broadcast and a large one by shuffle.  One scan of the documents, no shuffle of their texts.
+broadcast and a large one by shuffle.  Only units as long as some known text are hashed.  One scan of the documents, no
+shuffle of their texts.
 
 Defined results: one row per hit, in no order: null, empty and punctuation-only texts have no hit;
 repeated rows give repeated hits; a unit that equals several known licences gives one row for each;
@@ -67,6 +68,24 @@ KNOWN = [
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
 ]
 
+# Digests and lengths of the canonical forms (``known_digests``) of more public licences' whole texts, as their publishers give them.
+DIGESTS = [
+    ("Apache-2.0", "f813bb2c8a0df8ee210168b6f69c7fc497924d1568a30ac17bec919112bd1d53", 9923),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702", 5833),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651", 1361),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", 6692),
+    ("GFDL-1.2", "71c532bbed0a27a310a347e640090ae15d10b12867dbb01eabbb4a0c3a81e3bf", 19582),
+    ("GFDL-1.3", "fec9cc5e5c1e9857dbb9bbf6f5507fab30f7b21ed301a6d1b150b2790a06992b", 22017),
+    ("GPL-1.0", "a8fff404cd2e16b4410d4b541b4b81de8897d4680a0bf9d8fd49845d901c5ae3", 11766),
+    ("GPL-2.0", "ba85b45f95a74795e68bc4e004ec7cf4bf64ce8b447ede551bbe4eb7a9b53a7c", 17118),
+    ("GPL-3.0", "f12d187744fb4cd1d2a0eedaf8399aef21ee6a6d43d1554753a29ab928bd47ae", 33406),
+    ("LGPL-2.0", "a8198070973030abc02b2ee6cc7ae0576aa62f61abe3291d932d20ad02eafae4", 24130),
+    ("LGPL-2.1", "46d2725e225a88f2a72cbd615d17658ae817fbee8bdbc26a67c2afd780518db4", 25217),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", 7104),
+    ("MPL-1.1", "e89167a01f755ab1d3defe557d60489b0399b5e1e64cf4811304da092927995b", 22451),
+    ("MPL-2.0", "0c0e48da106b389986ac108e2ee0ad1c64670b63f2fbe0703edcbaedb049daa8", 14343),
+]
+
 COPYRIGHT = r"(?m)^[^a-z\n]*(?:copyright[ \t]+(?:\(c\)|©|[0-9]{4}|<year>)|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*$"
 
 
@@ -74,15 +93,18 @@ def canonical_lines(text: Column) -> Column:
     """The lines of a text without case, punctuation, copyright lines and variant spellings; blank lines go."""
     text = F.regexp_replace(F.lower(text), COPYRIGHT, "")
     text = F.regexp_replace(text, r"[^\p{L}\p{N}\n]+", " ")
+    spelled = text
     for a, b in SPELLINGS:
-        text = F.replace(text, F.lit(a), F.lit(b))
+        spelled = F.replace(spelled, F.lit(a), F.lit(b))
+    text = F.when(text.rlike("|".join(a for a, _ in SPELLINGS)), spelled).otherwise(text)  # one sweep where nothing is to be replaced
     return F.filter(F.transform(F.split(text, "\n", -1), lambda line: F.trim(line)), lambda line: line != "")
 
 
 def known_digests(known: DataFrame) -> DataFrame:
-    """(license_id, text) to (license_id, digest)."""
+    """(license_id, text) to (license_id, digest, size): the digest and the length of the canonical text."""
     lines = known.dropna(subset=["license_id", "text"]).select("license_id", canonical_lines(F.col("text")).alias("lines"))
-    return lines.where(F.size("lines") > 0).select("license_id", F.sha2(F.array_join("lines", " "), 256).alias("digest")).distinct()
+    text = F.array_join("lines", " ")
+    return lines.where(F.size("lines") > 0).select("license_id", F.sha2(text, 256).alias("digest"), F.length(text).alias("size")).distinct()
 
 
 def builtin_licenses(spark: SparkSession) -> DataFrame:
@@ -90,19 +112,31 @@ def builtin_licenses(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {quoted} AS t(license_id, text)")
 
 
-def scan_licenses(docs: DataFrame, known: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Hits (id, scope, line_no, license_id, digest); scope is ``text`` (line_no -1) or ``line``."""
-    lines = docs.select(F.col(id).alias("id"), canonical_lines(F.col(text)).alias("lines")).where(F.size("lines") > 0)
-    whole = F.array(F.struct(F.lit(-1).alias("line_no"), F.sha2(F.array_join("lines", " "), 256).alias("digest")))
-    each = F.transform("lines", lambda line, i: F.struct(i.alias("line_no"), F.sha2(line, 256).alias("digest")))
-    units = lines.select("id", F.inline(F.concat(whole, each)))
+def builtin_digests(spark: SparkSession) -> DataFrame:
+    rows = ", ".join(f"('{i}', '{d}', {n})" for i, d, n in DIGESTS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(license_id, digest, size)")
+
+
+def scan_licenses(docs: DataFrame, known: DataFrame, digests: DataFrame | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Hits (id, scope, line_no, license_id, digest); scope is ``text`` (line_no -1) or ``line``.
+
+    ``digests`` (license_id, digest, size) are those of more known texts.
+    """
+    known = known_digests(known)
+    known = known if digests is None else known.unionByName(digests).distinct()
+    sizes = known.select(F.collect_set("size")).scalar()  # one number for each length that a known text has
+    lines = docs.select(F.col(f"`{id}`").alias("id"), canonical_lines(F.col(f"`{text}`")).alias("lines")).where(F.size("lines") > 0)
+    whole = F.array(F.struct(F.lit(-1).alias("line_no"), F.array_join("lines", " ").alias("unit")))
+    each = F.transform("lines", lambda line, i: F.struct(i.alias("line_no"), line.alias("unit")))
+    units = lines.withColumn("sizes", sizes).select("id", F.inline(F.filter(F.concat(whole, each), lambda u: F.array_contains("sizes", F.length(u.unit)))))
+    hashed = units.select("id", "line_no", F.sha2("unit", 256).alias("digest"))
     scope = F.when(F.col("line_no") < 0, "text").otherwise("line").alias("scope")
-    return units.join(known_digests(known), "digest").select(F.col("id").alias(id), scope, "line_no", "license_id", "digest")
+    return hashed.join(known.drop("size"), "digest").select(F.col("id").alias(id), scope, "line_no", "license_id", "digest")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: every document and every line of it."""
-    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), builtin_licenses(spark))
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), builtin_licenses(spark), builtin_digests(spark))
 
 
 def _sql_lines(column: str) -> str:
@@ -114,7 +148,7 @@ def _sql_lines(column: str) -> str:
 
 SQL = f"""
 WITH known(license_id, text) AS (VALUES {", ".join("('" + i + "', '" + t.replace("'", "''") + "')" for i, t in KNOWN)}),
-digests AS (SELECT DISTINCT license_id, sha256(array_to_string({_sql_lines("text")}, ' ')) AS digest FROM known),
+digests AS (SELECT license_id, sha256(array_to_string({_sql_lines("text")}, ' ')) AS digest FROM known UNION SELECT * FROM (VALUES {", ".join(f"('{i}', '{d}')" for i, d, _ in DIGESTS)})),
 docs AS (SELECT doc_id, {_sql_lines("text")} AS lines FROM documents WHERE text IS NOT NULL),
 units AS (
   SELECT doc_id, -1 AS line_no, sha256(array_to_string(lines, ' ')) AS digest FROM docs WHERE len(lines) > 0
