@@ -43,7 +43,7 @@ from .common import chunks, give_back, lower_ascii, packed, stored, table
 from .url_filter import url_host
 
 CELLS, PSEUDO, TEMPER, STRENGTH, UNKNOWN = 1 << 18, 0.01, 60.0, 8.0, 0.001
-SMALL_ROWS, SALTS = 50_000, 64
+BLOCKS, SMALL_ROWS, SALTS = 16, 50_000, 64
 CHUNK_CHARS = 1_000_000
 OPENING, TAG = re.compile(r"(?i)<(script|style)\b"), re.compile(r"<[^>]*>")
 CLOSING = {"script": re.compile(r"(?i)</script\s*>"), "style": re.compile(r"(?i)</style\s*>")}
@@ -123,20 +123,24 @@ def fit_text_model(labelled: DataFrame, text: str, label: str, sample: int = 4_0
                 cells, starts = trigram_cells(b["text"].slice(lo, hi - lo).to_pylist())
                 of, found = np.repeat(labels[lo:hi], np.diff(starts)), []
                 for k in np.unique(labels[lo:hi]):
-                    found.append((k, zlib.compress(np.bincount(cells[of == k], minlength=CELLS).astype(np.uint32).tobytes(), 1)))
-                yield pa.RecordBatch.from_pydict({"label": pa.array([k for k, _ in found], pa.int32()), "cells": pa.array([c for _, c in found], pa.binary())})
+                    blocks = np.split(np.bincount(cells[of == k], minlength=CELLS).astype(np.uint32), BLOCKS)
+                    found += [(k, i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(blocks)]
+                k, i, x = zip(*found, strict=True)
+                yield pa.RecordBatch.from_pydict({"label": pa.array(k, pa.int32()), "block": pa.array(i, pa.int32()), "cells": pa.array(x, pa.binary())})
             give_back()
 
     def add(key: tuple, group: pa.Table) -> pa.Table:
-        total = np.full(CELLS, PSEUDO)
-        for c in group["cells"]:
-            total += np.frombuffer(zlib.decompress(c.as_py()), np.uint32)
-        return pa.table({"label": pa.array([key[0].as_py()], pa.int32()), "log": pa.array([np.log(total / total.sum()).astype(np.float32).tobytes()], pa.binary())})
-
-    counted = drawn.mapInArrow(count, "label int, cells binary").groupBy("label").applyInArrow(add, "label int, log binary").toArrow()
-    found = sorted((sizes[k - 1].label, i) for i, k in enumerate(counted["label"].to_pylist()))
-    log = [np.frombuffer(counted["log"][i].as_buffer(), np.float32) for _, i in found]
-    return TextModel([name for name, _ in found], np.array(log).reshape(len(found), CELLS))
+        total = sum(np.frombuffer(zlib.decompress(c.as_py()), np.uint32).astype(np.uint64) for c in group["cells"])
+        return pa.table({"label": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "cells": pa.array([zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)], pa.binary())})
+
+    kind = "label int, block int, cells binary"
+    counted = drawn.mapInArrow(count, kind).groupBy("label", "block").applyInArrow(add, kind).toArrow()
+    log = np.full((len(sizes), BLOCKS, CELLS // BLOCKS), PSEUDO, np.float32)
+    for k, i, x in zip(counted["label"].to_pylist(), counted["block"].to_pylist(), counted["cells"], strict=True):
+        log[k - 1, i] += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+    order = sorted({k - 1 for k in counted["label"].to_pylist()}, key=lambda k: sizes[k].label)
+    log = log.reshape(len(sizes), CELLS)[order]
+    return TextModel([sizes[k].label for k in order], np.log(log / log.sum(axis=1, keepdims=True, dtype=np.float64)).astype(np.float32))
 
 
 def softmax(scores: Column) -> Column:
