@@ -10,16 +10,16 @@ All places of a fingerprint are joined with its first place only, never with eac
 shift are extended together, both ways while the lines stay equal, and the later of the two runs is deleted with the
 blank lines inside it.  The first place need not be the copy that agrees for longest, so every window is keyed whole as
 well and deleted if its first place is earlier: a repeated run as long as a window goes whole, whichever document
-holds its earlier copy.  "Earlier" is by (id, row, line), null ids first.  A line is deleted only
+holds its earlier copy.  "Earlier" is by (id, hash of the text, line), null ids first.  A line is deleted only
 because the same line stands earlier, so the first copy of any line in the corpus always stays.
 
-Built from Spark expressions only: arrays of line hashes, explode, aggregation, joins on keys.  Rows are numbered once, in
-a table in the shared folder that all later steps read, so a step that runs again sees the same numbers.  The texts
-are shuffled once, to meet the runs to be deleted from them.
+Built from Spark expressions only: arrays of line hashes, explode, aggregation, joins on keys.  A row is known by its
+id and a hash of its text, so every step that runs again finds the same rows.  The texts are shuffled once, to meet
+the runs to be deleted from them.
 
 Defined results: rows and other columns stay, whatever their names; null and empty texts stay;
-a text all of whose lines go becomes empty; repeated rows are repeats of the first; an empty table
-gives an empty result.
+a text all of whose lines go becomes empty; rows with equal ids and equal texts are one document and treated alike;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -75,14 +75,19 @@ def fingerprints(gram_words: int, gram_lines: int, run_words: int, run_lines: in
     return F.transform(every, gram), F.filter(F.array_distinct(F.transform(every, least_of)), lambda x: x.isNotNull()), F.filter(F.transform(grams, window), lambda x: x.isNotNull())
 
 
-def repeated_runs(rows: DataFrame, id: str, text: str, gram_words: int, gram_lines: int, run_words: int, run_lines: int) -> DataFrame:
-    """(row, first, last): the lines [first, last] of the numbered rows (data, row) that are to be deleted."""
-    base = rows.select(F.col(f"data.`{id}`").alias("id"), "row", numbered_lines(F.col(f"data.`{text}`")).alias("lines")).where(F.size("lines") > 0)
+def row_key(id: Column, text: Column) -> Column:
+    """What a row is known by, in the order of ids."""
+    return F.struct(id.alias("id"), F.xxhash64(text).alias("hash"), F.length(text).alias("size"))
+
+
+def repeated_runs(docs: DataFrame, id: str, text: str, gram_words: int, gram_lines: int, run_words: int, run_lines: int) -> DataFrame:
+    """(row, first, last): the lines [first, last] of the rows that are to be deleted."""
+    base = docs.select(row_key(F.col(f"`{id}`"), F.col(f"`{text}`")).alias("row"), numbered_lines(F.col(f"`{text}`")).alias("lines")).where(F.size("lines") > 0)
     grams, least, windows = fingerprints(gram_words, gram_lines, run_words, run_lines)
     picked = base.withColumn("grams", grams).withColumn("picked", least).withColumn("windows", windows)
-    lined = stored(picked.select("id", "row", F.transform("lines", lambda x: x.h).alias("hashes"), F.transform("lines", lambda x: x.pos).alias("places"), "picked", "windows"), "lines")
+    lined = stored(picked.select("row", F.transform("lines", lambda x: x.h).alias("hashes"), F.transform("lines", lambda x: x.pos).alias("places"), "picked", "windows"), "lines")
 
-    place = lined.select("id", "row", F.inline("picked")).select("gram", F.struct("id", "row", (-F.col("back")).alias("at")).alias("place"))
+    place = lined.select("row", F.inline("picked")).select("gram", F.struct("row", (-F.col("back")).alias("at")).alias("place"))
     first = place.groupBy("gram").agg(F.min("place").alias("first"), F.max("place").alias("final")).where("first <> final").select("gram", "first")
     hits = place.join(first, "gram").where("place <> first")
     # the hits that two rows have at one shift are extended together, in one pass over the lines laid over each other
@@ -90,7 +95,10 @@ def repeated_runs(rows: DataFrame, id: str, text: str, gram_words: int, gram_lin
     pairs = hits.groupBy(F.col("place.row").alias("row"), F.col("first.row").alias("first_row"), shift).agg(F.collect_set("place.at").alias("ats"))
     a, b, shift = F.col("hashes"), F.col("first_hashes"), F.col("shift")
     low, high = F.greatest(shift, F.lit(0)), F.least(F.size(a), F.size(b) + shift)
-    sides = pairs.join(lined.select("row", "hashes", "places"), "row").join(lined.select(F.col("row").alias("first_row"), F.col("hashes").alias("first_hashes")), "first_row")
+    # rows that are there several times are one
+    met = pairs.select(F.explode(F.array("row", "first_row")).alias("row")).distinct()
+    once = lined.select("row", "hashes", "places").join(met, "row", "left_semi").groupBy("row").agg(F.first("hashes").alias("hashes"), F.first("places").alias("places"))
+    sides = pairs.join(once, "row").join(once.select(F.col("row").alias("first_row"), F.col("hashes").alias("first_hashes")), "first_row")
     breaks = F.filter(F.sequence(low, high - 1), lambda p: F.get(a, p) != F.get(b, p - shift))
     edges = sides.select("row", "places", "ats", F.concat(F.array(low - 1), breaks, F.array(high)).alias("edges"))
     runs = F.transform(F.sequence(F.lit(0), F.size("edges") - 2), lambda i: F.struct((F.get("edges", i) + 1).alias("a"), (F.get("edges", i + 1) - 1).alias("z")))
@@ -98,7 +106,7 @@ def repeated_runs(rows: DataFrame, id: str, text: str, gram_words: int, gram_lin
     extended = matched.select("row", F.get("places", F.col("a")).alias("first"), F.get("places", F.col("z")).alias("last"))
 
     # whole windows, each joined with its first place only; the second hash is compared where the first one is equal
-    window = lined.select("id", "row", F.inline("windows")).select("window", "to", F.struct("id", "row", "from", "check").alias("place"))
+    window = lined.select("row", F.inline("windows")).select("window", "to", F.struct("row", "from", "check").alias("place"))
     origin = window.groupBy("window").agg(F.min("place").alias("origin"), F.max("place").alias("final")).where("origin <> final").select("window", "origin")
     again = window.join(origin, "window").where("place <> origin AND place.check = origin.check")
     return extended.unionByName(again.select(F.col("place.row").alias("row"), F.col("place.from").alias("first"), F.col("to").alias("last")))
@@ -106,10 +114,9 @@ def repeated_runs(rows: DataFrame, id: str, text: str, gram_words: int, gram_lin
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", gram_words: int = 25, gram_lines: int = 3, run_words: int = 50, run_lines: int = 4) -> DataFrame:
     """``docs`` with later repeats of runs of lines taken out of ``text``."""
-    rows = stored(docs.select(packed(docs, "data")).withColumn("row", F.monotonically_increasing_id()), "numbered")
-    runs = repeated_runs(rows, id, text, gram_words, gram_lines, run_words, run_lines)
+    runs = repeated_runs(docs, id, text, gram_words, gram_lines, run_words, run_lines)
     cuts = runs.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("cuts"))
-    whole = rows.join(cuts, "row", "left")
+    whole = docs.select(packed(docs, "data"), row_key(F.col(f"`{id}`"), F.col(f"`{text}`")).alias("row")).join(cuts, "row", "left")
     value = F.col(f"data.`{text}`")
 
     def merged(ranges: Column) -> Column:
