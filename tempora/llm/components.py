@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -18,12 +18,14 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = stored(both.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), "links")
-    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label")), "labels")
+    labels = before = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label")), "labels")
     while True:
         offers = edges.join(labels, edges.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("offer"))
         taken = labels.join(offers, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "offer").alias("label"))
         roots = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
         moved = stored(taken.join(roots, "label", "left").select("node", "old", F.least("label", "root").alias("label")), "labels")
-        labels = moved.select("node", "label")
-        if moved.where("label <> old").isEmpty():
+        done = moved.where("label <> old").isEmpty()
+        discard(before, *([edges] if done else []))
+        before, labels = moved, moved.select("node", "label")
+        if done:
             return labels.withColumnRenamed("label", "component")

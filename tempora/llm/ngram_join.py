@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bloom import bloom_filter, passing
-from .common import LOWER, UPPER, chunks, give_back, stored, table
+from .common import LOWER, UPPER, chunks, discard, give_back, stored, table
 from .components import connected_components
 from .tokens import distinct, shingle_lists
 
@@ -204,12 +204,15 @@ def near_pairs(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, each compared once on the whole sets."""
+    """The pairs (a, b) of classes that link, stored, each compared once on the whole sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     sets = whole_sets(docs, wanted, members, size)
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("class").alias("b"), F.col("grams").alias("gb")), "b")
     shared, total = F.size(F.array_intersect("ga", "gb")), F.size("ga") + F.size("gb")
-    return both.select("a", "b", shared.alias("shared"), total.alias("total")).where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
+    linked = both.select("a", "b", shared.alias("shared"), total.alias("total")).where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
+    links = stored(linked, "links")
+    discard(sets)
+    return links
 
 
 def link_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -233,7 +236,7 @@ def link_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", size: i
 
     pair = [F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")]
     star = stored(near_pairs(shared.where((F.col("x.class") != F.col("y.class")) & may_link(percent)).select(*pair).distinct(), members, percent), "pairs")
-    links = stored(verify(star, rows, members, size, percent), "links")
+    links = verify(star, rows, members, size, percent)
     # a class goes into the components under its smallest id, so that the smallest node of a component holds the result
     key = F.col("doc_id").cast(docs.schema[id].dataType)
     lows = stored(members.groupBy("class").agg(F.min(key).alias("low")), "classes")
@@ -254,11 +257,15 @@ def link_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", size: i
     rest = mixed.join(other, "gram").where((F.col("c") != F.col("d")) & (F.col("x.class") < F.col("y.class")) & may_link(percent)).select(*pair).distinct()
     new = stored(near_pairs(rest.join(star, ["a", "b"], "left_anti"), members, percent), "pairs")
     if not new.isEmpty():
-        more = stored(verify(new, rows, members, size, percent), "links")
+        more = verify(new, rows, members, size, percent)
         if not more.isEmpty():
             groups = components(links.unionAll(more))
+        discard(more)
+    discard(shared, star, links, mixed, new)
 
-    known = lows.join(groups.select("class", F.col("low").alias("least")), "class", "left").select("class", F.coalesce("least", "low").alias("component_id"))
+    # stored, so that both sides of the next join are shuffles of their own and a class with very many rows can be split
+    known = stored(lows.join(groups.select("class", F.col("low").alias("least")), "class", "left").select("class", F.coalesce("least", "low").alias("component_id")), "classes")
+    discard(lows)
     out = members.select("class", key.alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles")).join(known, "class", "left")
     return out.select(F.col("doc_id").alias(id), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
