@@ -6,9 +6,9 @@ Intervals of hosts nest or are apart.  Rule bounds and urls are sorted together
 each bound carries the stack of rules that are active behind it, and each url takes the stack of
 the last bound before it.  Of that stack, the longest rule whose path starts the url's path wins.
 
-Scale: the urls are dealt into slices of rows (not of hosts, so a hot host is cut as well), every
-slice gets the rule bounds, and the sweep is a window over each slice.  The number of slices is at
-most urls / bounds, so the copies of the bounds never outnumber the urls.
+Scale: bounds and urls are dealt into ranges of the key, in which a hot host is cut as well, as equal keys are spread by a
+hash behind the key.  The ranges are a table in the shared folder; a window sweeps each, and a range begins with the stack
+that is open where the one before it ends: one row a range is carried on.  Nothing is copied, whether rules or urls are more.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; a host that no
 rule fits gets a null rule and the default verdict; rules with a null host, path or verdict take no
@@ -19,12 +19,10 @@ columns included; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, packed, shuffle_partitions, table
+from .common import lower_ascii, packed, shuffle_partitions, stored, table
 
 STACK = "array<struct<size:int,host_size:int,path:string,rule:string,verdict:string>>"
 
@@ -62,23 +60,22 @@ def rule_bounds(rules: DataFrame) -> DataFrame:
     return opens.unionAll(closes)
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", slice_rows: int = 20_000) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule and verdict; ``rules`` has (host, path, verdict)."""
     spark = pages.sparkSession
     bounds = rule_bounds(rules)
-    n_rows, n_bounds = pages.count(), bounds.count()
-    slices = max(1, min(max(ceil(n_rows / slice_rows), 4 * shuffle_partitions(spark)), n_rows // max(1, n_bounds)))
     urls = pages.select(
-        F.pmod(F.monotonically_increasing_id(), F.lit(slices)).cast("int").alias("slice"),
-        host_key(url_host(F.col(url))).alias("key"), F.lit(1).alias("kind"), F.lit(None).cast(STACK).alias("stack"),
-        packed(pages), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"),
-    )
-    spread = bounds.select(
-        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "key", F.lit(0).alias("kind"), "stack",
-        F.lit(None).cast(urls.schema["row"].dataType).alias("row"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"),
+        host_key(url_host(F.col(f"`{url}`"))).alias("key"), F.lit(1).alias("kind"), F.xxhash64(F.to_json(packed(pages))).alias("spread"), F.lit(None).cast(STACK).alias("stack"),
+        packed(pages), url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"),
     )
-    sweep = Window.partitionBy("slice").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = urls.unionAll(spread).withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
+    marks = bounds.select("key", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("spread"), "stack", F.lit(None).cast(urls.schema["row"].dataType).alias("row"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"))
+    ranged = urls.unionAll(marks).repartitionByRange(4 * shuffle_partitions(spark), "key", "kind", "spread")
+    ranges = stored(ranged.withColumn("range", F.spark_partition_id()), "url-ranges")
+    last = ranges.where("kind = 0").groupBy("range").agg(F.max_by("stack", "key").alias("open"))
+    every = ranges.select("range").distinct().join(last, "range", "left")
+    carried = every.select("range", F.last("open", ignorenulls=True).over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))  # one row a range
+    sweep = Window.partitionBy("range").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = ranges.withColumn("own", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1").join(F.broadcast(carried), "range").withColumn("active", F.coalesce("own", "carried"))
     best = swept.withColumn("best", F.array_max(F.filter("active", lambda r: F.startswith(F.col("path"), r.path))))
     taken = {"host", "path", "rule", "verdict"}
     return best.select(
