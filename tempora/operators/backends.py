@@ -6,12 +6,16 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..sources.records import cue_payloads, reply_items
-from .intervals import align_to_speech, extend_cue_ends, long_silence_starts, merge_intervals, normalize_timeline, onset_starts
-from .journal import apply_replies, missing_batches
+from ..functions.text import word_range_id
+from ..sources.records import cue_payloads, json_object, reply_items, word_payloads
+from .alignment import align
+from .intervals import extend_cue_ends, long_silence_starts, merge_intervals, normalize_timeline, onset_starts
+from .journal import apply_replies, missing_batches, voiced_spans, word_reply_problems
+from .words import batch_joints, junctions, missing_word_batches, repair_spans, uncovered_words
 
 ATTEMPT = "track_id long, batch_no long, attempt int, status string, text string, error string"
 
@@ -42,17 +46,108 @@ def translate_batches(payloads: DataFrame, translate: Callable[[str, str | None]
     return payloads.select("track_id", "batch_no", "payload").mapInPandas(work, ATTEMPT)
 
 
-def translate_missing(cues: DataFrame, translate: Callable[[str, str | None], str], size: int = 20, attempts: int = 3, delay: float = 0.0) -> DataFrame:
-    """The cues with translations for those without one, asked for in batches; ids that a reply names beyond its track are ignored."""
-    tries = translate_batches(cue_payloads(missing_batches(cues, size), cues), translate, attempts, delay)
+def settled_attempts(payloads: DataFrame, translate: Callable[[str, str | None], str], folder: str, attempts: int = 3, delay: float = 0.0) -> DataFrame:
+    """The attempts of ``translate_batches``, written to ``folder`` before anything uses them: a step that runs again doesn't ask again."""
+    translate_batches(payloads, translate, attempts, delay).write.mode("append").parquet(folder)
+    return payloads.sparkSession.read.parquet(folder)
+
+
+def translate_missing(
+    cues: DataFrame, translate: Callable[[str, str | None], str], size: int = 20, attempts: int = 3, delay: float = 0.0, source_edits: bool = True, folder: str | None = None, done: DataFrame | None = None,
+) -> DataFrame:
+    """The cues with translations for those without one, asked for in batches; ids that a reply names beyond its track are ignored.
+
+    Replies may correct sources unless ``source_edits`` is false, as after alignment. Cues in ``done`` (track_id, id) are under way elsewhere
+    and not asked for. With ``folder`` the attempts are a table there.
+    """
+    open_ = cues if done is None else cues.join(done.select("track_id", "id"), ["track_id", "id"], "left_anti")
+    payloads = cue_payloads(missing_batches(open_, size), cues)
+    tries = translate_batches(payloads, translate, attempts, delay) if folder is None else settled_attempts(payloads, translate, folder, attempts, delay)
     items = reply_items(tries.where("status = 'complete'").select("track_id", "batch_no", "text"))
-    missing = cues.where("coalesce(translated, '') = ''").select("track_id", F.col("id").cast("string").alias("id"))
-    asked = items.join(missing, ["track_id", "id"], "left_semi").groupBy("track_id", "id").agg(F.max_by("translated", "batch_no").alias("translated"))
-    return apply_replies(cues, asked)
+    missing = open_.where("coalesce(translated, '') = ''").select("track_id", F.col("id").cast("string").alias("id"))
+    last = F.max_by(F.struct("source", "translated"), "batch_no").alias("r")
+    asked = items.join(missing, ["track_id", "id"], "left_semi").groupBy("track_id", "id").agg(last).select("track_id", "id", "r.*")
+    return apply_replies(cues, asked, source_edits)
+
+
+def word_cues(words: DataFrame, batches: DataFrame, segment: Callable[[str, str | None], str], folder: str, attempts: int = 3, delay: float = 0.0) -> DataFrame:
+    """(track_id, id, first, last, start_ms, end_ms, speaker, source, translated): a service's cues over batches of words.
+
+    Times and speakers are those of the words a cue names. A batch whose reply has a problem gives no cue.
+    """
+    tries = settled_attempts(word_payloads(batches, words), segment, folder, attempts, delay).where("status = 'complete'")
+    parsed = F.from_json(json_object(F.col("text")), "cues array<struct<first_word:bigint,last_word:bigint,source:string,translated:string>>")["cues"]
+    items = tries.select("track_id", "batch_no", F.posexplode(parsed).alias("n", "c")).select("track_id", "batch_no", "n", F.col("c.first_word").alias("first"), F.col("c.last_word").alias("last"), "c.source", "c.translated")
+    place = F.row_number().over(Window.partitionBy("track_id").orderBy("batch_no", "n"))
+    items = items.join(batches.select("track_id", "batch_no", F.col("first").alias("lo"), F.col("last").alias("hi")), ["track_id", "batch_no"]).withColumn("position", place.cast("bigint"))
+    inside = batches.select("track_id", "batch_no", F.explode(F.sequence("first", "last")).alias("ordinal")).join(words, ["track_id", "ordinal"])
+    keyed = F.struct("track_id", "batch_no").alias("track_id")
+    wrong = word_reply_problems(items.withColumn("track_id", keyed), inside.withColumn("track_id", keyed))
+    sound = items.join(wrong.select("track_id.*").distinct(), ["track_id", "batch_no"], "left_anti").where("first >= lo AND last <= hi")
+    owned = sound.select("track_id", "position", F.explode(F.sequence("first", "last")).alias("ordinal")).join(words.select("track_id", "ordinal", "start_ms", "end_ms", "speaker"), ["track_id", "ordinal"])
+    lead = owned.groupBy("track_id", "position").agg(F.min_by(F.struct("start_ms", "speaker"), "ordinal").alias("lead"))
+    own = owned.join(lead, ["track_id", "position"]).where(F.col("speaker").eqNullSafe(F.col("lead.speaker")))
+    timed = own.groupBy("track_id", "position").agg(F.first("lead.start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.first("lead.speaker").alias("speaker"))
+    rows = sound.join(timed, ["track_id", "position"])
+    return rows.select("track_id", word_range_id(F.col("first"), F.col("last")).alias("id"), "first", "last", "start_ms", F.greatest("start_ms", "end_ms").alias("end_ms"), "speaker", F.trim("source").alias("source"), F.trim("translated").alias("translated"))
+
+
+def segment_and_translate(words: DataFrame, segment: Callable[[str, str | None], str], folder: str, known: DataFrame | None = None, target: int = 400, attempts: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The finished timeline of a transcript's words, and (track_id, ordinal) of words that no cue covers, which are a failure.
+
+    Every word that the ``known`` cues don't cover is sent to the service in batches. Joints between batches whose cues look torn
+    are cut anew over the words of both cues, whose places the new ones take. The cues are numbered in the order of time.
+    """
+    spark, shape = words.sparkSession, "track_id long, id string, first long, last long, start_ms long, end_ms long, speaker string, source string, translated string"
+    known = spark.createDataFrame([], shape) if known is None else known.select(*[c.split()[0] for c in shape.split(", ")])
+    missing_word_batches(words, known, target).write.mode("overwrite").parquet(f"{folder}/wanted")
+    batches = spark.read.parquet(f"{folder}/wanted")
+    fresh = word_cues(words, batches, segment, f"{folder}/batches", attempts)
+    fresh.write.mode("overwrite").parquet(f"{folder}/drafts")
+    cues = known.unionByName(spark.read.schema(fresh.schema).parquet(f"{folder}/drafts"))
+    joints = batch_joints(batches, words)
+    torn = junctions(words, cues, joints.where("forced")).join(joints, ["track_id", "ordinal"], "left_semi")
+    spans = repair_spans(torn, cues)
+    # neighbouring repairs that share a cue are one
+    order = Window.partitionBy("track_id").orderBy("low", "high")
+    merged = spans.withColumn("new", F.coalesce(F.col("low") > F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    grouped = merged.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("track_id", "part").agg(F.min("low").alias("first"), F.max("high").alias("last"))
+    grouped.select("track_id", (F.col("part") - 1).cast("int").alias("batch_no"), "first", "last").write.mode("overwrite").parquet(f"{folder}/torn")
+    repairs = spark.read.parquet(f"{folder}/torn")
+    redone = word_cues(words, repairs, segment, f"{folder}/repairs", attempts)
+    redone.write.mode("overwrite").parquet(f"{folder}/redone")
+    redone = spark.read.schema(redone.schema).parquet(f"{folder}/redone")
+    covered = redone.select("track_id", F.explode(F.sequence("first", "last")).alias("first")).distinct()
+    final = cues.join(covered, ["track_id", "first"], "left_anti").unionByName(redone)
+    place = F.row_number().over(Window.partitionBy("track_id").orderBy("start_ms", "end_ms", F.coalesce("speaker", F.lit("")), "first"))
+    timeline = final.withColumn("id", place.cast("bigint")).withColumn("ordinal", place.cast("bigint") - 1)
+    return timeline, uncovered_words(words, final).select("track_id", "ordinal")
+
+
+def transcribe_audio(recordings: DataFrame, transcribe: Callable[[bytes], str], offset: str | None = None) -> DataFrame:
+    """(track_id, body): a user's transcriber over recordings (track_id, content); its JSON is read by ``records.cues_from_transcripts``
+    or ``words_from_items``. A failure is a null body. ``offset`` names a column that goes along, where chunks of a recording start."""
+    kept = ["track_id", *([offset] if offset else [])]
+    kind = T.StructType([recordings.schema[c] for c in kept]).add("body", "string")
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bodies = []
+            for content in batch["content"]:
+                try:
+                    bodies.append(transcribe(bytes(content)))
+                except Exception:  # a recording that can't be read is a row without a body
+                    bodies.append(None)
+            yield batch[kept].assign(body=bodies)
+
+    return recordings.select(*kept, "content").mapInPandas(work, kind)
 
 
-def align_timeline(cues: DataFrame, spans: DataFrame, levels: DataFrame | None, duration_ms: int) -> DataFrame:
-    """Cues aligned to speech: silences cut, starts and ends on spans, starts on sound where levels are given, ends extended, renumbered."""
-    aligned = align_to_speech(long_silence_starts(cues, merge_intervals(spans)), merge_intervals(spans))
+def align_timeline(cues: DataFrame, spans: DataFrame, levels: DataFrame | None, duration_ms: int, backend: str = "vad", tokens: DataFrame | None = None, attempts: DataFrame | None = None, tol_ms: int = 40) -> DataFrame:
+    """Cues aligned to speech: silences cut, starts and ends on spans or a forced aligner's words, starts on sound where levels are given,
+    ends extended, renumbered. Tracks without spans take those of their levels."""
+    merged = merge_intervals(spans, tol_ms)
+    voiced = None if levels is None else voiced_spans(levels)
+    aligned = align(long_silence_starts(cues, merged), backend, duration_ms, merged, attempts, tokens, voiced)
     started = aligned if levels is None else onset_starts(aligned, levels)
     return normalize_timeline(extend_cue_ends(started, duration_ms), duration_ms)

@@ -37,13 +37,22 @@ def merge_intervals(spans: DataFrame, tolerance_ms: int = 10) -> DataFrame:
     return valid.withColumn("island", island).groupBy("track_id", "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("island")
 
 
-def crosstalk_ids(cues: DataFrame, width_ms: int = 20_000) -> DataFrame:
-    """(track_id, id) of cues that overlap a cue of another named speaker; touching ends don't count."""
+def crosstalk_ids(cues: DataFrame) -> DataFrame:
+    """(track_id, id) of cues that overlap a cue of another named speaker; touching ends don't count.
+
+    One sweep: every cue comes in at its start and is judged at its end, against the furthest end among the cues of other speakers that have
+    come in.  That is the furthest end of all, or, if it is the cue's own speaker's, the furthest that was overtaken by or fell short of
+    another speaker's.  No pair of cues is made.
+    """
     named = cues.where("speaker IS NOT NULL AND speaker <> ''").select("track_id", "id", "start_ms", "end_ms", "speaker")
-    other = named.select("track_id", *[F.col(c).alias(f"o_{c}") for c in ("id", "start_ms", "end_ms", "speaker")])
-    meets = (F.col("start_ms") < F.col("o_end_ms")) & (F.col("o_start_ms") < F.col("end_ms")) & (F.col("speaker") != F.col("o_speaker"))
-    pairs = range_join(named, other, width_ms, F.col("start_ms"), F.col("end_ms"), F.col("o_start_ms"), F.col("o_end_ms"), meets)
-    return pairs.select("track_id", "id").distinct()
+    come = named.select("*", F.col("start_ms").alias("at"), F.lit(1).alias("comes"))
+    order = Window.partitionBy("track_id").orderBy("at", "comes", "id", "start_ms", "end_ms")
+    lead = F.max(F.when(F.col("comes") == 1, F.struct("end_ms", "speaker"))).over(order.rowsBetween(*BEFORE))
+    other = F.col("lead.speaker") != F.col("speaker")
+    rows = come.unionByName(named.select("*", F.col("end_ms").alias("at"), F.lit(0).alias("comes"))).withColumn("lead", lead)
+    second = F.max(F.when((F.col("comes") == 1) & other, F.least("end_ms", "lead.end_ms"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    reach = F.when(other, F.col("lead.end_ms")).otherwise(F.col("second"))
+    return rows.withColumn("second", second).where((F.col("comes") == 0) & (reach > F.col("start_ms"))).select("track_id", "id").distinct()
 
 
 def extend_cue_ends(cues: DataFrame, duration_ms: int | None = None, crosstalk: DataFrame | None = None) -> DataFrame:
@@ -53,21 +62,32 @@ def extend_cue_ends(cues: DataFrame, duration_ms: int | None = None, crosstalk:
     """
     flags = (crosstalk if crosstalk is not None else crosstalk_ids(cues)).select("track_id", "id", F.lit(True).alias("frozen"))
     following = F.lead("start_ms").over(Window.partitionBy("track_id").orderBy("start_ms", "end_ms", "ordinal"))
+    limit = lambda c: c if duration_ms is None else F.least(c, F.lit(max(0, duration_ms)))
     rows = cues.join(flags, ["track_id", "id"], "left").withColumn("next_ms", following)
-    gap, start, end = F.col("next_ms") - F.col("end_ms"), F.col("start_ms"), F.col("end_ms")
-    moved = F.when(F.col("next_ms").isNull(), end + 500).when(gap <= 700, F.col("next_ms")).when(gap < 1000, F.floor((end + F.col("next_ms")) / 2)).otherwise(end + 500)
-    if duration_ms is not None:
-        moved = F.least(moved, F.lit(duration_ms))
-    new = F.when(F.col("frozen"), end).otherwise(F.greatest(start, moved)).cast("bigint")
-    return rows.withColumn("end_ms", new).drop("frozen", "next_ms")
-
-
-def normalize_timeline(cues: DataFrame, duration_ms: int) -> DataFrame:
-    """Times inside [0, duration], ends not before starts, and new numbers from 1 in time order; parent_id keeps the old id."""
-    start = F.least(F.greatest(F.col("start_ms"), F.lit(0)), F.lit(duration_ms)).cast("bigint")
-    fixed = cues.withColumn("start_ms", start).withColumn("end_ms", F.greatest(F.col("start_ms"), F.least(F.col("end_ms"), F.lit(duration_ms))).cast("bigint"))
+    rows = rows.withColumn("next_ms", F.when(F.col("next_ms").isNotNull(), limit(F.greatest("next_ms", F.lit(0)))))
+    start = limit(F.col("start_ms"))
+    end = limit(F.greatest(start, F.col("end_ms")))
+    gap, longer = F.col("next_ms") - end, limit(end + 500)
+    moved = F.when(F.col("next_ms").isNull(), longer).when(gap <= 700, F.col("next_ms")).when(gap < 1000, F.floor((end + F.col("next_ms")) / 2)).otherwise(longer)
+    free = F.col("frozen").isNull()
+    out = rows.withColumn("new_end", F.when(free, F.greatest(start, moved)).otherwise(F.col("end_ms")).cast("bigint")).withColumn("start_ms", F.when(free, start).otherwise(F.col("start_ms")).cast("bigint"))
+    return out.withColumn("end_ms", F.col("new_end")).drop("frozen", "next_ms", "new_end")
+
+
+def normalize_timeline(cues: DataFrame, duration_ms: int, crosstalk: DataFrame | None = None) -> DataFrame:
+    """Times inside [0, duration], ends not before starts, and new numbers from 1 in the order of time and speaker; parent_id keeps the old id.
+
+    Crosstalk cues keep their times, and cues are put in order before any of them is moved.
+    """
+    flags = (crosstalk if crosstalk is not None else crosstalk_ids(cues)).select("track_id", "id", F.lit(True).alias("frozen"))
     order = Window.partitionBy("track_id").orderBy("start_ms", "end_ms", F.coalesce("speaker", F.lit("")), "ordinal")
-    return fixed.withColumn("parent_id", F.col("id")).withColumn("id", F.row_number().over(order).cast("bigint"))
+    placed = cues.join(flags, ["track_id", "id"], "left").withColumn("place", F.row_number().over(order).cast("bigint"))
+    start = F.least(F.greatest(F.col("start_ms"), F.lit(0)), F.lit(duration_ms))
+    end = F.least(F.greatest(start, F.col("end_ms")), F.lit(duration_ms))
+    free = F.col("frozen").isNull()
+    times = {"start_ms": F.when(free, start).otherwise(F.col("start_ms")).cast("bigint"), "end_ms": F.when(free, F.greatest(start, end)).otherwise(F.col("end_ms")).cast("bigint")}
+    parent = F.coalesce(F.col("parent_id").cast("string"), F.col("id").cast("string")).cast(cues.schema["id"].dataType) if "parent_id" in cues.columns else F.col("id")
+    return placed.withColumns({**times, "parent_id": parent, "id": F.col("place")}).drop("frozen", "place")
 
 
 def event_defects(events: DataFrame) -> DataFrame:
@@ -89,13 +109,16 @@ def event_defects(events: DataFrame) -> DataFrame:
     return rows.select("track_id", "id", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind"))
 
 
-def long_silence_starts(cues: DataFrame, merged: DataFrame, silence_ms: int = 6_000, pre_roll_ms: int = 3_000, width_ms: int = 60_000) -> DataFrame:
-    """Cues with a silence over ``silence_ms`` inside start ``pre_roll_ms`` before its end, the last such silence counting."""
+def long_silence_starts(cues: DataFrame, merged: DataFrame, silence_ms: int = 6_000, pre_roll_ms: int = 3_000, width_ms: int = 60_000, crosstalk: DataFrame | None = None) -> DataFrame:
+    """Cues with a silence over ``silence_ms`` inside start ``pre_roll_ms`` before its end, the last such silence counting.
+
+    The stretch from a cue's start to its first span is a silence as well; what follows its last span is none. Crosstalk cues stay.
+    """
     before = F.lag("end_ms").over(Window.partitionBy("track_id").orderBy("start_ms"))
-    gaps = merged.select("track_id", before.alias("from_ms"), F.col("start_ms").alias("to_ms")).where(F.col("to_ms") - F.col("from_ms") > silence_ms)
-    # a silence lies inside a cue if it begins after the cue's start (or covers it) and ends before the cue's end
-    inside = (F.col("to_ms") > F.col("start_ms")) & (F.col("to_ms") < F.col("end_ms")) & (F.least("end_ms", "to_ms") - F.greatest("start_ms", "from_ms") > silence_ms)
-    key = cues.select("track_id", "id", "start_ms", "end_ms")
+    gaps = merged.select("track_id", before.alias("from_ms"), F.col("start_ms").alias("to_ms")).where(F.col("from_ms").isNull() | (F.col("to_ms") - F.col("from_ms") > silence_ms))
+    inside = (F.col("to_ms") > F.col("start_ms")) & (F.col("to_ms") < F.col("end_ms")) & (F.col("to_ms") - F.greatest("start_ms", "from_ms") > silence_ms)
+    frozen = crosstalk if crosstalk is not None else crosstalk_ids(cues)
+    key = cues.join(frozen, ["track_id", "id"], "left_anti").select("track_id", "id", "start_ms", "end_ms")
     hits = range_join(key, gaps, width_ms, F.col("start_ms"), F.col("end_ms"), F.col("to_ms"), F.col("to_ms"), inside)
     last = hits.groupBy("track_id", "id").agg(F.max("to_ms").alias("speech_ms"))
     moved = F.greatest("start_ms", F.col("speech_ms") - pre_roll_ms)
@@ -105,10 +128,10 @@ def long_silence_starts(cues: DataFrame, merged: DataFrame, silence_ms: int = 6_
 def start_candidates(cues: DataFrame, spans: DataFrame, tol_ms: int = 40, ahead_ms: int = 2_000, width_ms: int = 20_000) -> DataFrame:
     """(track_id, id, candidate_ms): the first span that a cue may start at, not before the previous cue's end."""
     previous = F.lag("end_ms").over(Window.partitionBy("track_id").orderBy("ordinal"))
-    keyed = cues.select("track_id", "id", "start_ms", "end_ms", F.coalesce(previous, F.lit(0)).alias("previous_ms"))
+    keyed = cues.select("track_id", "id", "start_ms", "end_ms", previous.alias("previous_ms"))
     span = spans.select("track_id", F.col("start_ms").alias("left_ms"), F.col("end_ms").alias("right_ms"))
     limit = F.least(F.col("end_ms"), F.col("start_ms") + ahead_ms)
-    fits = (F.col("right_ms") >= F.col("start_ms") - tol_ms) & (F.col("left_ms") <= limit) & (F.col("left_ms") >= F.col("previous_ms") + tol_ms)
+    fits = (F.col("right_ms") >= F.col("start_ms") - tol_ms) & (F.col("left_ms") <= limit) & (F.col("previous_ms").isNull() | (F.col("left_ms") >= F.col("previous_ms") + tol_ms))
     hits = range_join(keyed, span, width_ms, F.greatest(F.lit(0), F.col("start_ms") - tol_ms), F.greatest(F.col("start_ms"), limit), F.col("left_ms"), F.col("right_ms"), fits)
     return hits.groupBy("track_id", "id").agg(F.min("left_ms").alias("candidate_ms"))
 
@@ -133,17 +156,31 @@ def refined_ends(cues: DataFrame, spans: DataFrame, tol_ms: int = 40, within_ms:
     return hits.groupBy("track_id", "id").agg(F.min_by("right_ms", F.struct(F.abs(r - e), -r)).alias("refined_ms"))
 
 
-def align_to_speech(cues: DataFrame, spans: DataFrame) -> DataFrame:
-    """Cue starts and ends on speech: confidence 0.9 if the start moved, 0.75 if it stayed on speech, 0.35 without any; crosstalk stays."""
-    frozen = crosstalk_ids(cues).withColumn("frozen", F.lit(True))
-    keeps = remaining_speech(cues, spans).withColumn("speaking", F.lit(True))
+def align_to_speech(cues: DataFrame, spans: DataFrame, tokens: DataFrame | None = None, voiced: DataFrame | None = None, moved_ms: int = 20) -> DataFrame:
+    """Cue starts and ends on speech: confidence 0.9 if the start moved by more than ``moved_ms``, 0.75 if it stayed on speech, 0.35 without any.
+
+    The start is that behind a long silence its first tokens lie across (``tokens``, see ``alignment.token_starts``), else its own with enough
+    speech left, else the first span's that it may have. Tracks without spans take those of ``voiced``. Crosstalk cues keep times and confidence.
+    """
+    from .alignment import token_starts
+
     key = ["track_id", "id"]
-    rows = cues.join(frozen, key, "left").join(keeps, key, "left").join(start_candidates(cues, spans), key, "left")
-    start = F.when(F.col("frozen") | F.col("speaking"), F.col("start_ms")).otherwise(F.coalesce(F.least(F.greatest("candidate_ms", "start_ms"), "end_ms"), "start_ms"))
-    confidence = F.when(F.col("frozen"), F.lit(None).cast("double")).when(F.col("speaking"), 0.75).when(F.col("candidate_ms").isNull(), 0.35).when(start != F.col("start_ms"), 0.9).otherwise(0.75)
-    started = rows.withColumn("confidence", confidence).withColumn("start_ms", start).select(*cues.columns, "confidence", "frozen")
-    ended = started.join(refined_ends(started, spans), key, "left")
-    return ended.withColumn("end_ms", F.when(F.col("frozen"), F.col("end_ms")).otherwise(F.coalesce("refined_ms", "end_ms"))).drop("refined_ms", "frozen")
+    given = spans.select("track_id", "start_ms", "end_ms")
+    heard = given if voiced is None else given.unionByName(voiced.join(given.select("track_id").distinct(), "track_id", "left_anti").select("track_id", "start_ms", "end_ms"))
+    frozen = crosstalk_ids(cues).withColumn("frozen", F.lit(True))
+    keeps = remaining_speech(cues, heard).withColumn("speaking", F.lit(True))
+    rows = cues.join(frozen, key, "left").join(keeps, key, "left").join(start_candidates(cues, heard), key, "left")
+    behind = F.lit(None).cast("bigint")
+    if tokens is not None:
+        rows, behind = rows.join(token_starts(cues, given, tokens, voiced).select(*key, "token_ms"), key, "left"), F.col("token_ms")
+    found = F.coalesce(behind, F.when(F.col("speaking"), F.col("start_ms")), F.when(F.col("candidate_ms").isNotNull(), F.greatest("candidate_ms", "start_ms")))
+    own = F.col("confidence") if "confidence" in cues.columns else F.lit(None).cast("double")
+    confidence = F.when(F.col("frozen"), own).when(found.isNull(), 0.35).when(found > F.col("start_ms") + moved_ms, 0.9).otherwise(0.75)
+    start = F.when(F.col("frozen"), F.col("start_ms")).otherwise(F.coalesce(F.least(F.greatest("start_ms", found), "end_ms"), "start_ms"))
+    started = rows.withColumn("__confidence", confidence).withColumn("start_ms", start).withColumn("confidence", F.col("__confidence"))
+    started = started.select(*[c for c in cues.columns if c != "confidence"], "confidence", "frozen")
+    ended = started.join(refined_ends(started, heard), key, "left")
+    return ended.withColumn("end_ms", F.when(F.col("frozen"), F.col("end_ms")).otherwise(F.greatest("start_ms", F.coalesce("refined_ms", "end_ms")))).drop("refined_ms", "frozen")
 
 
 def onset_starts(cues: DataFrame, levels: DataFrame, step_ms: int = 20, lookback: int = 20, pre_roll_ms: int = 60, least_ms: int = 5) -> DataFrame:

@@ -57,11 +57,13 @@ def reply_problems(cues: DataFrame, replies: DataFrame) -> DataFrame:
     return unknown.unionAll(missing).unionAll(blank)
 
 
-def apply_replies(cues: DataFrame, replies: DataFrame) -> DataFrame:
-    """Cues with the replies' translations where those are not blank."""
-    given = replies.select("track_id", F.col("id").alias("reply_id"), F.nullif(F.trim("translated"), F.lit("")).alias("given"))
+def apply_replies(cues: DataFrame, replies: DataFrame, source_edits: bool = True) -> DataFrame:
+    """Cues with the replies' translations and, with ``source_edits``, their corrected sources, where those are not blank."""
+    corrected = F.col("source") if "source" in replies.columns and source_edits else F.lit(None).cast("string")
+    filled = lambda c: F.nullif(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), F.lit(""))
+    given = replies.select("track_id", F.col("id").alias("reply_id"), filled(F.col("translated")).alias("given"), filled(corrected).alias("corrected"))
     rows = cues.withColumn("reply_id", F.col("id").cast("string")).join(given, ["track_id", "reply_id"], "left")
-    return rows.withColumn("translated", F.coalesce("given", "translated")).drop("given", "reply_id")
+    return rows.withColumns({"translated": F.coalesce("given", "translated"), **({"source": F.coalesce("corrected", "source")} if "source" in cues.columns else {})}).drop("given", "corrected", "reply_id")
 
 
 def task_state(trace: DataFrame) -> DataFrame:
@@ -85,27 +87,40 @@ def render_documents(cues: DataFrame) -> DataFrame:
 
 
 def parse_documents(documents: DataFrame) -> DataFrame:
-    """(track_id, line_no, start_ms, end_ms, name, lines, problem) of every Dialogue line; broken ones have a problem."""
+    """(track_id, line_no, start_ms, end_ms, name, lines, problem) of every Dialogue line in an [Events] section; broken ones have a problem."""
     from ..functions.text import event_lines, parse_timestamp_ms
 
-    lines = documents.select("track_id", F.posexplode(F.split(F.regexp_replace("document", "^﻿", ""), r"\r?\n")).alias("line_no", "line")).where("line LIKE 'Dialogue:%'")
-    pattern = r"^Dialogue:\s*" + "([^,]*)," * 9 + "(.*)$"
+    text = F.regexp_replace(F.regexp_replace("document", "^\uFEFF+", ""), "\r\n", "\n")
+    each = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    # the lines behind an [Events] header, up to the next header
+    section = r"^\[([^\]]+)\]$"
+    placed = documents.select("track_id", F.posexplode(each).alias("line_no", "line")).where(F.col("line").rlike(section) | F.col("line").rlike("(?i)^dialogue:"))
+    name = F.when(F.col("line").rlike(section), F.lower(F.trim(F.regexp_extract("line", section, 1))))
+    order = Window.partitionBy("track_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    lines = placed.withColumn("section", F.last(name, ignorenulls=True).over(order)).where("section = 'events'").where(F.col("line").rlike("(?i)^dialogue:"))
+    pattern = r"(?i)^dialogue:" + "([^,]*)," * 9 + "(.*)$"
     field = lambda i: F.regexp_extract("line", pattern, i)
     start, end, text = parse_timestamp_ms(field(2)), parse_timestamp_ms(field(3)), event_lines(field(10))
     problem = F.when(~F.col("line").rlike(pattern) | start.isNull() | end.isNull(), "unparsable").when(F.size(text) == 0, "empty_text")
     return lines.select("track_id", "line_no", start.alias("start_ms"), end.alias("end_ms"), F.trim(field(5)).alias("name"), text.alias("lines"), problem.alias("problem"))
 
 
-def voiced_spans(levels: DataFrame, least: int = 3) -> DataFrame:
-    """(track_id, first, last): runs of at least ``least`` windows above max(3 * floor, 0.035 * peak, 8); the floor is the nearest-rank 0.15 quantile."""
+def voiced_spans(levels: DataFrame, least: int = 3, step_ms: int = 20, tolerance_ms: int = 40) -> DataFrame:
+    """(track_id, start_ms, end_ms): runs of at least ``least`` windows of max(3 * floor, 0.035 * peak, 8) or more, those near each other as one.
+
+    The floor is the nearest-rank 0.15 quantile; a track without any sound has no spans.
+    """
+    from .intervals import merge_intervals
+
     track = Window.partitionBy("track_id")
     ranked = levels.withColumn("rank", F.row_number().over(track.orderBy("level", "window_idx"))).withColumn("n", F.count("*").over(track))
     at = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.15)) + 1
-    limits = ranked.groupBy("track_id").agg(F.max(F.when(F.col("rank") == at, F.col("level"))).alias("floor"), F.max("level").alias("peak"))
-    loud = levels.join(limits, "track_id").where(F.col("level") > F.greatest(F.col("floor") * 3, F.col("peak") * 0.035, F.lit(8.0)))
+    limits = ranked.groupBy("track_id").agg(F.max(F.when(F.col("rank") == at, F.col("level"))).alias("floor"), F.max("level").alias("peak")).where("peak > 0")
+    loud = levels.join(limits, "track_id").where(F.col("level") >= F.greatest(F.col("floor") * 3, F.col("peak") * 0.035, F.lit(8.0)))
     run = F.col("window_idx") - F.row_number().over(track.orderBy("window_idx"))
     runs = loud.withColumn("run", run).groupBy("track_id", "run").agg(F.min("window_idx").alias("first"), F.max("window_idx").alias("last"), F.count("*").alias("n"))
-    return runs.where(F.col("n") >= least).select("track_id", "first", "last")
+    spans = runs.where(F.col("n") >= least).select("track_id", (F.col("first") * step_ms).alias("start_ms"), ((F.col("last") + 1) * step_ms).alias("end_ms"))
+    return merge_intervals(spans, tolerance_ms)
 
 
 def progress_plan(weights: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import ends_sentence, overlap_key, text_weight
 
@@ -72,42 +73,53 @@ def split_word_batches(words: DataFrame, target: int = 400, least_ms: int = 800)
             at += int(cut[at] - ordinals[at]) + 1
         return pd.DataFrame([(group["track_id"].iloc[0], i, *r) for i, r in enumerate(out)], columns=["track_id", "batch_no", "first", "last", "forced_end"])
 
-    return cuts.select("track_id", "ordinal", "cut", "forced").groupBy("track_id").applyInPandas(walk, "track_id long, batch_no int, first long, last long, forced_end boolean")
+    # the walk needs a key of one kind; its result gets the track back by it
+    keyed = cuts.select(F.to_json(F.struct("track_id")).alias("key"), "track_id", "ordinal", "cut", "forced")
+    walked = keyed.drop("track_id").withColumnRenamed("key", "track_id").groupBy("track_id").applyInPandas(walk, "track_id string, batch_no int, first long, last long, forced_end boolean")
+    return walked.withColumn("track_id", F.from_json("track_id", T.StructType([words.schema["track_id"]]))["track_id"])
 
 
 def segment_words(words: DataFrame, max_ms: int = 8_000, max_weight: int = 84, silence_ms: int = 800) -> DataFrame:
-    """(track_id, speaker, first, last, start_ms, end_ms, text): words to cues, speaker by speaker.
+    """(track_id, id, speaker, first, last, start_ms, end_ms, text): words to preview cues, speaker by speaker.
 
     A cue ends before a pause of the speaker, after a sentence, and where it grows too long in time (with half
-    the weight or more) or too wide (with half the time or more).  Pauses and sentences are found by windows; the two
+    the weight or more) or too wide (with half the time or more).  Texts are joined as they are, their spacing is part of the words; a
+    time reaches from the first word's start to the new word's end.  Pauses and sentences are found by windows; the two
     soft limits carry a state along one stretch between them.
     """
     own = Window.partitionBy("track_id", "speaker").orderBy("ordinal")
     breaks = F.lag(ends_sentence(F.col("text"))).over(own) | (F.col("start_ms") - F.lag("end_ms").over(own) >= silence_ms)
-    rows = words.withColumn("hard", F.coalesce(breaks, F.lit(False)).cast("int")).withColumn("weight", text_weight(F.col("text")))
+    blank = lambda pattern: text_weight(F.regexp_extract("text", pattern, 1))
+    rows = words.withColumn("hard", F.coalesce(breaks, F.lit(False)).cast("int")).withColumn("weight", text_weight(F.col("text"))).withColumn("lead", blank(r"(?U)^(\s*)")).withColumn("tail", blank(r"(?U)(\s*)$"))
     rows = rows.withColumn("stretch", F.sum("hard").over(own.rowsBetween(Window.unboundedPreceding, 0)))
 
-    def cut(batches: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-        g = batches.sort_values("ordinal")
-        cue, start, reach, width = -1, 0, 0, 0
-        out = []
-        for s, e, w in zip(g["start_ms"], g["end_ms"], g["weight"], strict=True):
-            span, wide = max(reach, e) - start, width + 1 + w
+    def cut(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("ordinal")
+        cue, out = -1, []
+        for s, e, w, lead, tail in zip(g["start_ms"], g["end_ms"], g["weight"], g["lead"], g["tail"], strict=True):
+            if cue >= 0:
+                # the width of all texts so far and this one, without blanks at either end
+                wide = full + w - (before if before < full else full + lead) - (tail if tail < w else after + w)  # noqa: F821
+                wide, span = max(0, wide), e - start  # noqa: F821
             if cue < 0 or (span > max_ms and 2 * wide >= max_weight) or (wide > max_weight and 2 * span >= max_ms):
-                cue, start, reach, width = cue + 1, s, e, w
+                cue, start, full, before, after = cue + 1, s, w, lead, tail
             else:
-                reach, width = max(reach, e), wide
+                before = before if before < full else full + lead
+                after = tail if tail < w else after + w
+                full += w
             out.append(cue)
         return pd.DataFrame({"track_id": g["track_id"], "ordinal": g["ordinal"], "cue": out})
 
-    soft = rows.groupBy("track_id", "speaker", "stretch").applyInPandas(cut, "track_id long, ordinal long, cue int")
+    soft = rows.select("track_id", "speaker", "stretch", "ordinal", "start_ms", "end_ms", "weight", "lead", "tail").groupBy("track_id", "speaker", "stretch").applyInPandas(cut, "track_id long, ordinal long, cue int")
     joined = rows.join(soft, ["track_id", "ordinal"])
     parts = F.array_sort(F.collect_list(F.struct("ordinal", "text")))
     cues = joined.groupBy("track_id", "speaker", "stretch", "cue").agg(
         F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), F.min_by("start_ms", "ordinal").alias("start_ms"), F.max("end_ms").alias("end_ms"),
-        F.trim(F.array_join(F.transform(parts, lambda x: x.text), " ")).alias("text"),
+        F.regexp_replace(F.array_join(F.transform(parts, lambda x: x.text), ""), r"(?U)^\s+|\s+$", "").alias("text"),
     )
-    return cues.where("text <> ''").select("track_id", "speaker", "first", "last", "start_ms", F.greatest("start_ms", "end_ms").alias("end_ms"), "text")
+    place = F.row_number().over(track().orderBy("start_ms", "end_ms", F.coalesce("speaker", F.lit("")), "first"))
+    kept = cues.where("text <> ''").withColumn("end_ms", F.greatest("start_ms", "end_ms"))
+    return kept.select("track_id", F.concat(F.lit("preview-"), place.cast("string")).alias("id"), "speaker", "first", "last", "start_ms", "end_ms", "text")
 
 
 def uncovered_words(words: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -131,14 +143,54 @@ def preview_overlay(stable: DataFrame, previews: DataFrame) -> DataFrame:
     return stable.unionByName(previews.join(hit, ["track_id", "id"], "left_anti"))
 
 
-def junctions(words: DataFrame, cues: DataFrame, silence_ms: int = 800) -> DataFrame:
-    """(track_id, ordinal) of joints inside speech: both words belong to different cues of one speaker with a pause under ``silence_ms``."""
-    owner = cues.select("track_id", F.col("first").alias("cue"), F.col("speaker").alias("by"), F.explode(F.sequence("first", "last")).alias("ordinal"))
-    owned = words.join(owner.where("by IS NOT NULL"), ["track_id", "ordinal"]).where("by = speaker")
+def junctions(words: DataFrame, cues: DataFrame, forced: DataFrame | None = None, silence_ms: int = 800) -> DataFrame:
+    """(track_id, ordinal) of joints that need another look: the words there and behind belong to different cues, and the cut was ``forced``
+    (track_id, ordinal), or the cues are one speaker's with less than ``silence_ms`` between them."""
+    owner = cues.select("track_id", F.col("first").alias("cue"), F.coalesce("speaker", F.lit("")).alias("by"), F.col("start_ms").alias("cue_start"), F.col("end_ms").alias("cue_end"), F.explode(F.sequence("first", "last")).alias("ordinal"))
+    owned = words.select("track_id", "ordinal").join(owner, ["track_id", "ordinal"])
     order = track().orderBy("ordinal")
-    following = [F.lead(c).over(order).alias(f"next_{c}") for c in ("ordinal", "cue", "speaker", "start_ms")]
-    pairs = owned.select("track_id", "ordinal", "cue", "speaker", "end_ms", *following).where("next_ordinal = ordinal + 1 AND next_cue <> cue AND next_speaker = speaker")
-    return pairs.where(F.col("next_start_ms") - F.col("end_ms") < silence_ms).select("track_id", "ordinal")
+    following = [F.lead(c).over(order).alias(f"next_{c}") for c in ("ordinal", "cue", "by", "cue_start")]
+    pairs = owned.select("track_id", "ordinal", "cue", "by", "cue_end", *following).where("next_ordinal = ordinal + 1 AND next_cue <> cue")
+    near = (F.col("next_by") == F.col("by")) & (F.col("next_cue_start") - F.col("cue_end") < silence_ms)
+    if forced is None:
+        return pairs.where(near).select("track_id", "ordinal")
+    return pairs.join(forced.select("track_id", "ordinal", F.lit(True).alias("forced")), ["track_id", "ordinal"], "left").where(F.coalesce("forced", F.lit(False)) | near).select("track_id", "ordinal")
+
+
+def batch_joints(batches: DataFrame, words: DataFrame) -> DataFrame:
+    """(track_id, ordinal, forced): the joints at both ends of batches of words, each once; ends of a track are none."""
+    top = words.groupBy("track_id").agg(F.max("ordinal").alias("top"))
+    left = batches.where("first > 0").select("track_id", (F.col("first") - 1).alias("ordinal"), F.lit(False).alias("forced"))
+    right = batches.join(top, "track_id").where("last < top").select("track_id", F.col("last").alias("ordinal"), F.col("forced_end").alias("forced"))
+    return left.unionByName(right).groupBy("track_id", "ordinal").agg(F.max("forced").alias("forced"))
+
+
+def repair_spans(joints: DataFrame, cues: DataFrame) -> DataFrame:
+    """(track_id, ordinal, low, high, replaced): around each joint, the words from the start of the cue before it to the end of the one behind it, and the
+    ids of the cues that lie inside."""
+    side = lambda name, at: cues.select("track_id", F.col(name), F.explode(F.sequence("first", "last")).alias(at))
+    spans = joints.join(side("first", "ordinal").withColumnRenamed("first", "low"), ["track_id", "ordinal"]).withColumn("behind", F.col("ordinal") + 1).join(side("last", "behind").withColumnRenamed("last", "high"), ["track_id", "behind"]).drop("behind")
+    inside = spans.select("track_id", "ordinal", "high", F.explode(F.sequence("low", "high")).alias("first")).join(cues.select("track_id", "first", "last", "id"), ["track_id", "first"]).where("last <= high")
+    ids = inside.groupBy("track_id", "ordinal").agg(F.array_sort(F.collect_set("id")).alias("replaced"))
+    return spans.select("track_id", "ordinal", "low", "high").join(ids, ["track_id", "ordinal"], "left")
+
+
+def missing_word_batches(words: DataFrame, ranges: DataFrame, target: int = 400) -> DataFrame:
+    """(track_id, batch_no, first, last, forced_end): batches over every run of words that no range (track_id, first, last) covers; no batch reaches over two runs."""
+    runs = uncovered_runs(words, ranges)
+    each = runs.select("track_id", F.col("first").alias("run"), F.explode(F.sequence("first", "last")).alias("ordinal"))
+    left = words.join(each, ["track_id", "ordinal"]).withColumn("track_id", F.struct("track_id", "run"))
+    cut = split_word_batches(left, target)
+    number = F.row_number().over(Window.partitionBy("track_id.track_id").orderBy("first")) - 1
+    return cut.select(F.col("track_id.track_id").alias("track_id"), number.cast("int").alias("batch_no"), "first", "last", "forced_end")
+
+
+def ready_word_batches(words: DataFrame, ranges: DataFrame, dispatched: DataFrame, target: int = 400) -> DataFrame:
+    """(track_id, first, last) of batches that can go out while the words still come: inside the words before the last pause, of ``target`` words or more,
+    and not among the ``dispatched`` ones."""
+    usable = words.join(dispatchable_prefix(words), "track_id").where("ordinal < n_words").drop("n_words")
+    full = missing_word_batches(usable, ranges, target).where(F.col("last") - F.col("first") + 1 >= target)
+    return full.select("track_id", "first", "last").join(dispatched.select("track_id", "first", "last"), ["track_id", "first", "last"], "left_anti")
 
 
 def overlap_merge(existing: DataFrame, incoming: DataFrame, within_ms: int = 2_500) -> DataFrame:
@@ -180,48 +232,47 @@ def repair_squeezed_words(words: DataFrame, least_ms: int = 50, longest_ms: int
 
     At every change, the interrupted speaker's own last words that are shorter than ``least_ms`` are spread over the time their text takes at
     that speaker's rate: at most ``longest_ms``, not beyond the speaker's next word or the duration, and only if that makes them longer. A repair changes
-    what a later one sees, so a track is one sequence; its rates are computed before, by grouping.
+    what a later one sees, but never beyond a word of ordinary length: windows cut each speaker's words into runs of squeezed ones, and the
+    repairs of one run are one small group.
     """
-    rated = _rated(words, least_ms)
-    schema = "track_id long, ordinal long, speaker string, text string, start_ms long, end_ms long"
-
-    def repair(g: pd.DataFrame) -> pd.DataFrame:
+    columns = ["track_id", "ordinal", "speaker", "text", "start_ms", "end_ms"]
+    rates = speech_rates(words, least_ms).withColumnsRenamed({"track_id": "r_track", "speaker": "r_speaker", "rate": "pace"})
+    all_order, own = track().orderBy("ordinal"), Window.partitionBy("track_id", "speaker").orderBy("ordinal")
+    short = F.col("end_ms") - F.col("start_ms") < least_ms
+    last = F.lead("ordinal").over(all_order).isNotNull() & F.col("speaker").isNotNull() & ~F.lead("speaker").over(all_order).eqNullSafe(F.col("speaker"))
+    rows = words.select(*columns).withColumns({"short": short, "changes": last, "next_own": F.lead("start_ms").over(own), "run": F.sum((~short).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0))})
+    whole = Window.partitionBy("track_id", "speaker", "run")
+    squeezed = rows.where("short").withColumn("any", F.max("changes").over(whole)).where("any")
+    rated = squeezed.join(rates, (F.col("track_id") == F.col("r_track")) & F.col("speaker").eqNullSafe(F.col("r_speaker"))).select("track_id", "speaker", "run", "ordinal", "start_ms", "end_ms", "changes", "next_own", "pace", F.greatest(F.lit(1), text_weight(F.trim("text"))).alias("weight"))
+
+    def spread(g: pd.DataFrame) -> pd.DataFrame:
+        """Each change takes the words behind the last one that is long enough by now; shares of the weight give the new times."""
         g = g.sort_values("ordinal").reset_index(drop=True)
-        start, end = g["start_ms"].tolist(), g["end_ms"].tolist()
-        by, weight, pace = g["speaker"].tolist(), g["weight"].tolist(), g["pace"].tolist()
-        places: dict[object, list[int]] = {}
-        for i, who in enumerate(by):
-            places.setdefault(who, []).append(i)
-        rank = {i: k for own in places.values() for k, i in enumerate(own)}
-        for i in range(len(by) - 1):
-            if by[i] is None or by[i + 1] == by[i]:
-                continue
-            own, last = places[by[i]], rank[i]
-            first = last + 1
-            while first > 0 and end[own[first - 1]] - start[own[first - 1]] < least_ms:
-                first -= 1
-            run = own[first : last + 1]
-            if not run:
+        times = g[["start_ms", "end_ms"]].to_numpy(copy=True)
+        weight, bounds = g["weight"].to_numpy(), g["next_own"].to_numpy()
+        for i in g.index[g["changes"]]:
+            ordinary = (times[: i + 1, 1] - times[: i + 1, 0] >= least_ms).nonzero()[0]
+            run = slice(ordinary[-1] + 1 if len(ordinary) else 0, i + 1)
+            shares = weight[run].cumsum()
+            if not len(shares):
                 continue
-            total, begin = sum(weight[j] for j in run), start[run[0]]
-            until = min(begin + total * pace[i], begin + longest_ms)
-            until = min([until, *([start[own[last + 1]]] if last + 1 < len(own) else []), *([duration_ms] if duration_ms is not None else [])])
-            if until <= max(begin, end[run[-1]]):
-                continue
-            done = 0
-            for j in run:
-                start[j] = round(begin + (until - begin) * done / total)
-                done += weight[j]
-                end[j] = round(begin + (until - begin) * done / total)
-        return g.assign(start_ms=start, end_ms=end)[["track_id", "ordinal", "speaker", "text", "start_ms", "end_ms"]]
+            begin = times[run][0, 0]
+            room = min([longest_ms, shares[-1] * g["pace"][i], *([bounds[i] - begin] if bounds[i] == bounds[i] else []), *([duration_ms - begin] if duration_ms is not None else [])])
+            if begin + room > max(begin, times[i, 1]):
+                edges = (begin + room * shares / shares[-1]).round()
+                times[run] = pd.DataFrame({"a": [begin, *edges[:-1]], "b": edges}).to_numpy()
+        return g[["track_id", "ordinal"]].assign(new_start=times[:, 0], new_end=times[:, 1])
+
+    new = rated.groupBy("track_id", "speaker", "run").applyInPandas(spread, "track_id long, ordinal long, new_start long, new_end long")
+    return words.select(*columns).join(new, ["track_id", "ordinal"], "left").withColumns({"start_ms": F.coalesce("new_start", "start_ms"), "end_ms": F.coalesce("new_end", "end_ms")}).select(*columns)
 
-    return rated.groupBy("track_id").applyInPandas(repair, schema)
 
+def import_words(lists: DataFrame, max_ms: int = 8_000, max_weight: int = 84, duration_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Word lists (track_id, items) to the words to store and the preview cues over them."""
+    from ..sources.records import words_from_items
 
-def _rated(words: DataFrame, least_ms: int) -> DataFrame:
-    rates = speech_rates(words, least_ms).select("track_id", F.coalesce("speaker", F.lit("")).alias("by"), F.col("rate").alias("pace"))
-    keyed = words.withColumn("by", F.coalesce("speaker", F.lit(""))).withColumn("weight", F.greatest(F.lit(1), text_weight(F.trim("text"))))
-    return keyed.join(rates, ["track_id", "by"]).select("track_id", "ordinal", "speaker", "text", "start_ms", "end_ms", "weight", "pace")
+    words = repair_squeezed_words(words_from_items(lists), duration_ms=duration_ms)
+    return words, segment_words(words, max_ms, max_weight)
 
 
 def word_context(batches: DataFrame, words: DataFrame, cues: DataFrame, before: int = 10, after: int = 40) -> DataFrame:

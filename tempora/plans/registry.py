@@ -9,19 +9,10 @@ from ..functions import text as tx
 from ..operators import intervals as iv
 from ..operators import journal as jr
 from ..operators import words as wd
-from . import records, timelines
+from . import compositions, records, timelines
+from .sql import ALIGNED, CROSS, MERGED, MERGED40, MISSING, SILENCES
 
 CUES, SPANS, WORDS, LEVELS, TRACE, REPLIES = fx.CUES_SQL, fx.SPANS_SQL, fx.WORDS_SQL, fx.LEVELS_SQL, fx.TRACE_SQL, fx.REPLIES_SQL
-CROSS = """cross_ids AS (SELECT DISTINCT a.track_id, a.id FROM cues a JOIN cues b ON a.track_id = b.track_id AND a.speaker <> b.speaker
-  AND a.start_ms < b.end_ms AND b.start_ms < a.end_ms)"""
-MERGED = """merged AS (SELECT track_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM (
-  SELECT *, sum(CASE WHEN start_ms > reach + 10 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS island FROM (
-    SELECT *, max(end_ms) OVER (PARTITION BY track_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans WHERE end_ms >= start_ms)) GROUP BY track_id, island)"""
-SILENCES = """silences AS (SELECT track_id, ordinal, gap_ms FROM (SELECT track_id, ordinal, lead(start_ms) OVER (PARTITION BY track_id ORDER BY ordinal)
-  - max(end_ms) OVER (PARTITION BY track_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS gap_ms FROM words) WHERE gap_ms >= 800)"""
-MISSING = """batches AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY min(ordinal)) - 1 AS batch_no, min(ordinal) AS first, max(ordinal) AS last, count(*) AS n FROM (
-  SELECT *, (row_number() OVER (PARTITION BY track_id, run ORDER BY ordinal) - 1) // 20 AS part FROM (
-    SELECT track_id, ordinal, ordinal - row_number() OVER (PARTITION BY track_id ORDER BY ordinal) AS run FROM cues WHERE coalesce(translated, '') = '')) GROUP BY track_id, run, part)"""
 STAMP = "CAST(cs // 360000 AS VARCHAR) || ':' || lpad(CAST(cs // 6000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(cs // 100 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(cs % 100 AS VARCHAR), 2, '0')"
 
 
@@ -49,6 +40,11 @@ def _changes(spark, d):
     return c.where("id % 7 = 0").withColumn("id", F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.col("id") + 10_000_000)).withColumn("end_ms", F.col("end_ms") + 1).withColumn("translated", F.when(F.col("id") % 4 == 0, F.lit("new")))
 
 
+def _few_voices(spark, d):
+    """Long cues of which only every fiftieth has a speaker, so that few of them are crosstalk."""
+    return fx.cues(spark, d).withColumns({"end_ms": F.col("end_ms") + 20_000, "speaker": F.when(F.col("id") % 50 == 0, F.col("speaker"))})
+
+
 def _final(spark, d):
     """A second transcript of the tracks: some cues are gone, the others end later and have another source."""
     return fx.cues(spark, d).where("id % 5 <> 0").withColumns({"end_ms": F.col("end_ms") + 7, "source": F.lit("new"), "translated": F.lit(None).cast("string")})
@@ -78,9 +74,10 @@ SELECT track_id, id, ordinal, start_ms, CASE WHEN (track_id, id) IN (SELECT (tra
     "merge_intervals": (lambda s, d: iv.merge_intervals(fx.spans(s, d)), f"WITH {CUES}, {SPANS}, {MERGED} SELECT * FROM merged"),
     "normalize_renumber": (
         lambda s, d: iv.normalize_timeline(fx.cues(s, d), 800_000).select("track_id", "id", "parent_id", "start_ms", "end_ms"),
-        f"""WITH {CUES}, n AS (SELECT track_id, id AS parent_id, ordinal, speaker, least(greatest(start_ms, 0), 800000) AS start_ms,
-  greatest(least(greatest(start_ms, 0), 800000), least(end_ms, 800000)) AS end_ms FROM cues)
-SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, end_ms, coalesce(speaker, ''), ordinal) AS id, parent_id, start_ms, end_ms FROM n""",
+        f"""WITH {CUES}, {CROSS}, n AS (SELECT c.*, x.id IS NULL AS free, row_number() OVER (PARTITION BY c.track_id ORDER BY start_ms, end_ms, coalesce(speaker, ''), ordinal) AS place
+  FROM cues c LEFT JOIN cross_ids x ON c.track_id = x.track_id AND c.id = x.id)
+SELECT track_id, place AS id, id AS parent_id, CASE WHEN free THEN least(greatest(start_ms, 0), 800000) ELSE start_ms END AS start_ms,
+  CASE WHEN free THEN greatest(least(greatest(start_ms, 0), 800000), least(greatest(start_ms, end_ms), 800000)) ELSE end_ms END AS end_ms FROM n""",
     ),
     "event_defects": (
         lambda s, d: iv.event_defects(fx.cues(s, d).withColumn("start_ms", F.when(F.col("id") % 19 == 0, F.col("start_ms") + 5000).otherwise(F.col("start_ms")))),
@@ -92,16 +89,19 @@ SELECT track_id, id, 'end_before_start' AS kind FROM m WHERE e < s UNION ALL SEL
 UNION ALL SELECT track_id, id, 'overlap' FROM m WHERE s < CASE WHEN name = '' THEN any_end ELSE greatest(own_end, blank_end) END""",
     ),
     "long_silence_start": (
-        lambda s, d: iv.long_silence_starts(fx.cues(s, d).withColumn("end_ms", F.col("end_ms") + 20_000), iv.merge_intervals(fx.spans(s, d))).select("track_id", "id", "start_ms"),
-        f"""WITH {CUES}, {SPANS}, {MERGED}, gaps AS (SELECT * FROM (SELECT track_id, lag(end_ms) OVER (PARTITION BY track_id ORDER BY start_ms) AS a, start_ms AS b FROM merged) WHERE b - a > 6000),
-hit AS (SELECT c.track_id, c.id, max(b) AS b FROM cues c JOIN gaps g ON c.track_id = g.track_id AND b > start_ms AND b < end_ms + 20000 AND b - greatest(start_ms, a) > 6000 GROUP BY 1, 2)
+        lambda s, d: iv.long_silence_starts(_few_voices(s, d), iv.merge_intervals(fx.spans(s, d), 40)).select("track_id", "id", "start_ms"),
+        f"""WITH {CUES.replace("cues AS", "base AS", 1)}, cues AS (SELECT track_id, id, ordinal, start_ms, end_ms + 20000 AS end_ms, CASE WHEN id % 50 = 0 THEN speaker END AS speaker, source FROM base),
+{CROSS}, spans AS (SELECT track_id, start_ms, end_ms FROM base WHERE source IN ('click', 'view')), {MERGED40},
+gaps AS (SELECT * FROM (SELECT track_id, lag(end_ms) OVER (PARTITION BY track_id ORDER BY start_ms) AS a, start_ms AS b FROM merged) WHERE a IS NULL OR b - a > 6000),
+hit AS (SELECT c.track_id, c.id, max(b) AS b FROM cues c JOIN gaps g ON c.track_id = g.track_id AND b > start_ms AND b < end_ms AND b - greatest(start_ms, coalesce(a, start_ms)) > 6000
+  WHERE (c.track_id, c.id) NOT IN (SELECT (track_id, id) FROM cross_ids) GROUP BY 1, 2)
 SELECT c.track_id, c.id, coalesce(greatest(start_ms, b - 3000), start_ms) AS start_ms FROM cues c LEFT JOIN hit h ON c.track_id = h.track_id AND c.id = h.id""",
     ),
     "vad_start_candidates": (
         lambda s, d: iv.start_candidates(fx.cues(s, d), fx.spans(s, d)),
-        f"""WITH {CUES}, {SPANS}, p AS (SELECT *, coalesce(lag(end_ms) OVER (PARTITION BY track_id ORDER BY ordinal), 0) AS prev FROM cues)
+        f"""WITH {CUES}, {SPANS}, p AS (SELECT *, lag(end_ms) OVER (PARTITION BY track_id ORDER BY ordinal) AS prev FROM cues)
 SELECT p.track_id, p.id, min(v.start_ms) AS candidate_ms FROM p JOIN spans v ON p.track_id = v.track_id AND v.end_ms >= p.start_ms - 40
-  AND v.start_ms <= least(p.end_ms, p.start_ms + 2000) AND v.start_ms >= prev + 40 GROUP BY 1, 2""",
+  AND v.start_ms <= least(p.end_ms, p.start_ms + 2000) AND (prev IS NULL OR v.start_ms >= prev + 40) GROUP BY 1, 2""",
     ),
     "remaining_speech": (
         lambda s, d: iv.remaining_speech(fx.cues(s, d), fx.spans(s, d)),
@@ -114,14 +114,14 @@ SELECT p.track_id, p.id, min(v.start_ms) AS candidate_ms FROM p JOIN spans v ON
 SELECT track_id, id, r AS refined_ms FROM (SELECT n.track_id, n.id, v.end_ms AS r, row_number() OVER (PARTITION BY n.track_id, n.id ORDER BY abs(v.end_ms - n.end_ms), v.end_ms DESC) AS k
   FROM n JOIN spans v ON n.track_id = v.track_id AND abs(v.end_ms - n.end_ms) <= 1000 AND v.start_ms <= n.end_ms + 40 AND v.end_ms >= n.start_ms AND (nx IS NULL OR v.end_ms <= nx)) WHERE k = 1""",
     ),
-    "align_vad": (lambda s, d: iv.align_to_speech(fx.cues(s, d), fx.spans(s, d)).select(*COLUMNS, "confidence"), None),
+    "align_vad": (lambda s, d: iv.align_to_speech(fx.cues(s, d), iv.merge_intervals(fx.spans(s, d), 40)).select(*COLUMNS, "confidence"), f"WITH {CUES}, {SPANS}, {ALIGNED} SELECT track_id, id, ordinal, start_ms, end_ms, confidence FROM aligned"),
     "format_timestamp": (
         lambda s, d: fx.cues(s, d).select("track_id", "id", tx.format_timestamp(F.col("start_ms")).alias("stamp"), tx.parse_timestamp_ms(tx.format_timestamp(F.col("start_ms"))).alias("back_ms")),
         f"WITH {CUES} SELECT track_id, id, {_stamp('start_ms')} AS stamp, CAST(round_even(start_ms / 10.0, 0) AS BIGINT) * 10 AS back_ms FROM cues",
     ),
     "text_weight": (
         lambda s, d: fx.read(s, d, "documents").select("doc_id", tx.text_weight(F.col("text")).cast("bigint").alias("weight"), tx.ends_sentence(F.col("text")).alias("closed")),
-        "SELECT doc_id, CAST(length(text) AS BIGINT) AS weight, regexp_matches(text, '[.?!。？！…][\"''”’»」』）)\\]]*\\s*$') AS closed FROM documents",
+        "SELECT doc_id, CAST(length(text) AS BIGINT) AS weight, regexp_matches(text, '[.?!。？！…][\"''”’»›』」）)\\]]*\\s*$') AS closed FROM documents",
     ),
     "cue_text_lines": (
         lambda s, d: fx.cues(s, d).select("track_id", "id", *[F.array_join(tx.cue_lines(F.col("source"), F.col("translated"), m), "|").alias(m) for m in ("source", "translated", "bilingual")]),
@@ -139,7 +139,7 @@ SELECT a.track_id, speaker, round(CASE WHEN n >= 3 THEN own WHEN m >= 3 THEN who
         f"WITH {WORDS}, {SILENCES} SELECT w.track_id, coalesce(max(s.ordinal) + 1, 0) AS n_words FROM (SELECT DISTINCT track_id FROM words) w LEFT JOIN silences s ON w.track_id = s.track_id GROUP BY 1",
     ),
     "split_word_batches": (lambda s, d: wd.split_word_batches(fx.words(s, d), 50), None),
-    "segment_words": (lambda s, d: wd.segment_words(fx.words(s, d)), None),
+    "segment_words": (lambda s, d: wd.segment_words(fx.words(s, d).withColumn("text", F.concat("text", F.lit(" ")))), None),
     "uncovered_runs": (
         lambda s, d: wd.uncovered_runs(fx.words(s, d), _ranges(s, d)),
         f"""WITH {WORDS}, {RANGES} SELECT track_id, min(ordinal) AS first, max(ordinal) AS last FROM (SELECT track_id, ordinal, ordinal - row_number() OVER (PARTITION BY track_id ORDER BY ordinal) AS run
@@ -154,8 +154,8 @@ SELECT * FROM ranges UNION ALL SELECT * FROM previews p WHERE NOT EXISTS (SELECT
         lambda s, d: jr.voiced_spans(fx.levels(s, d)),
         f"""WITH {LEVELS}, k AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY level, window_idx) AS rnk, count(*) OVER (PARTITION BY track_id) AS n FROM levels),
 lim AS (SELECT track_id, max(CASE WHEN rnk = least(n - 1, CAST(floor(n * 0.15::DOUBLE) AS BIGINT)) + 1 THEN level END) AS flr, max(level) AS peak FROM k GROUP BY 1),
-loud AS (SELECT l.track_id, window_idx, window_idx - row_number() OVER (PARTITION BY l.track_id ORDER BY window_idx) AS run FROM levels l JOIN lim ON l.track_id = lim.track_id WHERE level > greatest(flr * 3, peak * 0.035::DOUBLE, 8))
-SELECT track_id, min(window_idx) AS first, max(window_idx) AS last FROM loud GROUP BY track_id, run HAVING count(*) >= 3""",
+loud AS (SELECT l.track_id, window_idx, window_idx - row_number() OVER (PARTITION BY l.track_id ORDER BY window_idx) AS run FROM levels l JOIN lim ON l.track_id = lim.track_id WHERE peak > 0 AND level >= greatest(flr * 3, peak * 0.035::DOUBLE, 8)),
+spans AS (SELECT track_id, min(window_idx) * 20 AS start_ms, max(window_idx) * 20 + 20 AS end_ms FROM loud GROUP BY track_id, run HAVING count(*) >= 3), {MERGED40} SELECT * FROM merged""",
     ),
     "upsert_cues": (
         lambda s, d: jr.upsert_cues(fx.cues(s, d), _changes(s, d)).select(*COLUMNS, "translated"),
@@ -209,8 +209,9 @@ UNION ALL SELECT a.track_id, a.id, 'missing' FROM asked a ANTI JOIN replies r ON
 UNION ALL SELECT r.track_id, r.id, 'blank' FROM replies r SEMI JOIN asked a ON r.track_id = a.track_id AND r.id = a.id WHERE trim(translated) = ''""",
     ),
     "apply_batch": (
-        lambda s, d: jr.apply_replies(fx.cues(s, d), fx.replies(s, d)).select("track_id", "id", "translated"),
-        f"WITH {CUES}, {REPLIES} SELECT c.track_id, c.id, coalesce(nullif(trim(r.translated), ''), c.translated) AS translated FROM cues c LEFT JOIN replies r ON c.track_id = r.track_id AND CAST(c.id AS VARCHAR) = r.id",
+        lambda s, d: jr.apply_replies(fx.cues(s, d), fx.replies(s, d).withColumn("source", F.when(F.col("id").rlike("[05]$"), F.concat(F.lit(" fixed "), "id")).otherwise(" "))).select("track_id", "id", "source", "translated"),
+        f"""WITH {CUES}, {REPLIES} SELECT c.track_id, c.id, CASE WHEN r.id IS NOT NULL AND c.id % 5 = 0 THEN 'fixed ' || c.id ELSE c.source END AS source, coalesce(nullif(trim(r.translated), ''), c.translated) AS translated
+FROM cues c LEFT JOIN replies r ON c.track_id = r.track_id AND CAST(c.id AS VARCHAR) = r.id""",
     ),
     "task_state": (
         lambda s, d: jr.task_state(fx.trace(s, d)),
@@ -224,9 +225,9 @@ SELECT operation_id, state, model, attempt, started_us, CASE WHEN state IN ('com
   CASE WHEN translated IS NULL THEN source ELSE translated || '\\N' || source END, chr(10) ORDER BY start_ms, end_ms, coalesce(speaker, ''), ordinal) AS document FROM cues GROUP BY 1""",
     ),
     "parse_documents": (
-        lambda s, d: jr.parse_documents(jr.render_documents(fx.cues(s, d))).groupBy("track_id").agg(F.count("*").alias("n"), F.sum("start_ms").alias("start_sum"), F.sum("end_ms").alias("end_sum"), F.sum(F.size("lines")).alias("n_lines"), F.count("problem").alias("n_problems")),
-        f"""WITH {CUES} SELECT track_id, count(*) AS n, CAST(sum(CAST(round_even(start_ms / 10.0, 0) AS BIGINT) * 10) AS BIGINT) AS start_sum, CAST(sum(CAST(round_even(end_ms / 10.0, 0) AS BIGINT) * 10) AS BIGINT) AS end_sum,
-  count(*) + count(translated) AS n_lines, 0 AS n_problems FROM cues GROUP BY 1""",
+        lambda s, d: jr.parse_documents(jr.render_documents(fx.cues(s, d)).withColumn("document", F.concat(F.lit("[Events]\n"), "document"))).withColumn("lines", F.array_join("lines", "|")),
+        f"""WITH {CUES} SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, end_ms, coalesce(speaker, ''), ordinal) AS line_no, CAST(round_even(start_ms / 10.0, 0) AS BIGINT) * 10 AS start_ms,
+  CAST(round_even(end_ms / 10.0, 0) AS BIGINT) * 10 AS end_ms, coalesce(speaker, '') AS name, CASE WHEN translated IS NULL THEN source ELSE translated || '|' || source END AS lines, CAST(NULL AS VARCHAR) AS problem FROM cues""",
     ),
     "progress_plan": (
         lambda s, d: jr.progress_plan(fx.read(s, d, "lineitem").select(F.col("l_suppkey").alias("plan"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("stage"), F.concat(F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lpad(F.col("l_linenumber").cast("string"), 4, "0")).alias("position"), (F.col("l_quantity").cast("double") - 5).alias("weight"))).withColumns({"start": F.round("start", 9), "span": F.round("span", 9)}),
@@ -237,7 +238,7 @@ SELECT plan, stage, round(coalesce(sum(weight) OVER (PARTITION BY plan ORDER BY
 }
 
 
-ALL = {**QUERIES, **records.QUERIES, **timelines.QUERIES}
+ALL = {**QUERIES, **records.QUERIES, **timelines.QUERIES, **compositions.QUERIES}
 
 
 def queries():

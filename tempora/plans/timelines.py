@@ -19,6 +19,24 @@ from ..streaming import feeds as fd
 CUES, WORDS, LEVELS, TRACE = fx.CUES_SQL, fx.WORDS_SQL, fx.LEVELS_SQL, fx.TRACE_SQL
 
 
+def _stamp(ms):
+    cs = f"CAST(round_even({ms} / 10.0, 0) AS BIGINT)"
+    return f"CAST({cs} // 360000 AS VARCHAR) || ':' || lpad(CAST({cs} // 6000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({cs} // 100 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST({cs} % 100 AS VARCHAR), 2, '0')"
+
+
+STAMP_START, STAMP_END = _stamp("start_ms"), _stamp("end_ms")
+
+
+def _header(width, height):
+    """The header of a frame, in plain Python."""
+    scale = min(width / 1920, height / 1080)
+    style = pb.STYLES % (max(1, round(64 * scale)), f"{round(3 * scale, 2):g}", f"{round(1.5 * scale, 2):g}", round(60 * width / 1920), round(60 * width / 1920), round(40 * height / 1080))
+    return pb.INFO % (width, height) + style + pb.EVENTS
+
+
+HEADERS = "headers(kind, header) AS (VALUES " + ", ".join(f"({i}, '{_header(i * 640 + 640, 720)}')" for i in range(3)) + ")"
+
+
 def _level_cues(spark, d):
     """Cues of 25 windows each over the level series."""
     part = F.floor(F.col("window_idx") / 25)
@@ -90,11 +108,10 @@ def _reviewed(spark, d):
 
 
 def _canonical(spark, d):
-    """Which files a rewrite would change: those of one mode of every second track have lost the header's first line."""
+    """Rewritten files of one mode; those of every second track have lost the header's first line."""
     own, frames = _published(spark, d)
     docs = own.where("mode = 'bilingual'").withColumn("document", F.when(F.col("track_id") % 2 == 0, F.regexp_replace("document", r"^\[Script Info\]\n", "")).otherwise(F.col("document")))
-    whole = own.where("mode = 'bilingual'").select("track_id", F.col("document").alias("whole"))
-    return pb.canonical_documents(docs.drop("mode", "file"), frames).join(whole, "track_id").select("track_id", F.col("canonical").isNull().alias("unchanged"), F.col("canonical").eqNullSafe(F.col("whole")).alias("restored"))
+    return pb.canonical_documents(docs.drop("mode", "file"), frames)
 
 
 def _progress(spark, d):
@@ -189,13 +206,19 @@ SELECT k.track_id, chunk_no, greatest(0, chunk_no * 15000 - 5000) AS from_ms, (c
         lambda s, d: bk.translate_missing(fx.cues(s, d), _echo).select("track_id", "id", "translated"),
         f"WITH {CUES} SELECT track_id, id, coalesce(translated, 't:' || source) AS translated FROM cues",
     ),
-    "align_timeline": (lambda s, d: bk.align_timeline(fx.cues(s, d), fx.spans(s, d), None, 870_000).select("track_id", "id", "parent_id", "start_ms", "end_ms"), None),
     "publish_documents": (
-        lambda s, d: _published(s, d)[0].select("track_id", "mode", "file", (F.size(F.split("document", "Dialogue:")) - 1).cast("bigint").alias("n")),
-        f"""WITH {CUES}, m AS (SELECT unnest(['source', 'translated', 'bilingual']) AS mode, unnest(['.source.ass', '.translated.ass', '.en-xx.ass']) AS suffix)
-SELECT track_id, mode, CAST(track_id AS VARCHAR) || suffix AS file, count(*) AS n FROM cues CROSS JOIN m GROUP BY track_id, mode, suffix""",
+        lambda s, d: _published(s, d)[0],
+        f"""WITH {CUES}, m AS (SELECT unnest(['source', 'translated', 'bilingual']) AS mode, unnest(['.source.ass', '.translated.ass', '.en-xx.ass']) AS suffix), {HEADERS}
+SELECT c.track_id, mode, CAST(c.track_id AS VARCHAR) || suffix AS file, any_value(header) || string_agg('Dialogue: 0,' || {STAMP_START} || ',' || {STAMP_END} || ',Default,' || coalesce(speaker, '') || ',0,0,0,,' ||
+  CASE WHEN mode = 'source' OR translated IS NULL THEN source WHEN mode = 'translated' THEN translated ELSE translated || '\\N' || source END || chr(10), '' ORDER BY start_ms, end_ms, coalesce(speaker, ''), ordinal) AS document
+FROM cues c CROSS JOIN m JOIN headers h ON h.kind = c.track_id % 3 GROUP BY c.track_id, mode, suffix""",
+    ),
+    "canonical_documents": (
+        _canonical,
+        f"""WITH {CUES}, {HEADERS} SELECT c.track_id, CASE WHEN c.track_id % 2 = 0 THEN any_value(header) || string_agg('Dialogue: 0,' || {STAMP_START} || ',' || {STAMP_END} || ',Default,' || coalesce(speaker, '') || ',0,0,0,,' ||
+  CASE WHEN translated IS NULL THEN source ELSE translated || '\\N' || source END || chr(10), '' ORDER BY start_ms, end_ms, coalesce(speaker, ''), ordinal) END AS canonical
+FROM cues c JOIN headers h ON h.kind = c.track_id % 3 GROUP BY c.track_id""",
     ),
-    "canonical_documents": (_canonical, f"WITH {CUES} SELECT DISTINCT track_id, track_id % 2 <> 0 AS unchanged, track_id % 2 = 0 AS restored FROM cues"),
     "publish_gate": (lambda s, d: pb.publish_gate(*_reviewed(s, d)), None),
     "monotone_progress": (
         lambda s, d: pg.monotone_progress(_progress(s, d)).select("plan", "seq", "stage", F.round("fraction", 9).alias("fraction")),

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.text import overlap_key, word_key
+
 WORD = "track_id long, ordinal long, start_ms long, text string"
 STATE = "n long, last_ms long, starts array<long>, texts array<string>"
 
@@ -37,8 +39,7 @@ def stream_hop_chunks(rows: DataFrame, chunk_s: int = 15, context_s: int = 5, de
 
 def _append(rows: pd.DataFrame, n: int, last_ms: int | None, recent: deque, within_ms: int) -> tuple[list[tuple[int, int, str]], int, int | None]:
     out = []
-    for start, text in zip(rows["start_ms"], rows["text"], strict=True):
-        key = text.strip().casefold()
+    for start, text, key in zip(rows["start_ms"], rows["text"], rows["key"], strict=True):
         if (last_ms is not None and start < last_ms) or any(abs(s - start) <= within_ms and k == key for s, k in recent):
             continue
         out.append((n, int(start), text))
@@ -47,6 +48,12 @@ def _append(rows: pd.DataFrame, n: int, last_ms: int | None, recent: deque, with
     return out, n, last_ms
 
 
+def _keyed(words: DataFrame) -> DataFrame:
+    """Words with the key by which they are compared; a null text is empty."""
+    text = F.coalesce("text", F.lit(""))
+    return words.select("track_id", "seq", "start_ms", text.alias("text"), word_key(text).alias("key"))
+
+
 def append_only_words(words: DataFrame, within_ms: int = 600, window: int = 80) -> DataFrame:
     """(track_id, ordinal, start_ms, text) of words heard in the order of (seq): a word is left out if one of the last ``window`` kept ones
     has its text and starts within ``within_ms``, or if it starts before the last kept one. Ordinals have no gaps."""
@@ -55,7 +62,7 @@ def append_only_words(words: DataFrame, within_ms: int = 600, window: int = 80)
         kept, _, _ = _append(g.sort_values("seq"), 0, None, deque(maxlen=window), within_ms)
         return pd.DataFrame(kept, columns=["ordinal", "start_ms", "text"]).assign(track_id=g["track_id"].iloc[0])[["track_id", "ordinal", "start_ms", "text"]]
 
-    return words.select("track_id", "seq", "start_ms", "text").groupBy("track_id").applyInPandas(fold, WORD)
+    return _keyed(words).groupBy("track_id").applyInPandas(fold, WORD)
 
 
 def stream_append_only_words(words: DataFrame, within_ms: int = 600, window: int = 80) -> DataFrame:
@@ -69,7 +76,7 @@ def stream_append_only_words(words: DataFrame, within_ms: int = 600, window: int
         state.update((n, last_ms, [s for s, _ in recent], [t for _, t in recent]))
         yield pd.DataFrame(kept, columns=["ordinal", "start_ms", "text"]).assign(track_id=key[0])[["track_id", "ordinal", "start_ms", "text"]]
 
-    return words.select("track_id", "seq", "start_ms", "text").groupBy("track_id").applyInPandasWithState(step, WORD, STATE, "append", GroupStateTimeout.NoTimeout)
+    return _keyed(words).groupBy("track_id").applyInPandasWithState(step, WORD, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def new_samples(deliveries: DataFrame) -> DataFrame:
@@ -111,3 +118,57 @@ def on_changes(act: Callable[[DataFrame], None], known: Callable[[], DataFrame],
         remember(cues)
 
     return batch
+
+
+def stream_chunk_timeline(cues: DataFrame, within_ms: int = 2_500, horizon_ms: int = 60_000) -> DataFrame:
+    """(track_id, ordinal, start_ms, end_ms, source) of a stream of chunks' cues that are new: no cue of the same text that came before
+    starts within ``within_ms``. Its table twin is ``words.overlap_merge`` over no existing cues.
+
+    The state is kept by track and text; starts more than ``horizon_ms`` before the text's latest one are forgotten, as chunks overlap by far less.
+    """
+    shape = "track_id long, ordinal long, start_ms long, end_ms long, source string"
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        starts = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values(["ordinal", "start_ms"])
+        keep = []
+        for start in rows["start_ms"]:
+            new = all(abs(s - start) > within_ms for s in starts)
+            keep.append(new)
+            if new:
+                starts.append(int(start))
+        state.update(([s for s in starts if s >= max(starts) - horizon_ms],))
+        yield rows.loc[keep, ["track_id", "ordinal", "start_ms", "end_ms", "source"]]
+
+    keyed = cues.select("track_id", "ordinal", "start_ms", "end_ms", "source", F.coalesce(overlap_key(F.col("source")), F.lit("")).alias("text_key"))
+    return keyed.groupBy("track_id", "text_key").applyInPandasWithState(step, shape, "starts array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def on_settled(words: Callable[[], DataFrame], pending: Callable[[], DataFrame], known: Callable[[], DataFrame], act: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function over the cues that have landed so far: ``act`` gets the (track_id, id, final_id) that have settled and are
+    not among the ``known`` ones. What is settled follows from the tables alone, so a batch that runs again finds the same."""
+
+    def batch(cues: DataFrame, _: int) -> None:
+        from ..operators.words import settled_prefix
+
+        settled = settled_prefix(words(), cues, pending(), complete=False)
+        act(settled.join(known().select("track_id", "final_id"), ["track_id", "final_id"], "left_anti"))
+
+    return batch
+
+
+def on_ready(ranges: Callable[[], DataFrame], dispatched: Callable[[], DataFrame], act: Callable[[DataFrame], None], target: int = 400) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function over the words so far: ``act`` gets the batches (track_id, first, last) that are ready and were not ``dispatched``."""
+
+    def batch(words: DataFrame, _: int) -> None:
+        from ..operators.words import ready_word_batches
+
+        act(ready_word_batches(words, ranges(), dispatched(), target))
+
+    return batch
+
+
+def final_over_live(live: DataFrame, final: DataFrame) -> DataFrame:
+    """Cues of the authoritative pass, with ``final``; tracks that it has not reached keep their live ones."""
+    rest = live.join(final.select("track_id").distinct(), "track_id", "left_anti")
+    return final.withColumn("final", F.lit(True)).unionByName(rest.withColumn("final", F.lit(False)))

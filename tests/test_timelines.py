@@ -40,7 +40,7 @@ def test_crosstalk_needs_two_names_and_real_overlap(spark):
 def test_range_joins_against_brute_force(spark):
     rnd = random.Random(2)
     rows = [(s, s + rnd.randint(0, 9000), rnd.choice(["a", "b", None])) for s in (rnd.randint(0, 60_000) for _ in range(80))]
-    got = {r.id for r in iv.crosstalk_ids(cues(spark, rows), width_ms=500).collect()}
+    got = {r.id for r in iv.crosstalk_ids(cues(spark, rows)).collect()}
     assert got == {i for i, x in enumerate(rows) for y in rows if x[2] and y[2] and x[2] != y[2] and x[0] < y[1] and y[0] < x[1]}
 
 
@@ -67,7 +67,7 @@ def test_text_functions(spark):
     row = spark.range(1).select(
         tx.text_weight(F.lit("a日本é")).alias("w"), tx.normalize_speaker(F.lit("speaker_ ")).alias("s"), tx.normalize_language(F.lit("EN_us")).alias("l"),
         tx.ends_sentence(F.lit('Yes.”')).alias("e"), tx.overlap_key(F.lit(" Straße\u00a0 A ")).alias("k"), tx.clock_ms(F.lit("01:02:03,250")).alias("c"),
-        tx.event_lines(F.lit("a\\N \\Nb\n c ")).alias("n"), tx.parse_timestamp_ms(F.lit("x")).alias("x"), tx.parse_timestamp_ms(F.lit("0:00:01.5")).alias("t"),
+        tx.event_lines(F.lit("a\\N \\Nb\\n c ")).alias("n"), tx.parse_timestamp_ms(F.lit("x")).alias("x"), tx.parse_timestamp_ms(F.lit("0:00:01.5")).alias("t"),
     ).first()
     assert tuple(row) == (6, None, "en", True, "strasse a", 3_723_250, ["a", "b", "c"], None, 1500)
 
