@@ -267,31 +267,33 @@ def nearest(
 
     asks_kind = f"tree int, node long, id {id_kind}, v binary, gone double, reach2 double, least double"
 
+    def through(depth: int, limited: bool):
+        def deeper(key: tuple, asks: pa.Table, split: pa.Table) -> pa.Table:
+            """Through the tree of an overfull leaf; as it adds hyperplanes, the limit grows with the depth."""
+            if not len(split) or not len(asks):
+                return asks.drop_columns("part")
+            sub, x = pickle.loads(split["forest"][0].as_py()), unit(matrix(asks["v"], dim, kind))
+            limits = asks["reach2"].to_numpy() * (depth + 1)
+            found, row = [], []
+            for i, begun in enumerate(asks["gone"].to_numpy()):
+                for gone, _, n in sub.search(x[i], begun if limited else 0.0):
+                    if row and row[-1] == i and gone > limits[i]:  # the nearest leaf in any case
+                        break
+                    found.append((n, gone))
+                    row.append(i)
+            n, gone = zip(*found, strict=True)
+            asks = asks.take(pa.array(row))
+            return pa.table({"tree": asks["tree"], "node": pa.array((asks["node"].to_numpy() + 1) * 4096 + np.array(n)), "id": asks["id"], "v": asks["v"], "gone": pa.array(gone), "reach2": asks["reach2"], "least": asks["least"]})
+
+        return deeper
+
     def visits(asked: DataFrame, limited: bool) -> DataFrame:
         out = asked.mapInArrow(walk(limited), asks_kind)
         for depth, split in enumerate(splits, 1):
-
-            def deeper(key: tuple, asks: pa.Table, split: pa.Table, depth: int = depth) -> pa.Table:
-                """Through the tree of an overfull leaf; as it adds hyperplanes, the limit grows with the depth."""
-                if not len(split) or not len(asks):
-                    return asks.drop_columns("part")
-                sub, x = pickle.loads(split["forest"][0].as_py()), unit(matrix(asks["v"], dim, kind))
-                limits = asks["reach2"].to_numpy() * (depth + 1)
-                found, row = [], []
-                for i, begun in enumerate(asks["gone"].to_numpy()):
-                    for gone, _, n in sub.search(x[i], begun if limited else 0.0):
-                        if found and row[-1] == i and gone > limits[i]:  # the nearest leaf in any case
-                            break
-                        found.append((n, gone))
-                        row.append(i)
-                n, gone = zip(*found, strict=True)
-                asks = asks.take(pa.array(row))
-                return pa.table({"tree": asks["tree"], "node": pa.array((asks["node"].to_numpy() + 1) * 4096 + np.array(n)), "id": asks["id"], "v": asks["v"], "gone": pa.array(gone), "reach2": asks["reach2"], "least": asks["least"]})
-
             full, rest = out.join(split, ["tree", "node"], "left_semi"), out.join(split, ["tree", "node"], "left_anti")
             full, parts = in_parts(full, ["tree", "node"], query_block, "id")
             keys = ["tree", "node", "part"]
-            out = full.groupBy(*keys).cogroup(parts.join(split, ["tree", "node"]).groupBy(*keys)).applyInArrow(deeper, asks_kind).unionByName(rest)
+            out = full.groupBy(*keys).cogroup(parts.join(split, ["tree", "node"]).groupBy(*keys)).applyInArrow(through(depth, limited), asks_kind).unionByName(rest)
         return out
 
     def rank(key: tuple, r: pa.Table, q: pa.Table) -> pa.Table:
