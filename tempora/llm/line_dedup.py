@@ -95,9 +95,10 @@ def repeated_runs(docs: DataFrame, id: str, text: str, gram_words: int, gram_lin
     pairs = hits.groupBy(F.col("place.row").alias("row"), F.col("first.row").alias("first_row"), shift).agg(F.collect_set("place.at").alias("ats"))
     a, b, shift = F.col("hashes"), F.col("first_hashes"), F.col("shift")
     low, high = F.greatest(shift, F.lit(0)), F.least(F.size(a), F.size(b) + shift)
-    # rows that are there several times are one
+    # rows that are there several times are one; stored, so that both sides of the joins are shuffles of their own and a first row that very many
+    # rows meet can be split
     met = pairs.select(F.explode(F.array("row", "first_row")).alias("row")).distinct()
-    once = lined.select("row", "hashes", "places").join(met, "row", "left_semi").groupBy("row").agg(F.first("hashes").alias("hashes"), F.first("places").alias("places"))
+    once = stored(lined.select("row", "hashes", "places").join(met, "row", "left_semi").groupBy("row").agg(F.first("hashes").alias("hashes"), F.first("places").alias("places")), "matched")
     sides = pairs.join(once, "row").join(once.select(F.col("row").alias("first_row"), F.col("hashes").alias("first_hashes")), "first_row")
     breaks = F.filter(F.sequence(low, high - 1), lambda p: F.get(a, p) != F.get(b, p - shift))
     edges = sides.select("row", "places", "ats", F.concat(F.array(low - 1), breaks, F.array(high)).alias("edges"))
