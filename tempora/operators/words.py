@@ -57,25 +57,28 @@ def split_word_batches(words: DataFrame, target: int = 400, least_ms: int = 800)
     first = F.min(F.when(F.col("gap").isNotNull(), F.col("ordinal"))).over(far)
     cut = F.coalesce(-F.col("best.back"), F.col("first"), F.col("ordinal") + hard - 1)
     place = F.row_number().over(order) - 1
+    # the walk needs a key of one kind; its result gets the track back by it
     cuts = rows.withColumn("best", best).withColumn("first", first).withColumn("place", place).select(
-        "track_id", "ordinal", "n", "place", cut.alias("cut"), (F.col("best").isNull() & F.col("first").isNull()).alias("forced")
+        F.to_json(F.struct("track_id")).alias("track_id"), "ordinal", "n", "place", cut.alias("cut"), (F.col("best").isNull() & F.col("first").isNull()).alias("forced"), F.max("ordinal").over(track()).alias("top")
     )
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ordinal")
-        cut, forced, ordinals, n = group["cut"].to_numpy(), group["forced"].to_numpy(), group["ordinal"].to_numpy(), len(group)
-        at, out = 0, []
-        while at < n:
-            if n - at <= hard:
-                out.append((ordinals[at], ordinals[-1], False))
-                break
-            out.append((ordinals[at], cut[at], bool(forced[at])))
-            at += int(cut[at] - ordinals[at]) + 1
-        return pd.DataFrame([(group["track_id"].iloc[0], i, *r) for i, r in enumerate(out)], columns=["track_id", "batch_no", "first", "last", "forced_end"])
-
-    # the walk needs a key of one kind; its result gets the track back by it
-    keyed = cuts.select(F.to_json(F.struct("track_id")).alias("key"), "track_id", "ordinal", "cut", "forced")
-    walked = keyed.drop("track_id").withColumnRenamed("key", "track_id").groupBy("track_id").applyInPandas(walk, "track_id string, batch_no int, first long, last long, forced_end boolean")
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Over sorted rows; only where the next batch begins is held."""
+        key, at, number = None, 0, 0
+        for batch in batches:
+            out = []
+            for name, g in batch.groupby("track_id", sort=False):
+                if name != key:
+                    key, at, number = name, 0, 0
+                ordinal, cut, forced, low, n = g["ordinal"].to_numpy(), g["cut"].to_numpy(), g["forced"].to_numpy(), int(g["place"].iloc[0]), int(g["n"].iloc[0])
+                while at - low < len(g) and at < n:
+                    i = at - low
+                    rest = n - at <= hard
+                    out.append((name, number, ordinal[i], g["top"].iloc[0] if rest else cut[i], bool(forced[i]) and not rest))
+                    at, number = n if rest else at + int(cut[i] - ordinal[i]) + 1, number + 1
+            yield pd.DataFrame(out, columns=["track_id", "batch_no", "first", "last", "forced_end"])
+
+    walked = cuts.repartition("track_id").sortWithinPartitions("track_id", "place").mapInPandas(walk, "track_id string, batch_no int, first long, last long, forced_end boolean")
     return walked.withColumn("track_id", F.from_json("track_id", T.StructType([words.schema["track_id"]]))["track_id"])
 
 
@@ -227,6 +230,18 @@ def overlap_merge(existing: DataFrame, incoming: DataFrame, within_ms: int = 2_5
     return ordered.mapInPandas(fold, "track_id long, ordinal long, start_ms long, end_ms long, source string")
 
 
+def merged_timeline(existing: DataFrame, incoming: DataFrame, within_ms: int = 2_500) -> DataFrame:
+    """(track_id, id, start_ms, end_ms, source): the existing cues and the incoming ones that ``overlap_merge`` keeps.
+
+    A kept cue's id is the number of cues that are there when it comes, itself included.
+    """
+    kept = overlap_merge(existing, incoming, within_ms)
+    held = existing.groupBy("track_id").agg(F.count("*").alias("held"))
+    place = F.row_number().over(track().orderBy("ordinal", "start_ms"))
+    new = kept.join(held, "track_id", "left").select("track_id", (F.coalesce("held", F.lit(0)) + place).cast("string").alias("id"), "start_ms", "end_ms", "source")
+    return existing.select("track_id", F.col("id").cast("string").alias("id"), "start_ms", "end_ms", "source").unionByName(new)
+
+
 def repair_squeezed_words(words: DataFrame, least_ms: int = 50, longest_ms: int = 5_000, duration_ms: int | None = None) -> DataFrame:
     """Words with new times where a change of speaker squeezed them.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..operators import journal as jr
 from ..sources import records as rc
+from .sql import MISSING
 
 CUES, WORDS, LEVELS, REPLIES = fx.CUES_SQL, fx.WORDS_SQL, fx.LEVELS_SQL, fx.REPLIES_SQL
 
@@ -151,6 +152,7 @@ SELECT l_orderkey AS track_id, CAST(coalesce(arg_min(w, n) FILTER (ok), 1920) AS
     ),
     "cue_payloads": (
         lambda s, d: rc.cue_payloads(jr.missing_batches(fx.cues(s, d)), fx.cues(s, d)),
-        None,
+        f"""WITH {CUES}, {MISSING} SELECT b.track_id, b.batch_no, '[' || string_agg('{{"id":"' || id || '","source":"' || source || '","translated":null}}', ',' ORDER BY ordinal) || ']' AS payload
+FROM batches b JOIN cues c ON b.track_id = c.track_id AND c.ordinal BETWEEN first AND last GROUP BY 1, 2""",
     ),
 }

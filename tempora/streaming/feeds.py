@@ -58,11 +58,19 @@ def append_only_words(words: DataFrame, within_ms: int = 600, window: int = 80)
     """(track_id, ordinal, start_ms, text) of words heard in the order of (seq): a word is left out if one of the last ``window`` kept ones
     has its text and starts within ``within_ms``, or if it starts before the last kept one. Ordinals have no gaps."""
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        kept, _, _ = _append(g.sort_values("seq"), 0, None, deque(maxlen=window), within_ms)
-        return pd.DataFrame(kept, columns=["ordinal", "start_ms", "text"]).assign(track_id=g["track_id"].iloc[0])[["track_id", "ordinal", "start_ms", "text"]]
-
-    return _keyed(words).groupBy("track_id").applyInPandas(fold, WORD)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Over sorted rows; only the state of the track at hand is held."""
+        at, n, last_ms, recent = None, 0, None, deque(maxlen=window)
+        for batch in batches:
+            out = [pd.DataFrame([], columns=["track_id", "ordinal", "start_ms", "text"])]
+            for track, rows in batch.groupby("track_id", sort=False):
+                if track != at:
+                    at, n, last_ms, recent = track, 0, None, deque(maxlen=window)
+                kept, n, last_ms = _append(rows, n, last_ms, recent, within_ms)
+                out.append(pd.DataFrame([(track, *k) for k in kept], columns=["track_id", "ordinal", "start_ms", "text"]))
+            yield pd.concat(out)
+
+    return _keyed(words).repartition("track_id").sortWithinPartitions("track_id", "seq").mapInPandas(fold, WORD)
 
 
 def stream_append_only_words(words: DataFrame, within_ms: int = 600, window: int = 80) -> DataFrame:

@@ -95,3 +95,43 @@ def test_changed_tracks_and_new_samples(spark):
     assert sorted(r.track_id for r in fd.changed_tracks(old, new).collect()) == [2, 3]
     fed = spark.createDataFrame([(1, 0, 0, 100), (1, 1, 50, 120), (1, 2, 10, 90), (1, 3, 200, 210)], "track_id long, seq long, start_ms long, end_ms long")
     assert sorted(tuple(r) for r in fd.new_samples(fed).collect()) == [(1, 0, 0, 100), (1, 1, 100, 120), (1, 3, 200, 210)]
+
+
+def test_new_ids_changes_events_and_rows(spark, tmp_path):
+    from tempora.operators import journal as jr
+
+    kind = "track_id long, id long, at timestamp, source string, start_ms long, end_ms long"
+    stamp = lambda s: __import__("datetime").datetime(2024, 1, 1, 0, 0, s)
+    rows = [(1, 1, stamp(0), "a", 0, 1), (1, 1, stamp(1), "a", 0, 1), (1, 2, stamp(2), "b", 1, 2), (2, 1, stamp(2), "c", 0, 1)]
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+    q = fd.stream_new_ids(stream, "10 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r.track_id, r.id) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 1), (1, 2), (2, 1)]
+
+    seen, memory = [], [spark.createDataFrame([], kind)]
+    step = fd.on_changes(lambda df: seen.append(sorted({r.track_id for r in df.collect()})), lambda: memory[-1], memory.append)
+    now = spark.createDataFrame(rows, kind)
+    for k, df in enumerate([now, now, now.withColumn("source", F.when(F.col("track_id") == 2, "x").otherwise(F.col("source")))]):
+        step(df, k)
+    assert seen == [[1, 2], [], [2]]
+
+    events = spark.createDataFrame([("words",), ("closed",), ("error",), ("hello",), (None,)], "kind string")
+    assert [r.route for r in fd.session_events(events).collect()] == ["words", "end", "fatal", "other", "other"]
+    kind = "track_id long, id long, number long, value string"
+    old = spark.createDataFrame([(1, 1, 7, "a"), (1, 2, 9, "b")], kind)
+    new = spark.createDataFrame([(1, 2, None, "c"), (1, 3, None, "d"), (1, 3, None, "e"), (2, 1, None, "f")], kind)
+    assert {(r.id, r.value) for r in jr.add_rows(old, new.where("track_id = 1 AND id = 2"), ["track_id", "id"]).collect()} == {(1, "a"), (2, "b")}
+    assert sorted((r.track_id, r.id, r.number, r.value) for r in jr.add_rows(old, new, ["track_id", "id"], "number", ["value"]).collect()) == [(1, 1, 7, "a"), (1, 2, 10, "c"), (1, 3, 11, "e"), (2, 1, 1, "f")]
+    gone = jr.discard_provisional(spark.createDataFrame([(1, "t", True)], "id long, translated string, stable boolean")).first()
+    assert (gone.translated, gone.stable) == (None, False)
+
+
+def test_payloads_of_words(spark):
+    from tempora.sources.records import word_payloads
+
+    words = spark.createDataFrame([(1, 0, 1234, "0", 'a"'), (1, 1, 2000, None, "b ")], "track_id long, ordinal long, start_ms long, speaker string, text string")
+    batches = spark.createDataFrame([(1, 0, 0, 1)], "track_id long, batch_no int, first long, last long")
+    import json
+
+    assert json.loads(word_payloads(batches, words).first().payload) == [{"i": 0, "t": 1.234, "s": "0", "w": 'a"'}, {"i": 1, "t": 2.0, "w": "b "}]

@@ -147,6 +147,14 @@ def test_chunk_timeline_stream_equals_the_table_form(spark, tmp_path):
     assert got == sorted(tuple(r) for r in wd.overlap_merge(df.limit(0), df).collect())
 
 
+def test_merged_timeline_numbers_by_arrival(spark):
+    kind = "track_id long, id long, ordinal long, start_ms long, end_ms long, source string"
+    old = spark.createDataFrame([(1, 5, 0, 0, 9, "a"), (1, 6, 1, 9_000, 9_500, "b")], kind)
+    new = spark.createDataFrame([(1, 0, 0, 2_000, 2_100, "A "), (1, 0, 1, 4_000, 4_100, "c"), (1, 0, 2, 1_000, 1_100, "d"), (2, 0, 0, 0, 1, "a")], kind)
+    got = sorted((r.track_id, r.start_ms, r.id, r.source) for r in wd.merged_timeline(old, new).collect())
+    assert got == [(1, 0, "5", "a"), (1, 1_000, "4", "d"), (1, 4_000, "3", "c"), (1, 9_000, "6", "b"), (2, 0, "1", "a")]
+
+
 def test_settled_and_ready_batches_are_given_once(spark):
     rows = talk(120, 5)
     words = spark.createDataFrame(rows, WORD)
