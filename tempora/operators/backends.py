@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import word_range_id
 from ..sources.records import cue_payloads, json_object, reply_items, word_payloads
+from ..sources.sinks import cut, shared_folder
 from .alignment import align
 from .intervals import extend_cue_ends, long_silence_starts, merge_intervals, normalize_timeline, onset_starts
 from .journal import apply_replies, missing_batches, voiced_spans, word_reply_problems
@@ -25,8 +28,11 @@ def retry_delay(attempt: int, delay: float, most: float = 8.0) -> float:
     return min(delay * 2 ** (attempt - 1), max(most, delay))
 
 
-def translate_batches(payloads: DataFrame, translate: Callable[[str, str | None], str], attempts: int = 3, delay: float = 0.0) -> DataFrame:
-    """One row an attempt, of (track_id, batch_no, payload): ``translate`` gets the payload and the error of the attempt before."""
+def translate_batches(payloads: DataFrame, translate: Callable[[str, str | None], str], attempts: int = 3, delay: float = 0.0, timeout_s: float | None = None) -> DataFrame:
+    """One row an attempt, of (track_id, batch_no, payload): ``translate`` gets the payload and the error of the attempt before.
+
+    An attempt that takes longer than ``timeout_s`` has failed. As many batches run at a time as there are tasks.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -34,13 +40,16 @@ def translate_batches(payloads: DataFrame, translate: Callable[[str, str | None]
             for track, number, payload in zip(batch["track_id"], batch["batch_no"], batch["payload"], strict=True):
                 error = None
                 for attempt in range(1, attempts + 1):
+                    asked = ThreadPoolExecutor(1)
                     try:
-                        out.append((track, number, attempt, "complete", translate(payload, error), None))
+                        out.append((track, number, attempt, "complete", asked.submit(translate, payload, error).result(timeout_s), None))
                         break
                     except Exception as failure:  # any failure of a user's service is an attempt's outcome
-                        error = str(failure)
+                        error = str(failure) or type(failure).__name__
                         out.append((track, number, attempt, "failed", None, error))
-                        time.sleep(retry_delay(attempt, delay))
+                        time.sleep(retry_delay(attempt, delay) if attempt < attempts else 0)
+                    finally:
+                        asked.shutdown(wait=False, cancel_futures=True)
             yield pd.DataFrame(out, columns=["track_id", "batch_no", "attempt", "status", "text", "error"])
 
     return payloads.select("track_id", "batch_no", "payload").mapInPandas(work, ATTEMPT)
@@ -58,11 +67,12 @@ def translate_missing(
     """The cues with translations for those without one, asked for in batches; ids that a reply names beyond its track are ignored.
 
     Replies may correct sources unless ``source_edits`` is false, as after alignment. Cues in ``done`` (track_id, id) are under way elsewhere
-    and not asked for. With ``folder`` the attempts are a table there.
+    and not asked for. The attempts are a table in ``folder``, else in the shared folder, before their replies are used.
     """
+    folder = folder or f"{shared_folder(cues.sparkSession)}/attempts-{uuid.uuid4().hex}"
     open_ = cues if done is None else cues.join(done.select("track_id", "id"), ["track_id", "id"], "left_anti")
     payloads = cue_payloads(missing_batches(open_, size), cues)
-    tries = translate_batches(payloads, translate, attempts, delay) if folder is None else settled_attempts(payloads, translate, folder, attempts, delay)
+    tries = settled_attempts(payloads, translate, folder, attempts, delay)
     items = reply_items(tries.where("status = 'complete'").select("track_id", "batch_no", "text"))
     missing = open_.where("coalesce(translated, '') = ''").select("track_id", F.col("id").cast("string").alias("id"))
     last = F.max_by(F.struct("source", "translated"), "batch_no").alias("r")
@@ -98,6 +108,7 @@ def segment_and_translate(words: DataFrame, segment: Callable[[str, str | None],
     Every word that the ``known`` cues don't cover is sent to the service in batches. Joints between batches whose cues look torn
     are cut anew over the words of both cues, whose places the new ones take. The cues are numbered in the order of time.
     """
+    words = cut(words, "words")
     spark, shape = words.sparkSession, "track_id long, id string, first long, last long, start_ms long, end_ms long, speaker string, source string, translated string"
     known = spark.createDataFrame([], shape) if known is None else known.select(*[c.split()[0] for c in shape.split(", ")])
     missing_word_batches(words, known, target).write.mode("overwrite").parquet(f"{folder}/wanted")
@@ -146,8 +157,10 @@ def transcribe_audio(recordings: DataFrame, transcribe: Callable[[bytes], str],
 def align_timeline(cues: DataFrame, spans: DataFrame, levels: DataFrame | None, duration_ms: int, backend: str = "vad", tokens: DataFrame | None = None, attempts: DataFrame | None = None, tol_ms: int = 40) -> DataFrame:
     """Cues aligned to speech: silences cut, starts and ends on spans or a forced aligner's words, starts on sound where levels are given,
     ends extended, renumbered. Tracks without spans take those of their levels."""
-    merged = merge_intervals(spans, tol_ms)
+    merged = cut(merge_intervals(spans, tol_ms), "spans")
     voiced = None if levels is None else voiced_spans(levels)
-    aligned = align(long_silence_starts(cues, merged), backend, duration_ms, merged, attempts, tokens, voiced)
-    started = aligned if levels is None else onset_starts(aligned, levels)
-    return normalize_timeline(extend_cue_ends(started, duration_ms), duration_ms)
+    # every step reads its input several times, so each is a table
+    cues = cut(cues, "cues")
+    aligned = cut(align(cut(long_silence_starts(cues, merged), "silences"), backend, duration_ms, merged, attempts, tokens, voiced), "aligned")
+    started = aligned if levels is None else cut(onset_starts(aligned, levels), "onsets")
+    return normalize_timeline(cut(extend_cue_ends(started, duration_ms), "ends"), duration_ms)

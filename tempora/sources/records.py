@@ -19,6 +19,9 @@ ACTION = (
     "type string, message string, error string, item struct<type:string,id:string,text:string,command:string,aggregated_output:string,output:string,exit_code:string,"
     "server:string,tool:string,name:string,arguments:string,input:string,result:string,error:string,query:string,changes:string>"
 )
+# Titles of trace events.
+AGENT_ERROR, AGENT_FAILED, THINKING, TOOL_RESULT, APPLY_CHANGES = "Agent error", "Agent operation failed", "Thinking…", "Tool result", "Apply file changes"
+RUN, CALL, SEARCH = "Run ", "Call ", "Search web: "
 BLOCK = "content array<struct<type:string,id:string,text:string,name:string,input:string,tool_use_id:string,content:string>>"
 
 
@@ -160,22 +163,22 @@ def item_trace_events(lines: DataFrame) -> DataFrame:
     started, done = phase == "started", phase == "completed"
     failed = kind.isin("turn.failed", "item.failed")
     said = F.trim("d.item.text")
-    command = F.concat(F.lit("Run "), _filled(F.col("d.item.command"), F.lit("command")))
-    title = F.concat(F.lit("Call "), F.concat_ws(".", _filled(F.trim("d.item.server")), _filled(F.col("d.item.tool"), F.col("d.item.name"), F.lit("tool"))))
+    command = F.concat(F.lit(RUN), _filled(F.col("d.item.command"), F.lit("command")))
+    title = F.concat(F.lit(CALL), F.concat_ws(".", _filled(F.trim("d.item.server")), _filled(F.col("d.item.tool"), F.col("d.item.name"), F.lit("tool"))))
     row = lambda kind, message, detail=None: F.struct(kind.alias("kind"), message.alias("message"), F.col("d.item.id").alias("event_id"), (F.lit(None).cast("string") if detail is None else detail).alias("detail"))
     step = F.when(started, "tool_start").otherwise("tool_result")
     f = lambda *names: _filled(*[F.col(f"d.item.{n}") for n in names])
     act = started | done
     event = (
-        F.when(kind == "error", row(F.lit("error"), F.coalesce("d.message", F.lit("Agent error"))))
-        .when(failed, row(F.lit("error"), _filled(F.col("d.error"), F.col("d.message"), F.lit("Agent operation failed"))))
+        F.when(kind == "error", row(F.lit("error"), F.coalesce("d.message", F.lit(AGENT_ERROR))))
+        .when(failed, row(F.lit("error"), _filled(F.col("d.error"), F.col("d.message"), F.lit(AGENT_FAILED))))
         .when((item == "agent_message") & done & (said != "") & ~structured_message(said), row(F.lit("agent_message"), said))
-        .when((item == "reasoning") & started, row(F.lit("thinking"), F.lit("Thinking…")))
+        .when((item == "reasoning") & started, row(F.lit("thinking"), F.lit(THINKING)))
         .when((item == "command_execution") & started, row(step, command))
         .when((item == "command_execution") & done, row(step, F.concat_ws(" · exit ", command, "d.item.exit_code"), f("aggregated_output", "output")))
         .when(item.isin("mcp_tool_call", "tool_call") & act, row(step, title, F.when(started, f("arguments", "input")).otherwise(f("result", "output", "error"))))
-        .when((item == "web_search") & act, row(step, F.concat(F.lit("Search web: "), F.coalesce(f("query"), F.lit("web search")))))
-        .when((item == "file_change") & act, row(step, F.lit("Apply file changes"), f("changes")))
+        .when((item == "web_search") & act, row(step, F.concat(F.lit(SEARCH), F.coalesce(f("query"), F.lit("web search")))))
+        .when((item == "file_change") & act, row(step, F.lit(APPLY_CHANGES), f("changes")))
     )
     return d.select(*[c for c in lines.columns if c != "line"], event.alias("e")).where("e IS NOT NULL").select(*[c for c in lines.columns if c != "line"], "e.*")
 
@@ -192,8 +195,8 @@ def message_trace_events(lines: DataFrame) -> DataFrame:
     by, kind = F.col("by"), F.col("b.type")
     event = (
         F.when((by == "assistant") & (kind == "text") & (said != "") & ~structured_message(said), row("agent_message", said, F.col("b.id"), F.lit(None).cast("string")))
-        .when((by == "assistant") & kind.isin("tool_use", "server_tool_use"), row("tool_start", F.concat(F.lit("Call "), _filled(F.col("b.name"), F.lit("tool"))), F.col("b.id"), _filled(F.col("b.input"))))
-        .when((by == "user") & (kind == "tool_result"), row("tool_result", F.lit("Tool result"), _filled(F.col("b.tool_use_id"), F.col("b.id")), _filled(F.col("b.content"))))
+        .when((by == "assistant") & kind.isin("tool_use", "server_tool_use"), row("tool_start", F.concat(F.lit(CALL), _filled(F.col("b.name"), F.lit("tool"))), F.col("b.id"), _filled(F.col("b.input"))))
+        .when((by == "user") & (kind == "tool_result"), row("tool_result", F.lit(TOOL_RESULT), _filled(F.col("b.tool_use_id"), F.col("b.id")), _filled(F.col("b.content"))))
     )
     return error.unionByName(each.select(*keys, "block", event.alias("e")).where("e IS NOT NULL").select(*keys, "block", "e.*"))
 

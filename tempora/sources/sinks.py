@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,16 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: what is built on it several times computes it once. It goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def append_log(lines: DataFrame, path: str) -> None:
     """Append process lines (track_id, process, stream, line); white space at their ends goes."""
     lines.select("track_id", "process", "stream", F.regexp_replace("line", r"(?U)\s+$", "").alias("line"), F.current_timestamp().alias("at")).write.mode("append").parquet(path)

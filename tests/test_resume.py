@@ -104,6 +104,15 @@ def test_service_is_asked_once_and_done_cues_are_left_out(spark, tmp_path):
     assert [(r.n, r.ids) for r in rs.leftover_failures(out).collect()] == [(1, [44])]
 
 
+def test_slow_attempts_have_failed(spark):
+    import time
+
+    payloads = spark.createDataFrame([(1, 0, "x")], "track_id long, batch_no long, payload string")
+    slow = lambda payload, error: time.sleep(0 if error else 5) or "ok"
+    got = [(r.attempt, r.status, r.text) for r in bk.translate_batches(payloads, slow, timeout_s=0.2).collect()]
+    assert got == [(1, "failed", None), (2, "complete", "ok")]
+
+
 def test_transcriber_backend(spark):
     rows = spark.createDataFrame([(1, bytearray(b"ok"), 5), (2, bytearray(b""), 6)], "track_id long, content binary, at long")
     got = bk.transcribe_audio(rows, lambda content: json.dumps({"transcription": [{"text": content.decode("ascii")}]}) if content else 1 / 0, offset="at").orderBy("track_id").collect()
