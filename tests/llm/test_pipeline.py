@@ -70,3 +70,26 @@ def test_many_near_copies_against_brute_force(spark):
         rows.append((i, " ".join(w[: 90 - rnd.randint(0, 20)])))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in ngram_join.link_groups(df).collect()} == brute_groups(rows)
+
+
+def test_stages_take_nulls_repeats_and_empty_tables(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    item = table(spark, sf_dir, "benchmark").first().text
+    kind = docs.schema.simpleString()[len("struct<") : -1].replace(":", " ")
+    prose = [r.text for r in docs.where("lang = 'en'").orderBy("doc_id").limit(3).collect()]
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0), (2, prose[0], None, None, None), (2, prose[0], None, None, None), (None, prose[1], "xx", "b", 5), (3, f"{prose[2]}\n{item}", "en", "c", 1), (4, "w " * 30_000, "en", "c", 1)], kind)
+    for extra in (docs.limit(0), docs):
+        rows = p.identify_languages(spark, odd.unionByName(extra), sf_dir)
+        assert rows.columns == docs.columns
+    kept = p.identify_languages(spark, odd.unionByName(docs), sf_dir).where("doc_id IS NULL OR doc_id < 5 AND source IN ('a', 'b', 'c')").collect()
+    assert all(r.text for r in kept)
+    two = p.dedup_lines(spark, odd, sf_dir)
+    assert sorted((str(r.doc_id), r.text is None) for r in two.collect()) == sorted((str(r.doc_id), r.text is None) for r in odd.collect())
+    three = p.drop_near_copies(spark, odd, sf_dir)
+    assert three.columns == docs.columns and three.where("doc_id IS NULL").count() == 2 and three.where("doc_id = 2").count() == 2
+    four = p.drop_contaminated(spark, odd, sf_dir)
+    assert four.columns == docs.columns and sorted(str(r.doc_id) for r in four.collect()) == ["1", "2", "2", "4", "None", "None"]
+    five = p.encode_pieces(spark, odd, sf_dir).collect()
+    assert len(five) == 7 and [r.n_tokens for r in five if r.ids is None] in ([None], [-1]) and [r.n_tokens for r in five if r.doc_id == 1] == [0]
+    for f in (p.dedup_lines, p.drop_near_copies, p.drop_contaminated, p.encode_pieces, p.identify_languages):
+        assert f(spark, docs.limit(0), sf_dir).count() == 0
