@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat_format, decontaminate, language_id, license_scan, line_dedup, ngram_join, pii, piece_codec, url_filter
+from . import ann, chat_format, decontaminate, language_id, license_scan, line_dedup, ngram_join, pii, piece_codec, spelling, url_filter
 
 
 def queries():
@@ -17,8 +17,12 @@ def queries():
         "op8_ngram_jaccard_join": ngram_join.query,
         "op9_chat_formatting": chat_format.query,
         "op10_language_id": language_id.query,
+        "op11_spelling_variants": spelling.query,
     }
 
 
 def oracle_sql():
-    return {"op1_license_scans": license_scan.SQL, "op8_ngram_jaccard_join": ngram_join.SQL, "op6_url_filters": url_filter.SQL, "op9_chat_formatting": chat_format.SQL}
+    return {
+        "op1_license_scans": license_scan.SQL, "op8_ngram_jaccard_join": ngram_join.SQL, "op6_url_filters": url_filter.SQL, "op9_chat_formatting": chat_format.SQL,
+        "op11_spelling_variants": spelling.SQL,
+    }
