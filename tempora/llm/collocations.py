@@ -42,7 +42,7 @@ PIECE_END = re.compile(rb"[.,;:!?\x0A-\x0D]")
 _KIND = np.zeros(256, np.uint8)  # 1: ends words, 2: ends pieces
 _KIND[[0x20, 0x09]] = 1
 _KIND[list(b".,;:!?\x0a\x0b\x0c\x0d")] = 2
-BLOCK, IDS, DEPTH = 2_000_000, 21, 3
+BLOCK, IDS, DEPTH = 1_000_000, 21, 3
 
 
 def blocks_of(texts: list[str | None], langs: list[str]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
