@@ -6,9 +6,10 @@ the grams inside the shortest run with at least ``run_words`` words or ``run_lin
 window the gram with the smallest hash is a fingerprint (the last of equals).  So every repeated run as long as
 a window has a fingerprint in common with its earlier copy, and nothing shorter than a gram is found.
 
-All places of a fingerprint are joined with its first place only, never with each other.  The matches of two rows at one
-shift are extended together, both ways while the lines stay equal, and the later of the two runs is deleted with the
-blank lines inside it.  The first place need not be the copy that agrees for longest, so every window is keyed whole as
+All places of a fingerprint are joined with its first place only, never with each other.  Each match is extended both ways
+while the lines stay equal, and the later of the two runs is deleted with the blank lines inside it.  The lines of two rows
+meet once for all their matches; hashes of every 2**k lines in a row make an extension of n lines take log n steps, so a text that
+repeats itself in any period costs no more than another.  The first place need not be the copy that agrees for longest, so every window is keyed whole as
 well and deleted if its first place is earlier: a repeated run as long as a window goes whole, whichever document
 holds its earlier copy.  "Earlier" is by (id, hash of the text, line), null ids first.  A line is deleted only
 because the same line stands earlier, so the first copy of any line in the corpus always stays.
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import packed, stored, table
 
+LEVELS = 17
+
 
 def numbered_lines(text: Column) -> Column:
     """Structs (pos, h, w) of the lines that are not blank: place, hash, words."""
@@ -72,7 +75,38 @@ def fingerprints(gram_words: int, gram_lines: int, run_words: int, run_lines: in
         return F.when(g.to.isNotNull(), F.struct(F.xxhash64(own).alias("window"), F.hash(own).alias("check"), F.get(lines, i).pos.alias("from"), F.get(lines, g.to).pos.alias("to")))
 
     every = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(every, gram), F.filter(F.array_distinct(F.transform(every, least_of)), lambda x: x.isNotNull()), F.filter(F.transform(grams, window), lambda x: x.isNotNull())
+    # the places of the least grams never go back from one window to the next, so equal ones are neighbours
+    least = F.transform(every, lambda i: F.struct(least_of(i).alias("now"), F.when(i > 0, least_of(i - 1)).alias("before")))
+    picked = F.transform(F.filter(least, lambda x: x.now.isNotNull() & (x.before.isNull() | (x.now.back != x.before.back))), lambda x: x.now)
+    return F.transform(every, gram), picked, F.filter(F.transform(grams, window), lambda x: x.isNotNull())
+
+
+def powers_of(hashes: Column | str) -> Column:
+    """For each k the hashes of every 2**k lines in a row, by their first line, up to LEVELS - 1."""
+    kind = "array<array<bigint>>"
+
+    def longer(levels: Column, k: Column) -> Column:
+        half, last = F.pow(F.lit(2.0), k - 1).cast("int"), F.get(levels, k - 1)
+        starts = F.when(F.size(last) > half, F.sequence(F.lit(0), F.size(last) - 1 - half)).otherwise(F.array().cast("array<int>"))
+        return F.concat(levels, F.array(F.transform(starts, lambda i: F.xxhash64(F.get(last, i), F.get(last, i + half))))).cast(kind)
+
+    first = F.col(hashes) if isinstance(hashes, str) else hashes
+    return F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS - 1)), F.array(first).cast(kind), longer)
+
+
+def equal_around(own: Column, theirs: Column, at: Column, there: Column) -> Column:
+    """The lines [a, z] around ``at`` that equal those around ``there``, from the hashes of ``powers_of``: steps of 2**k, the longest first."""
+    top = (F.size(F.get(own, F.lit(0))) / (1 << (LEVELS - 1))).cast("int") + 1
+    steps = F.concat(F.array_repeat(F.lit(LEVELS - 1), top), F.sequence(F.lit(LEVELS - 2), F.lit(0), F.lit(-1)))
+
+    def ahead(n: Column, k: Column) -> Column:
+        return F.when(F.get(F.get(own, k), at + n) == F.get(F.get(theirs, k), there + n), n + F.pow(F.lit(2.0), k).cast("int")).otherwise(n)
+
+    def back(n: Column, k: Column) -> Column:
+        more = n + F.pow(F.lit(2.0), k).cast("int")
+        return F.when(F.get(F.get(own, k), at - more) == F.get(F.get(theirs, k), there - more), more).otherwise(n)
+
+    return F.struct((at - F.aggregate(steps, F.lit(0), back)).alias("a"), (at + F.aggregate(steps, F.lit(0), ahead) - 1).alias("z"))
 
 
 def row_key(id: Column, text: Column) -> Column:
@@ -87,24 +121,33 @@ def repeated_runs(docs: DataFrame, id: str, text: str, gram_words: int, gram_lin
     picked = base.withColumn("grams", grams).withColumn("picked", least).withColumn("windows", windows)
     lined = stored(picked.select("row", F.transform("lines", lambda x: x.h).alias("hashes"), F.transform("lines", lambda x: x.pos).alias("places"), "picked", "windows"), "lines")
 
-    place = lined.select("row", F.inline("picked")).select("gram", F.struct("row", (-F.col("back")).alias("at")).alias("place"))
+    place = lined.select("row", F.size("hashes").alias("n"), F.inline("picked")).select("gram", F.struct("row", (-F.col("back")).alias("at"), "n").alias("place"))
     first = place.groupBy("gram").agg(F.min("place").alias("first"), F.max("place").alias("final")).where("first <> final").select("gram", "first")
     hits = place.join(first, "gram").where("place <> first")
-    # the hits that two rows have at one shift are extended together, in one pass over the lines laid over each other
-    shift = (F.col("place.at") - F.col("first.at")).alias("shift")
-    pairs = hits.groupBy(F.col("place.row").alias("row"), F.col("first.row").alias("first_row"), shift).agg(F.collect_set("place.at").alias("ats"))
-    a, b, shift = F.col("hashes"), F.col("first_hashes"), F.col("shift")
-    low, high = F.greatest(shift, F.lit(0)), F.least(F.size(a), F.size(b) + shift)
+    # all hits of two rows are extended together, and only the lines that a hit can reach meet: from "low" to "high" in either row
+    pairs = hits.groupBy(F.col("place.row").alias("row"), F.col("first.row").alias("first_row"), F.col("place.n").alias("n"), F.col("first.n").alias("first_n")).agg(
+        F.collect_list(F.struct(F.col("place.at").alias("at"), F.col("first.at").alias("from"))).alias("hits")
+    )
+    shifts = F.transform("hits", lambda x: x["at"] - x["from"])
+    least, most, zero = F.array_min(shifts), F.array_max(shifts), F.lit(0)
+    pairs = pairs.select(
+        "row", "first_row", "hits", F.greatest(least, zero).alias("low"), F.least(most + F.col("first_n"), "n").alias("high"),
+        F.greatest(-most, zero).alias("first_low"), F.least(F.col("n") - least, "first_n").alias("first_high"),
+    )
     # rows that are there several times are one; stored, so that both sides of the joins are shuffles of their own and a first row that very many
     # rows meet can be split
     met = pairs.select(F.explode(F.array("row", "first_row")).alias("row")).distinct()
     once = stored(lined.select("row", "hashes", "places").join(met, "row", "left_semi").groupBy("row").agg(F.first("hashes").alias("hashes"), F.first("places").alias("places")), "matched")
-    sides = pairs.join(once, "row").join(once.select(F.col("row").alias("first_row"), F.col("hashes").alias("first_hashes")), "first_row")
-    breaks = F.filter(F.sequence(low, high - 1), lambda p: F.get(a, p) != F.get(b, p - shift))
-    edges = sides.select("row", "places", "ats", F.concat(F.array(low - 1), breaks, F.array(high)).alias("edges"))
-    runs = F.transform(F.sequence(F.lit(0), F.size("edges") - 2), lambda i: F.struct((F.get("edges", i) + 1).alias("a"), (F.get("edges", i + 1) - 1).alias("z")))
-    matched = edges.select("row", "places", F.inline(F.filter(runs, lambda r: F.exists("ats", lambda at: at.between(r.a, r.z)))))
-    extended = matched.select("row", F.get("places", F.col("a")).alias("first"), F.get("places", F.col("z")).alias("last"))
+    reach = lambda c, low, high: F.slice(c, F.col(low) + 1, F.col(high) - F.col(low)).alias(c)
+    own = pairs.join(once, "row").select("row", "first_row", "hits", "low", "first_low", "first_high", reach("hashes", "low", "high"), reach("places", "low", "high"))
+    theirs = once.select(F.col("row").alias("first_row"), F.col("hashes").alias("first_hashes"))
+    sides = own.join(theirs, "first_row").select("row", "places", "hits", "low", "first_low", powers_of("hashes").alias("own"), powers_of(F.slice("first_hashes", F.col("first_low") + 1, F.col("first_high") - F.col("first_low"))).alias("theirs"))
+    # a span as one number, as equal structs are found by comparing each with each
+    spans = F.transform("hits", lambda x: equal_around(F.col("own"), F.col("theirs"), x["at"] - F.col("low"), x["from"] - F.col("first_low")))
+    coded = F.transform(F.filter(spans, lambda x: x["z"] >= x["a"]), lambda x: F.shiftleft(x["a"].cast("bigint"), 32) + x["z"])
+    matched = sides.select("row", "places", F.explode(F.array_distinct(coded)).alias("span"))
+    first, last = F.shiftright("span", 32).cast("int"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    extended = matched.select("row", F.get("places", first).alias("first"), F.get("places", last).alias("last"))
 
     # whole windows, each joined with its first place only; the second hash is compared where the first one is equal
     window = lined.select("row", F.inline("windows")).select("window", "to", F.struct("row", "from", "check").alias("place"))
