@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import special_token, token_ms
+from ..sources.sinks import cut
 from .intervals import align_to_speech, crosstalk_ids, extend_cue_ends, normalize_timeline, range_join
 
 KEY = ["track_id", "id"]
@@ -45,7 +46,7 @@ def touched(ranges: DataFrame, voiced: DataFrame, tol_ms: int = 40, width_ms: in
     return hits.select(*key.columns).distinct()
 
 
-def token_starts(cues: DataFrame, spans: DataFrame, tokens: DataFrame, voiced: DataFrame | None = None, overlap_ms: int = 100, silence_ms: int = 100, long_ms: int = 320, tol_ms: int = 40, width_ms: int = 20_000) -> DataFrame:
+def token_starts(cues: DataFrame, spans: DataFrame, tokens: DataFrame, voiced: DataFrame | None = None, overlap_ms: int = 100, silence_ms: int = 100, long_ms: int = 320, tol_ms: int = 40, width_ms: int = 2_000) -> DataFrame:
     """(track_id, id, token_ms): the end of the last long silence that the first token of a cue lies across.
 
     ``tokens`` is the result of ``leading_tokens``, ``spans`` are merged. A first token of one character makes any silence long. Where the first
@@ -59,7 +60,8 @@ def token_starts(cues: DataFrame, spans: DataFrame, tokens: DataFrame, voiced: D
     previous = F.lag("end_ms").over(Window.partitionBy("track_id").orderBy("ordinal"))
     first, second = F.get("ranges", F.lit(0)), F.get("ranges", F.lit(1))
     keyed = cues.select(*KEY, F.col("end_ms").alias("cue_end"), previous.alias("previous_ms")).join(tokens.where(F.size("ranges") > 0), KEY)
-    keyed = keyed.select(*KEY, "cue_end", "previous_ms", F.when(F.length(F.trim("text")) == 1, 0).otherwise(long_ms).alias("least_ms"), first.start_ms.alias("a"), first.end_ms.alias("b"), second.start_ms.alias("c"), second.end_ms.alias("d"))
+    # a table, so that the tokens' JSON is read once for all uses of their times
+    keyed = cut(keyed.select(*KEY, "cue_end", "previous_ms", F.when(F.length(F.trim("text")) == 1, 0).otherwise(long_ms).alias("least_ms"), first.start_ms.alias("a"), first.end_ms.alias("b"), second.start_ms.alias("c"), second.end_ms.alias("d")), "token-times")
     quiet, ends = F.col("quiet_ms"), F.col("quiet_ms") + silence_ms
     wide = (F.col("speech_ms") - F.col("right_ms") >= F.col("least_ms")) & (F.col("speech_ms") <= F.col("cue_end")) & (F.col("previous_ms").isNull() | (F.col("speech_ms") >= F.col("previous_ms") + tol_ms))
     across = (F.col("a") <= quiet) & (F.col("b") >= ends)

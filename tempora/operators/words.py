@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -93,28 +94,34 @@ def segment_words(words: DataFrame, max_ms: int = 8_000, max_weight: int = 84, s
     own = Window.partitionBy("track_id", "speaker").orderBy("ordinal")
     breaks = F.lag(ends_sentence(F.col("text"))).over(own) | (F.col("start_ms") - F.lag("end_ms").over(own) >= silence_ms)
     blank = lambda pattern: text_weight(F.regexp_extract("text", pattern, 1))
-    rows = words.withColumn("hard", F.coalesce(breaks, F.lit(False)).cast("int")).withColumn("weight", text_weight(F.col("text"))).withColumn("lead", blank(r"(?U)^(\s*)")).withColumn("tail", blank(r"(?U)(\s*)$"))
+    # one shuffle serves the windows and the fold
+    rows = words.select("track_id", "speaker", "ordinal", "start_ms", "end_ms", "text").repartition("track_id", "speaker")
+    rows = rows.withColumn("hard", F.coalesce(breaks, F.lit(False)).cast("int")).withColumn("weight", text_weight(F.col("text"))).withColumn("lead", blank(r"(?U)^(\s*)")).withColumn("tail", blank(r"(?U)(\s*)$"))
     rows = rows.withColumn("stretch", F.sum("hard").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = ["track_id", "speaker", "ordinal", "start_ms", "end_ms", "text", "stretch"]
 
-    def cut(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ordinal")
-        cue, out = -1, []
-        for s, e, w, lead, tail in zip(g["start_ms"], g["end_ms"], g["weight"], g["lead"], g["tail"], strict=True):
-            if cue >= 0:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Over sorted rows; only the cue at hand is held."""
+        at, cue, start, full, before, after = None, -1, 0, 0, 0, 0
+        for b in batches:
+            out = []
+            keys = zip(b["track_id"], b["speaker"], b["stretch"], strict=True)
+            for key, s, e, w, lead, tail in zip(keys, b["start_ms"], b["end_ms"], b["weight"], b["lead"], b["tail"], strict=True):
+                if key != at:
+                    at, cue = key, -1
                 # the width of all texts so far and this one, without blanks at either end
-                wide = full + w - (before if before < full else full + lead) - (tail if tail < w else after + w)  # noqa: F821
-                wide, span = max(0, wide), e - start  # noqa: F821
-            if cue < 0 or (span > max_ms and 2 * wide >= max_weight) or (wide > max_weight and 2 * span >= max_ms):
-                cue, start, full, before, after = cue + 1, s, w, lead, tail
-            else:
-                before = before if before < full else full + lead
-                after = tail if tail < w else after + w
-                full += w
-            out.append(cue)
-        return pd.DataFrame({"track_id": g["track_id"], "ordinal": g["ordinal"], "cue": out})
-
-    soft = rows.select("track_id", "speaker", "stretch", "ordinal", "start_ms", "end_ms", "weight", "lead", "tail").groupBy("track_id", "speaker", "stretch").applyInPandas(cut, "track_id long, ordinal long, cue int")
-    joined = rows.join(soft, ["track_id", "ordinal"])
+                wide = max(0, full + w - (before if before < full else full + lead) - (tail if tail < w else after + w))
+                span = e - start
+                if cue < 0 or (span > max_ms and 2 * wide >= max_weight) or (wide > max_weight and 2 * span >= max_ms):
+                    cue, start, full, before, after = cue + 1, s, w, lead, tail
+                else:
+                    before = before if before < full else full + lead
+                    after = tail if tail < w else after + w
+                    full += w
+                out.append(cue)
+            yield b[kept].assign(cue=out)
+
+    joined = rows.sortWithinPartitions("track_id", "speaker", "ordinal").mapInPandas(cut, "track_id long, speaker string, ordinal long, start_ms long, end_ms long, text string, stretch long, cue int")
     parts = F.array_sort(F.collect_list(F.struct("ordinal", "text")))
     cues = joined.groupBy("track_id", "speaker", "stretch", "cue").agg(
         F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), F.min_by("start_ms", "ordinal").alias("start_ms"), F.max("end_ms").alias("end_ms"),
@@ -260,25 +267,43 @@ def repair_squeezed_words(words: DataFrame, least_ms: int = 50, longest_ms: int
     squeezed = rows.where("short").withColumn("any", F.max("changes").over(whole)).where("any")
     rated = squeezed.join(rates, (F.col("track_id") == F.col("r_track")) & F.col("speaker").eqNullSafe(F.col("r_speaker"))).select("track_id", "speaker", "run", "ordinal", "start_ms", "end_ms", "changes", "next_own", "pace", F.greatest(F.lit(1), text_weight(F.trim("text"))).alias("weight"))
 
-    def spread(g: pd.DataFrame) -> pd.DataFrame:
+    def spread(start: list, end: list, weight: list, pace: list, bounds: list, changes: list) -> None:
         """Each change takes the words behind the last one that is long enough by now; shares of the weight give the new times."""
-        g = g.sort_values("ordinal").reset_index(drop=True)
-        times = g[["start_ms", "end_ms"]].to_numpy(copy=True)
-        weight, bounds = g["weight"].to_numpy(), g["next_own"].to_numpy()
-        for i in g.index[g["changes"]]:
-            ordinary = (times[: i + 1, 1] - times[: i + 1, 0] >= least_ms).nonzero()[0]
-            run = slice(ordinary[-1] + 1 if len(ordinary) else 0, i + 1)
-            shares = weight[run].cumsum()
-            if not len(shares):
+        for i in (i for i, change in enumerate(changes) if change):
+            first = i + 1
+            while first and end[first - 1] - start[first - 1] < least_ms:
+                first -= 1
+            if first > i:
                 continue
-            begin = times[run][0, 0]
-            room = min([longest_ms, shares[-1] * g["pace"][i], *([bounds[i] - begin] if bounds[i] == bounds[i] else []), *([duration_ms - begin] if duration_ms is not None else [])])
-            if begin + room > max(begin, times[i, 1]):
-                edges = (begin + room * shares / shares[-1]).round()
-                times[run] = pd.DataFrame({"a": [begin, *edges[:-1]], "b": edges}).to_numpy()
-        return g[["track_id", "ordinal"]].assign(new_start=times[:, 0], new_end=times[:, 1])
-
-    new = rated.groupBy("track_id", "speaker", "run").applyInPandas(spread, "track_id long, ordinal long, new_start long, new_end long")
+            begin, total = start[first], sum(weight[first : i + 1])
+            room = min([longest_ms, total * pace[i], *([bounds[i] - begin] if bounds[i] == bounds[i] else []), *([duration_ms - begin] if duration_ms is not None else [])])
+            if begin + room > max(begin, end[i]):
+                done = 0
+                for j in range(first, i + 1):
+                    done += weight[j]
+                    start[j], end[j] = begin if j == first else end[j - 1], round(begin + room * done / total)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Over sorted rows, whole runs at a time; the last run of a batch waits for the next one."""
+        rest = None
+        for b in chain(batches, [None]):
+            g = rest if b is None else b if rest is None else pd.concat([rest, b], ignore_index=True)
+            if g is None:
+                return
+            keys = list(zip(g["track_id"], g["speaker"], g["run"], strict=True))
+            edges = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+            last = len(keys) if b is None else edges[-1] if edges else 0
+            rest = g.iloc[last:]
+            cells = [g[c].tolist() for c in ("start_ms", "end_ms", "weight", "pace", "next_own", "changes")]
+            for lo, hi in zip([0, *edges], [*edges, len(keys)], strict=True):
+                if hi <= last:
+                    run = [c[lo:hi] for c in cells]
+                    spread(*run)
+                    cells[0][lo:hi], cells[1][lo:hi] = run[0], run[1]
+            yield g[["track_id", "ordinal"]].assign(new_start=cells[0], new_end=cells[1]).iloc[:last]
+
+    order = ["track_id", "speaker", "run", "ordinal"]
+    new = rated.repartition("track_id", "speaker").sortWithinPartitions(*order).mapInPandas(fold, "track_id long, ordinal long, new_start long, new_end long")
     return words.select(*columns).join(new, ["track_id", "ordinal"], "left").withColumns({"start_ms": F.coalesce("new_start", "start_ms"), "end_ms": F.coalesce("new_end", "end_ms")}).select(*columns)
 
 
