@@ -43,6 +43,7 @@ from .common import chunks, give_back, lower_ascii, packed, stored, table
 from .url_filter import url_host
 
 CELLS, PSEUDO, TEMPER, STRENGTH, UNKNOWN = 1 << 18, 0.01, 60.0, 8.0, 0.001
+SPARE = 16  # rows above its share that a label may give, so that a small one is not missed by chance
 BLOCKS, SMALL_ROWS, SALTS = 16, 50_000, 64
 CHUNK_CHARS = 1_000_000
 OPENING, TAG = re.compile(r"(?i)<(script|style)\b"), re.compile(r"<[^>]*>")
@@ -105,13 +106,16 @@ class TextModel:
 
 
 def fit_text_model(labelled: DataFrame, text: str, label: str, sample: int = 4_000, languages: int = 256) -> TextModel:
-    """From about ``sample`` labelled rows, an even share for each of the ``languages`` most frequent labels of all rows."""
+    """From about ``sample`` different labelled rows, an even share and SPARE more for each of the ``languages`` most frequent labels of all rows.
+
+    The cut by hashes is set by the number of different texts of a label, so one with few texts keeps them all.
+    """
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").alias("label")).dropna().where("text <> '' AND label <> ''")
-    sizes = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(languages).collect()
+    sizes = rows.groupBy("label").agg(F.count("*").alias("count"), F.approx_count_distinct("text").alias("texts")).orderBy(F.desc("count"), "label").limit(languages).collect()
     if not sizes:
         return TextModel([], np.zeros((0, CELLS), np.float32))
-    known, share = F.array(*[F.lit(r.label) for r in sizes]), max(1, sample // len(sizes))
-    cuts = F.array(*[F.lit(min(1 << 32, (1 << 32) * share // r["count"] + 1)) for r in sizes])
+    known, share = F.array(*[F.lit(r.label) for r in sizes]), sample // len(sizes) + SPARE
+    cuts = F.array(*[F.lit(min(1 << 32, (1 << 32) * share // max(1, r["texts"]) + 1)) for r in sizes])
     number = F.array_position(known, F.col("label")).cast("int")
     drawn = rows.where(F.col("label").isin([r.label for r in sizes])).withColumn("label", number)
     drawn = drawn.where(F.pmod(F.xxhash64("text", "label"), F.lit(1 << 32)) < F.get(cuts, F.col("label") - 1)).distinct()

@@ -79,3 +79,10 @@ def test_hot_hosts_over_salted_priors(spark, monkeypatch):
 def test_pages_without_ends_take_one_sweep():
     assert lid.without_tags("a<script>x</script >b<style>y</STYLE>c<b>d</b>e<") .split() == ["a", "b", "c", "d", "e<"]
     assert len(lid.without_tags("<script " * 200_000)) == 1_600_000 and len(lid.without_tags("<" * 1_000_000)) == 1_000_000
+
+
+def test_labels_of_few_texts_stay(spark):
+    """The cut by hashes goes by different texts: labels of a few texts keep them, however many rows repeat them."""
+    rows = [(f"row {i} of a large label with its own words {i * 7919}", "en") for i in range(4000)] + [(f"text of label {k} {'xyz'[k % 3]}", f"l{k}") for k in range(10) for _ in range(2000)]
+    model = lid.fit_text_model(spark.createDataFrame(rows, "text string, label string"), "text", "label")
+    assert model.languages == ["en", *(f"l{k}" for k in range(10))]
