@@ -1,5 +1,6 @@
 import datetime
 import hashlib
+import os
 import re
 
 import pytest
@@ -238,6 +239,28 @@ def test_chat_round_trip(spark):
     assert chat_format.format_conversations(df.limit(0)).count() == 0
 
 
+FILES = {"Apache-2.0": "Apache-2.0", "Artistic-1.0-Perl": "Artistic", "BSD-3-Clause": "BSD", "CC0-1.0": "CC0-1.0", **{x: x for x in ("GFDL-1.2", "GFDL-1.3", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0")}, "GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.0": "LGPL-2"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="the system has no licence texts")
+def test_digests_are_those_of_public_texts(spark):
+    """Every digest against the text that the system's packages carry."""
+    there = {i: open(f"/usr/share/common-licenses/{f}", encoding="utf-8", errors="replace").read() for i, f in FILES.items() if os.path.isfile(f"/usr/share/common-licenses/{f}")}
+    got = {(r.license_id, r.digest, r["size"]) for r in license_scan.known_digests(spark.createDataFrame(list(there.items()), "license_id string, text string")).collect()}
+    assert got == {d for d in license_scan.DIGESTS if d[0] in there} and len(got) >= 10
+
+
+def test_whole_texts_with_other_owners_and_line_breaks(spark):
+    import textwrap
+
+    bsd3 = next(t for i, t in license_scan.KNOWN if i == "BSD-3-Clause")
+    bsd2, un, zlib = (next(t for i, t in license_scan.KNOWN if i == x) for x in ("BSD-2-Clause", "Unlicense", "Zlib"))
+    wrapped = lambda t: "\n\n".join(textwrap.fill(p, 70) for p in t.split("\n\n"))
+    rows = [(1, "Copyright (c) 2019, Jane Doe\nAll rights reserved.\n\n" + wrapped(bsd3)), (2, "BSD 2-Clause License\n\nCopyright 2020 A. Person\n\n" + wrapped(bsd2)), (3, wrapped(un).upper()), (4, wrapped(zlib)), (5, bsd3.replace("copyright holder nor", "owner nor"))]
+    hits = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.builtin_licenses(spark), license_scan.builtin_digests(spark))
+    assert {(r.doc_id, r.license_id) for r in hits.where("scope = 'text'").collect()} == {(1, "BSD-3-Clause"), (2, "BSD-2-Clause"), (3, "Unlicense"), (4, "Zlib")}
+
+
 @pytest.mark.parametrize("name", ["op1_license_scans", "op4_line_dedup", "op5_pii", "op6_url_filters", "op9_chat_formatting"])
 def test_no_python_in_plan(spark, sf_dir, name):
     from tempora.llm import registry
