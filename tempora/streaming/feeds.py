@@ -48,10 +48,10 @@ def _append(rows: pd.DataFrame, n: int, last_ms: int | None, recent: deque, with
     return out, n, last_ms
 
 
-def _keyed(words: DataFrame) -> DataFrame:
+def _keyed(words: DataFrame, *more: str) -> DataFrame:
     """Words with the key by which they are compared; a null text is empty."""
     text = F.coalesce("text", F.lit(""))
-    return words.select("track_id", "seq", "start_ms", text.alias("text"), word_key(text).alias("key"))
+    return words.select("track_id", "seq", "start_ms", text.alias("text"), word_key(text).alias("key"), *more)
 
 
 def append_only_words(words: DataFrame, within_ms: int = 600, window: int = 80) -> DataFrame:
@@ -73,18 +73,40 @@ def append_only_words(words: DataFrame, within_ms: int = 600, window: int = 80)
     return _keyed(words).repartition("track_id").sortWithinPartitions("track_id", "seq").mapInPandas(fold, WORD)
 
 
-def stream_append_only_words(words: DataFrame, within_ms: int = 600, window: int = 80) -> DataFrame:
-    """As ``append_only_words``, over a stream whose micro-batches come in the order of ``seq``. The state of a track is bounded by ``window``."""
+def _timed(rows: DataFrame, idle: str | None, delay: str) -> tuple[DataFrame, str]:
+    """Rows with ``at_ms``, null without ``idle``, behind a watermark on their time stamp ``at`` with it; and the kind of timeout of a state."""
+    if idle is None:
+        return rows.withColumn("at_ms", F.lit(None).cast("bigint")), GroupStateTimeout.NoTimeout
+    return rows.withWatermark("at", delay).withColumn("at_ms", F.unix_millis("at")), GroupStateTimeout.EventTimeTimeout
+
+
+def _until(state: GroupState, rows: pd.DataFrame, idle: str | None) -> None:
+    """Let the state end once the watermark is ``idle`` behind its last row."""
+    if idle is not None:
+        state.setTimeoutTimestamp(max(int(rows["at_ms"].max() + pd.Timedelta(idle).total_seconds() * 1000), state.getCurrentWatermarkMs() + 1))
+
+
+def stream_append_only_words(words: DataFrame, within_ms: int = 600, window: int = 80, idle: str | None = None, delay: str = "0 seconds") -> DataFrame:
+    """As ``append_only_words``, over a stream whose micro-batches come in the order of ``seq``. The state of a track is bounded by ``window``.
+
+    With ``idle``, rows have a time stamp ``at``, and the state of a track without rows for so long of event time goes: such a track has ended, and one that
+    begins anew counts from 0 again.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, last_ms, starts, texts = state.get if state.exists else (0, None, [], [])
         recent = deque(zip(starts, texts, strict=True), maxlen=window)
         rows = pd.concat(list(batches)).sort_values("seq")
         kept, n, last_ms = _append(rows, n, last_ms, recent, within_ms)
         state.update((n, last_ms, [s for s, _ in recent], [t for _, t in recent]))
+        _until(state, rows, idle)
         yield pd.DataFrame(kept, columns=["ordinal", "start_ms", "text"]).assign(track_id=key[0])[["track_id", "ordinal", "start_ms", "text"]]
 
-    return _keyed(words).groupBy("track_id").applyInPandasWithState(step, WORD, STATE, "append", GroupStateTimeout.NoTimeout)
+    timed, timeout = _timed(words, idle, delay)
+    return _keyed(timed, "at_ms", *([] if idle is None else ["at"])).groupBy("track_id").applyInPandasWithState(step, WORD, STATE, "append", timeout)
 
 
 def new_samples(deliveries: DataFrame) -> DataFrame:
@@ -128,15 +150,19 @@ def on_changes(act: Callable[[DataFrame], None], known: Callable[[], DataFrame],
     return batch
 
 
-def stream_chunk_timeline(cues: DataFrame, within_ms: int = 2_500, horizon_ms: int = 60_000) -> DataFrame:
+def stream_chunk_timeline(cues: DataFrame, within_ms: int = 2_500, horizon_ms: int = 60_000, idle: str | None = None, delay: str = "0 seconds") -> DataFrame:
     """(track_id, ordinal, start_ms, end_ms, source) of a stream of chunks' cues that are new: no cue of the same text that came before
     starts within ``within_ms``. Its table twin is ``words.overlap_merge`` over no existing cues.
 
     The state is kept by track and text; starts more than ``horizon_ms`` before the text's latest one are forgotten, as chunks overlap by far less.
+    With ``idle``, cues have a time stamp ``at``, and the state of a text that was not heard for so long of event time goes.
     """
     shape = "track_id long, ordinal long, start_ms long, end_ms long, source string"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         starts = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["ordinal", "start_ms"])
         keep = []
@@ -146,10 +172,12 @@ def stream_chunk_timeline(cues: DataFrame, within_ms: int = 2_500, horizon_ms: i
             if new:
                 starts.append(int(start))
         state.update(([s for s in starts if s >= max(starts) - horizon_ms],))
+        _until(state, rows, idle)
         yield rows.loc[keep, ["track_id", "ordinal", "start_ms", "end_ms", "source"]]
 
-    keyed = cues.select("track_id", "ordinal", "start_ms", "end_ms", "source", F.coalesce(overlap_key(F.col("source")), F.lit("")).alias("text_key"))
-    return keyed.groupBy("track_id", "text_key").applyInPandasWithState(step, shape, "starts array<long>", "append", GroupStateTimeout.NoTimeout)
+    timed, timeout = _timed(cues, idle, delay)
+    keyed = timed.select("track_id", "ordinal", "start_ms", "end_ms", "source", "at_ms", *([] if idle is None else ["at"]), F.coalesce(overlap_key(F.col("source")), F.lit("")).alias("text_key"))
+    return keyed.groupBy("track_id", "text_key").applyInPandasWithState(step, shape, "starts array<long>", "append", timeout)
 
 
 def on_settled(words: Callable[[], DataFrame], pending: Callable[[], DataFrame], known: Callable[[], DataFrame], act: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
