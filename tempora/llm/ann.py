@@ -236,8 +236,8 @@ def nearest(
 
         return visit
 
-    # leaves with too many rows get a tree of their own, again and again
-    splits, level = [], 0
+    # leaves with too many rows get a tree of their own, again and again; it is fitted to about half a sample, so it has fewer than ``branch`` leaves
+    splits, level, branch = [], 0, max(8_192, sample)
     large = sizes.where(F.col("count") > most)
     while not large.isEmpty():
         level += 1
@@ -253,7 +253,7 @@ def nearest(
                 return rows.drop_columns("part")
             v = matrix(rows["v"], dim, kind)
             sub = pickle.loads(split["forest"][0].as_py()).leaves(0, unit(v), salts(v))[0]
-            return pa.table({"tree": rows["tree"], "node": pa.array((rows["node"].to_numpy() + 1) * 4096 + sub), "v": rows["v"], "ids": rows["ids"]})
+            return pa.table({"tree": rows["tree"], "node": pa.array((rows["node"].to_numpy() + 1) * branch + sub), "v": rows["v"], "ids": rows["ids"]})
 
         keep = F.pmod(F.xxhash64("v", "tree"), F.lit(1 << 32)) < (F.lit(float(1 << 32)) * (sample // 2) / F.col("count")).cast("bigint")
         split = stored(index.join(large, ["tree", "node"]).where(keep).groupBy("tree", "node").applyInArrow(graft, "tree int, node long, forest binary"), "splits")
@@ -283,7 +283,7 @@ def nearest(
                     row.append(i)
             n, gone = zip(*found, strict=True)
             asks = asks.take(pa.array(row))
-            return pa.table({"tree": asks["tree"], "node": pa.array((asks["node"].to_numpy() + 1) * 4096 + np.array(n)), "id": asks["id"], "v": asks["v"], "gone": pa.array(gone), "reach2": asks["reach2"], "least": asks["least"]})
+            return pa.table({"tree": asks["tree"], "node": pa.array((asks["node"].to_numpy() + 1) * branch + np.array(n)), "id": asks["id"], "v": asks["v"], "gone": pa.array(gone), "reach2": asks["reach2"], "least": asks["least"]})
 
         return deeper
 
