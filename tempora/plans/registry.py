@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators import intervals as iv
 from ..operators import journal as jr
 from ..operators import words as wd
-from . import compositions, records, timelines
+from . import compositions, records, requests, timelines
 from .sql import ALIGNED, CROSS, MERGED, MERGED40, MISSING, SILENCES
 
 CUES, SPANS, WORDS, LEVELS, TRACE, REPLIES = fx.CUES_SQL, fx.SPANS_SQL, fx.WORDS_SQL, fx.LEVELS_SQL, fx.TRACE_SQL, fx.REPLIES_SQL
@@ -238,7 +238,7 @@ SELECT plan, stage, round(coalesce(sum(weight) OVER (PARTITION BY plan ORDER BY
 }
 
 
-ALL = {**QUERIES, **records.QUERIES, **timelines.QUERIES, **compositions.QUERIES}
+ALL = {**QUERIES, **records.QUERIES, **timelines.QUERIES, **compositions.QUERIES, **requests.QUERIES}
 
 
 def queries():
