@@ -14,6 +14,7 @@ from ..sources.sinks import cut
 from .intervals import align_to_speech, crosstalk_ids, extend_cue_ends, normalize_timeline, range_join
 
 KEY = ["track_id", "id"]
+SPOKEN = ["word", "start_ms", "end_ms", "score"]
 TOKEN = "array<struct<text:string,offsets:string,timestamps:string>>"
 ALIGNED = "segments array<struct<text:string,words:array<struct<word:string,start:double,`end`:double,score:double>>>>, word_segments array<struct<word:string,start:double,`end`:double,score:double>>"
 
@@ -121,33 +122,38 @@ def lenient_words(attempts: DataFrame, duration_ms: int) -> DataFrame:
     return attempts.select(*KEY, "attempt", kept.alias("words"))
 
 
-def aligned_cues(cues: DataFrame, judged: DataFrame) -> DataFrame:
+def aligned_cues(cues: DataFrame, judged: DataFrame, words: bool = False) -> DataFrame:
     """The cues that each parent's first successful attempt gives, one a segment, with ``confidence``, the mean of the words' scores.
 
-    A parent that stays whole keeps its text and translation; parts have the segments' texts and no translation.
+    A parent that stays whole keeps its text and translation; parts have the segments' texts and no translation. ``words`` adds each one's words.
     """
     ok = judged.where("outcome = 'success'").groupBy(*KEY).agg(F.min_by("segments", "attempt").alias("segments"))
     each = ok.select(*KEY, F.size("segments").alias("n"), F.posexplode("segments").alias("part", "s"))
     score = F.aggregate(F.filter("s.words", lambda w: w.score.isNotNull()), F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), lambda a, w: F.struct((a["sum"] + w.score).alias("sum"), (a["n"] + 1).alias("n")), lambda a: F.when(a["n"] > 0, a["sum"] / a["n"]))
-    timed = each.select(*KEY, "n", "part", F.get("s.words", F.lit(0)).start_ms.alias("s_ms"), F.element_at("s.words", -1).end_ms.alias("e_ms"), F.col("s.text").alias("part_text"), score.alias("score"))
+    timed = each.select(*KEY, "n", "part", F.get("s.words", F.lit(0)).start_ms.alias("s_ms"), F.element_at("s.words", -1).end_ms.alias("e_ms"), F.col("s.text").alias("part_text"), score.alias("score"), F.transform("s.words", lambda w: F.struct(*[w[c].alias(c) for c in SPOKEN])).alias("words"))
     whole = F.col("n") == 1
     rows = cues.join(timed, KEY)
     new = {
         "start_ms": F.col("s_ms"), "end_ms": F.col("e_ms"), "confidence": F.col("score"), "source": F.when(whole, F.col("source")).otherwise(F.coalesce("part_text", "source")),
         "translated": F.when(whole, F.col("translated")),
     }
-    return rows.withColumns(new).select(*[c for c in cues.columns if c != "confidence"], "confidence", "part")
+    return rows.withColumns(new).select(*[c for c in cues.columns if c != "confidence"], "confidence", "part", *(["words"] if words else []))
 
 
 def align_external(cues: DataFrame, spans: DataFrame, attempts: DataFrame, duration_ms: int, tokens: DataFrame | None = None, voiced: DataFrame | None = None) -> DataFrame:
     """Cues from a forced aligner's attempts: for each parent its aligned cues, else itself if it is crosstalk, else its alignment to speech; renumbered.
 
-    ``backend`` says which: forced, kept or fallback.
+    ``backend`` says which: forced, kept or fallback. ``attempts`` (attempt, from_ms, to_ms, outcome) tells what was tried for a forced or fallback cue, and
+    ``words`` (word, start_ms, end_ms, score) holds a forced cue's words, or what a first token without score left of a fallback cue's.
     """
-    forced = aligned_cues(cues, judged_attempts(attempts, duration_ms)).withColumn("backend", F.lit("forced"))
+    judged = cut(judged_attempts(attempts, duration_ms), "judged")
+    tried = judged.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("attempt", "from_ms", "to_ms", "outcome"))).alias("attempts"))
+    unsure = lenient_words(judged.where("outcome = 'zero-first-token-score'"), duration_ms).groupBy(*KEY).agg(F.max_by("words", "attempt").alias("words"))
+    forced = aligned_cues(cues, judged, words=True).join(tried, KEY).withColumn("backend", F.lit("forced"))
     rest = align_to_speech(cues, spans, tokens, voiced).join(forced.select(*KEY).distinct(), KEY, "left_anti").withColumn("part", F.lit(0))
     frozen = crosstalk_ids(cues).withColumn("kept", F.lit(True))
     rest = rest.join(frozen, KEY, "left").withColumn("backend", F.when(F.col("kept"), "kept").otherwise("fallback")).drop("kept")
+    rest = rest.join(tried, KEY, "left").join(unsure, KEY, "left").withColumns({c: F.when(F.col("backend") == "fallback", F.col(c)) for c in ("attempts", "words")})
     both = forced.unionByName(rest)
     place = F.row_number().over(Window.partitionBy("track_id").orderBy("ordinal", "part")) - 1
     # parts of one parent share its id until they are numbered: they are told apart by their place

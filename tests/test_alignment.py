@@ -136,6 +136,8 @@ def test_attempts(spark):
     assert parts == [(0, 2100, 2900, "a", None, 0.75), (0, 3000, 3200, "b", None, 0.8), (2, 8100, 8800, "s", "t", None)]
     out = al.align(c, "external", 20_000, spans=spans(spark, [(5.1, 6.2)]), attempts=attempts).orderBy("id").collect()
     assert [(r.parent_id, r.start_ms, r.backend) for r in out] == [(0, 2100, "forced"), (0, 3000, "forced"), (1, 5100, "fallback"), (2, 8100, "forced"), (3, 10000, "kept"), (4, 11000, "kept"), (5, 15000, "fallback")]
+    told = {r.parent_id: (r.attempts and [a.outcome for a in r.attempts], r.words and [tuple(w) for w in r.words]) for r in out[2:]}
+    assert told == {1: (["zero-first-token-score", "failed"], [("w", 4900, 5000, 0.0)]), 2: (["success"], [("w", 8100, 8800, None)]), 3: (None, None), 4: (None, None), 5: (["failed", "failed"], None)}
     lenient = {(r.id, r.attempt): [tuple(w) for w in r.words or []] for r in al.lenient_words(attempts, 20_000).collect()}
     assert lenient[(1, 1)] == [("w", 4900, 5000, 0.0)] and lenient[(5, 1)] == [("w", 15100, None, 0.8)]
     with pytest.raises(ValueError):
