@@ -165,7 +165,7 @@ def sequential(rows, made, joints, size):
 def test_repairs_in_rounds_equal_one_after_the_other(spark, seed, tmp_path):
     rnd = random.Random(seed)
     all_rows, all_cues, all_joints, want = [], [], [], {}
-    for track in range(4):
+    for track in range(3):
         rows, at, by = [], 0, "0"
         for i in range(60):
             by = rnd.choice("01") if rnd.random() < 0.15 else by
@@ -180,7 +180,7 @@ def test_repairs_in_rounds_equal_one_after_the_other(spark, seed, tmp_path):
             i = z + 1
         for f in rnd.sample(sorted(made), 2):
             made.pop(f)
-        joints = [(j, rnd.random() < 0.3) for j in rnd.sample(range(59), 25)]
+        joints = [(j, rnd.random() < 0.3) for j in rnd.sample(range(59), 14)]
         want[track] = sequential(rows, made, joints, 3)
         all_rows += rows
         all_cues += [(track, f"words-{f}-{z}", f, z, rows[f][4], max(r[5] for r in rows[f : z + 1]), rows[f][2], "s", "t") for f, z in made.items()]
@@ -199,4 +199,4 @@ def test_repairs_in_rounds_equal_one_after_the_other(spark, seed, tmp_path):
     for r in got.collect():
         found.setdefault(r.track_id, []).append((r["first"], r["last"]))
     assert {t: sorted(v) for t, v in found.items()} == want
-    assert len(rounds) < 25 and got.agg(F.countDistinct("track_id")).first()[0] == 4
+    assert len(rounds) < 14 and got.agg(F.countDistinct("track_id")).first()[0] == 3
