@@ -38,26 +38,38 @@ from .bloom import bloom_filter, passing
 from .common import LOWER, UPPER, discard, give_back, mixed, shuffle_partitions, stored, table
 from .tokens import BASE, BYTES, hash_strings, powers
 
-PIECE_END = re.compile(rb"[.,;:!?\x0A-\x0D]")
+PIECE_END, WORD_END = re.compile(rb"[.,;:!?\x0A-\x0D]"), re.compile(rb"[ \t.,;:!?\x0A-\x0D]")
+TWO_WORDS = re.compile(rb"(?:[ \t]+[^ \t.,;:!?\x0A-\x0D]+){0,2}")
 _KIND = np.zeros(256, np.uint8)  # 1: ends words, 2: ends pieces
 _KIND[[0x20, 0x09]] = 1
 _KIND[list(b".,;:!?\x0a\x0b\x0c\x0d")] = 2
 BLOCK, IDS, DEPTH = 1_000_000, 21, 3
 
 
-def blocks_of(texts: list[str | None], langs: list[str]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
-    """(bytes, starts, languages' hashes) of about BLOCK bytes: several texts, or a part of a long one that ends with a piece."""
+def blocks_of(texts: list[str | None], langs: list[str]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, int]]:
+    """(bytes, starts, languages' hashes, own) of about BLOCK bytes: several texts, or a part of a long one.
+
+    A part ends with a piece, or, where a piece is longer than BLOCK, between words; the two words behind such a cut come along as context: words
+    that begin at ``own`` or later belong to the next part.
+    """
     salts = dict(zip(set(langs), hash_strings(list(set(langs))), strict=True))
     held, starts, own, size = [], [], [], 0
 
     def block():
-        return b"\n".join(held) + b"\n", np.array(starts), np.array(own, np.uint64)
+        return b"\n".join(held) + b"\n", np.array(starts), np.array(own, np.uint64), size
 
     for text, lang in zip(texts, langs, strict=True):
         data = (text or "").encode().lower()
         at = 0
         while at < len(data):
-            end = PIECE_END.search(data, at + BLOCK) if len(data) - at > BLOCK else None
+            long = len(data) - at > BLOCK
+            end = PIECE_END.search(data, at + BLOCK, at + 2 * BLOCK) if long else None
+            word = WORD_END.search(data, at + BLOCK) if long and not end else None
+            if word:
+                part, ahead = data[at : word.start()], TWO_WORDS.match(data, word.start())[0]
+                yield part + ahead + b"\n", np.zeros(1, np.int64), np.array([salts[lang]], np.uint64), len(part)
+                at += len(part)
+                continue
             part = data[at : end.end() if end else len(data)]
             at += len(part)
             held.append(part), starts.append(size), own.append(salts[lang])
@@ -96,8 +108,10 @@ def word_counts(docs: DataFrame, least: int) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names = {int(h): name for name in b["lang"].unique().to_pylist() for h in hash_strings([name])}
-            for data, starts, salts in blocks_of(*lists(b)):
+            for data, starts, salts, own in blocks_of(*lists(b)):
                 begin, end, h, _ = words_of(data, starts, salts)
+                n = np.searchsorted(begin, own)
+                begin, end, h = begin[:n], end[:n], h[:n]
                 lang = salts[np.searchsorted(starts, begin, "right") - 1]
                 value, first, n = np.unique(h, return_index=True, return_counts=True)
                 owner = [names[x] for x in lang[first].tolist()]
@@ -118,12 +132,12 @@ def suffixes(bloom, take: Callable):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         taken = take()
         for b in batches:
-            for block in blocks_of(*lists(b)):
-                _, _, h, follows = words_of(*block)
+            for *block, own in blocks_of(*lists(b)):
+                begin, _, h, follows = words_of(*block)
                 frequent = np.zeros(len(h) + 2, bool)
                 frequent[passing(h, bloom.value)] = True
                 two = follows & frequent[:-2] & frequent[1:-1]
-                at = np.flatnonzero(two)
+                at = np.flatnonzero(two & (begin < own))
                 h, two = np.append(h, np.zeros(2, np.uint64)), np.append(two, False)
                 third = np.where(two[at + 1], h[at + 2], np.uint64(0))
                 yield from taken.add(np.stack([h[at], h[at + 1], third]), np.ones(len(at), np.int64))

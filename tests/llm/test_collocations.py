@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tempora.llm import collocations as c
+from tempora.llm.bloom import BLOOM_BITS
 
 
 def brute(rows, least=10, covered=50, top=2000):
@@ -62,13 +63,51 @@ def test_edges(spark):
     assert result(df.limit(0)) == [] and result(df.where("lang = 'de'")) == []
 
 
-def test_long_text_is_cut_between_pieces(spark, monkeypatch):
+class Everything:
+    """A filter that lets all words through."""
+
+    value = np.full(BLOOM_BITS // 8, 255, np.uint8)
+
+
+def found(rows):
+    """Word counts and suffixes of texts, as the tasks see them."""
+    import pyarrow as pa
+
+    class Kept:
+        def __init__(self):
+            self.all = Counter()
+
+        def add(self, words, _):
+            self.all.update(map(tuple, words.T.tolist()))
+            return iter(())
+
+        def rest(self):
+            yield self.all
+
+    batch = pa.RecordBatch.from_pydict({"text": [r[0] for r in rows], "lang": [r[1] for r in rows]})
+    counts = Counter()
+    for data, starts, salts, own in c.blocks_of(*c.lists(batch)):
+        begin, _, h, _ = c.words_of(data, starts, salts)
+        counts.update(h[begin < own].tolist())
+    (suffixes,) = c.suffixes(Everything, Kept)(iter([batch]))
+    return counts, suffixes
+
+
+def test_long_texts_are_cut_without_loss(monkeypatch):
+    rnd = random.Random(2)
+    text = " ".join(rnd.choice(["one", "two", "three.", "four", "\tfive "]) for _ in range(3_000))
+    rows = [(text, "en"), (re.sub("[.]", "", text), "de"), ("one two", "en"), ("x" * 5_000 + " y z", "de"), ("z " * 900 + ", " * 400, "en"), (None, "en"), ("y" * 3_000, "fr")]
+    whole = found(rows)
+    assert sum(whole[0].values()) > 6_000 and sum(whole[1].values()) > 5_000
+    for size in (7, 64, 1000):
+        monkeypatch.setattr(c, "BLOCK", size)
+        assert found(rows) == whole and len(list(c.blocks_of([r[0] for r in rows], [r[1] for r in rows]))) > 20
+
+
+def test_long_text_equals_brute_force(spark):
     rnd = random.Random(2)
     text = " ".join(rnd.choice(["one", "two", "three.", "four"]) for _ in range(30_000))
     rows = [(text, "en"), (re.sub("[.]", "", text), "de"), ("one two", "en")]
-    monkeypatch.setattr(c, "BLOCK", 1000)
-    parts = list(c.blocks_of([r[0] for r in rows], [r[1] for r in rows]))
-    assert len(parts) > 50 and sum(len(p[0]) for p in parts) >= len(text)
     df = spark.createDataFrame(rows, "text string, lang string")
     assert result(df) == sorted(brute(rows))
 
