@@ -30,22 +30,27 @@ def ordered_text(position: Column | str, text: Column | str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(position), F.col(text)))), lambda x: x[text]), "")
 
 
-def cues_from_transcripts(docs: DataFrame, offset_ms: int = 0, first_ordinal: int = 0) -> DataFrame:
-    """(track_id, ordinal, start_ms, end_ms, source, metadata) of (track_id, body).
-
-    A body lists entries under ``transcription``, else ``segments``. An entry's time is its written time stamp, else its seconds,
-    else its offset in milliseconds; without any, it starts at 0 and ends at its start. Blank entries go; metadata is the raw entry.
-    """
+def transcript_entries(docs: DataFrame, *kept: str) -> DataFrame:
+    """(track_id, kept columns, position, start_ms, end_ms, source, metadata): the entries of transcripts (track_id, body) that are not blank."""
     lists = F.from_json("body", "transcription array<string>, segments array<string>")
     entries = F.when(F.size("lists.transcription") > 0, F.col("lists.transcription")).otherwise(F.col("lists.segments"))
-    each = docs.select("track_id", lists.alias("lists")).select("track_id", F.posexplode(entries).alias("position", "metadata"))
+    each = docs.select("track_id", *kept, lists.alias("lists")).select("track_id", *kept, F.posexplode(entries).alias("position", "metadata"))
     read = each.withColumn("e", F.from_json("metadata", ENTRY))
     time = lambda side, key: F.coalesce(clock_ms(F.col(f"e.timestamps.{side}")), F.rint(F.col(f"e.{key}") * 1000).cast("bigint"), F.col(f"e.offsets.{side}"))
     start = F.coalesce(time("from", "start"), F.lit(0))
     end = F.greatest(start, F.coalesce(time("to", "end"), start))
+    return read.select("track_id", *kept, "position", start.alias("start_ms"), end.alias("end_ms"), F.trim("e.text").alias("source"), "metadata").where("source <> ''")
+
+
+def cues_from_transcripts(docs: DataFrame, offset_ms: int = 0, first_ordinal: int = 0) -> DataFrame:
+    """(track_id, ordinal, start_ms, end_ms, source, metadata) of (track_id, body).
+
+    A body lists entries under ``transcription``, else ``segments``. An entry's time is its written time stamp, else its seconds,
+    else its offset in milliseconds; without any, it starts at 0 and ends at its start. Blank entries go; metadata is the raw entry.
+    """
     place = F.row_number().over(Window.partitionBy("track_id").orderBy("position")) - 1 + first_ordinal
-    kept = read.withColumn("source", F.trim("e.text")).where("source <> ''")
-    return kept.select("track_id", place.cast("bigint").alias("ordinal"), (start + offset_ms).alias("start_ms"), (end + offset_ms).alias("end_ms"), "source", "metadata")
+    moved = [(F.col(c) + offset_ms).alias(c) for c in ("start_ms", "end_ms")]
+    return transcript_entries(docs).select("track_id", place.cast("bigint").alias("ordinal"), *moved, "source", "metadata")
 
 
 def transcript_language(body: Column) -> Column:
