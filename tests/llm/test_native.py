@@ -1,6 +1,7 @@
 import datetime
 import hashlib
 import os
+import random
 import re
 
 import pytest
@@ -226,6 +227,23 @@ def test_url_filter_against_brute_force(spark):
     assert {r.verdict for r in url_filter.filter_urls(df, rdf.limit(0)).collect()} == {"allow"}
 
 
+def test_url_filter_with_deep_stacks_and_many_rules_of_a_host(spark):
+    """Over many small ranges: a stack of 30 hosts and of 60 paths that stays open across them, and a host with 3,000 rules."""
+    rnd = random.Random(6)
+    nested = [".".join(["d"] * n) for n in range(1, 31)]
+    rules = [(h, "/" + "a" * rnd.randint(0, 3), rnd.choice(["allow", "block"])) for h in nested] + [("q.d", "/" + "b" * n, f"v{n % 7}") for n in range(60)]
+    rules += [("many.org", f"/{n:04d}", rnd.choice(["allow", "block"])) for n in range(3_000)] + [("a/b", "/", "block"), ("", "/z", "block"), ("many.org", "", "block")]
+    urls = [f"s://{rnd.choice(nested)}/{'a' * rnd.randint(0, 5)}" for _ in range(150)] + [f"s://x.q.d/{'b' * rnd.randint(0, 70)}" for _ in range(100)]
+    urls += [f"s://{rnd.choice(['', 'w.', 'v.w.'])}many.org/{rnd.randint(0, 3_500):04d}/x" for _ in range(150)] + ["s:///z", "s://many.org", "s://z./z", "s://\U0010ffff.d/\U0010ffff"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rdf = spark.createDataFrame(rules, "host string, path string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(df, rdf).collect()}
+    for i, u in enumerate(urls):
+        m = re.match(r"^.*?://([^/?#]*)([^?#]*)", u)
+        fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (m[1] == h or m[1].endswith("." + h)) and m[2].startswith(p)]
+        assert got[i] == (max(fits)[2:] if fits else (None, "allow")), u
+
+
 def test_chat_round_trip(spark):
     says = ["", None, "<|im_end|>", "<\\|x", "<\\\\|<|", "a\n<|im_sep|>b", "x" * 100_000, "<|im_start|>assistant ok", "é😀"]
     rows = [(1, i, r, t, 0) for i, (r, t) in enumerate((r, t) for t in says for r in ("user", "assistant", "assistant", "od%d\n<|r"))]
