@@ -107,6 +107,12 @@ def _reviewed(spark, d):
     return own, own.withColumn("document", text)
 
 
+def _damaged(spark, d):
+    """Files whose lines of one kind have lost their text, those of another their last fields."""
+    text = F.regexp_replace(F.regexp_replace("document", "(?m),,signup$", ",,"), "(?m),0,0,0,,click$", ",0,0")
+    return jr.render_documents(fx.cues(spark, d)).select("track_id", F.concat(F.lit("[Events]\n"), text).alias("document"))
+
+
 def _canonical(spark, d):
     """Rewritten files of one mode; those of every second track have lost the header's first line."""
     own, frames = _published(spark, d)
@@ -198,6 +204,17 @@ SELECT k.track_id, chunk_no, greatest(0, chunk_no * 15000 - 5000) AS from_ms, (c
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fed FROM cues) WHERE end_ms > greatest(start_ms, coalesce(fed, start_ms))""",
     ),
     "append_only_words": (lambda s, d: fd.append_only_words(_feed(s, d)), None),
+    "document_defects": (
+        lambda s, d: pb.document_defects(_damaged(s, d)),
+        f"""WITH {CUES}, l AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, end_ms, coalesce(speaker, ''), ordinal) AS n, coalesce(speaker, '') AS name,
+  CAST(round_even(start_ms / 10.0, 0) AS BIGINT) * 10 AS s, CAST(round_even(end_ms / 10.0, 0) AS BIGINT) * 10 AS e,
+  CASE WHEN translated IS NULL AND source = 'signup' THEN 'empty_text' WHEN translated IS NULL AND source = 'click' THEN 'unparsable' END AS problem FROM cues),
+m AS (SELECT *, max(s) OVER o AS latest, max(e) OVER o AS any_end, max(CASE WHEN name = '' THEN e END) OVER o AS blank_end,
+  max(e) OVER (PARTITION BY track_id, name ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS own_end
+  FROM l WHERE problem IS NULL WINDOW o AS (PARTITION BY track_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT track_id, n AS line_no, problem AS kind FROM l WHERE problem IS NOT NULL UNION ALL SELECT track_id, n, 'end_before_start' FROM m WHERE e < s
+UNION ALL SELECT track_id, n, 'out_of_order' FROM m WHERE s < latest UNION ALL SELECT track_id, n, 'overlap' FROM m WHERE s < CASE WHEN name = '' THEN any_end ELSE greatest(own_end, blank_end) END""",
+    ),
     "changed_tracks": (
         lambda s, d: fd.changed_tracks(fx.cues(s, d), fx.cues(s, d).withColumn("source", F.when(F.col("id") % 997 == 0, "x").otherwise(F.col("source")))),
         f"WITH {CUES} SELECT DISTINCT track_id FROM cues WHERE id % 997 = 0",
