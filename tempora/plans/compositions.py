@@ -19,7 +19,7 @@ from ..operators import resume as rs
 from ..operators import words as wd
 from ..sources.sinks import shared_folder
 from ..streaming import feeds as fd
-from .sql import ALIGNED, CROSS, MERGED40, MISSING
+from .sql import ALIGNED, CROSS, MERGED40, MISSING, SILENCES, missing_word_batches
 from .timelines import STRETCHES, _stretches
 
 CUES, SPANS, WORDS, TRACE, REPLIES = fx.CUES_SQL, fx.SPANS_SQL, fx.WORDS_SQL, fx.TRACE_SQL, fx.REPLIES_SQL
@@ -203,8 +203,17 @@ SELECT a.track_id, a.ordinal FROM o a JOIN o b ON a.track_id = b.track_id AND b.
         f"""WITH {WORDS}, {STRETCHES} SELECT w.track_id, w.ordinal, l.first AS low, r.last AS high, (SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FROM cs WHERE cs.track_id = w.track_id AND cs.first >= l.first AND cs.last <= r.last) AS replaced
 FROM words w JOIN cs l ON l.track_id = w.track_id AND w.ordinal BETWEEN l.first AND l.last JOIN cs r ON r.track_id = w.track_id AND w.ordinal + 1 BETWEEN r.first AND r.last WHERE w.ordinal % 21 = 6""",
     ),
-    "missing_word_batches": (lambda s, d: wd.missing_word_batches(fx.words(s, d), _stretches(s, d).where("id % 9 = 0"), 50), None),
-    "ready_word_batches": (_ready, None),
+    "missing_word_batches": (
+        lambda s, d: wd.missing_word_batches(fx.words(s, d), _stretches(s, d).where("id % 9 = 0"), 50),
+        f"WITH RECURSIVE {WORDS}, {STRETCHES}, r AS (SELECT * FROM cs WHERE id % 9 = 0), {missing_word_batches(50, 'r')} SELECT * FROM missing",
+    ),
+    "ready_word_batches": (
+        _ready,
+        f"""WITH d AS (WITH RECURSIVE {WORDS}, {STRETCHES}, r AS (SELECT * FROM cs WHERE id % 20 = 0), {missing_word_batches(40, "r")} SELECT track_id, first, last FROM missing WHERE track_id % 3 = 0),
+ready AS (WITH RECURSIVE {WORDS}, {STRETCHES}, {SILENCES}, r AS (SELECT * FROM cs WHERE id % 20 = 0), usable AS (SELECT * FROM words w WHERE ordinal <= (SELECT max(ordinal) FROM silences s WHERE s.track_id = w.track_id)),
+  {missing_word_batches(40, "r", "usable")} SELECT track_id, first, last FROM missing WHERE last - first + 1 >= 40)
+SELECT * FROM ready ANTI JOIN d USING (track_id, first, last)""",
+    ),
     "resume_points": (
         lambda s, d: rs.resume_points(fx.cues(s, d).where("track_id % 5 <> 0"), fx.cues(s, d).groupBy("track_id").agg((F.max("end_ms") + F.col("track_id") % 3 * 50_000 - 20_000).alias("duration_ms"))).withColumn("remaining", F.round("remaining", 9)),
         f"""WITH {CUES}, t AS (SELECT track_id, max(end_ms) + track_id % 3 * 50000 - 20000 AS n, CASE WHEN track_id % 5 <> 0 THEN max(end_ms) ELSE 0 END AS e FROM cues GROUP BY 1)

@@ -10,7 +10,7 @@ from ..operators import intervals as iv
 from ..operators import journal as jr
 from ..operators import words as wd
 from . import compositions, records, requests, timelines
-from .sql import ALIGNED, CROSS, MERGED, MERGED40, MISSING, SILENCES
+from .sql import ALIGNED, CROSS, MERGED, MERGED40, MISSING, SILENCES, word_batches
 
 CUES, SPANS, WORDS, LEVELS, TRACE, REPLIES = fx.CUES_SQL, fx.SPANS_SQL, fx.WORDS_SQL, fx.LEVELS_SQL, fx.TRACE_SQL, fx.REPLIES_SQL
 STAMP = "CAST(cs // 360000 AS VARCHAR) || ':' || lpad(CAST(cs // 6000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(cs // 100 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(cs % 100 AS VARCHAR), 2, '0')"
@@ -138,7 +138,7 @@ SELECT a.track_id, speaker, round(CASE WHEN n >= 3 THEN own WHEN m >= 3 THEN who
         lambda s, d: wd.dispatchable_prefix(fx.words(s, d)),
         f"WITH {WORDS}, {SILENCES} SELECT w.track_id, coalesce(max(s.ordinal) + 1, 0) AS n_words FROM (SELECT DISTINCT track_id FROM words) w LEFT JOIN silences s ON w.track_id = s.track_id GROUP BY 1",
     ),
-    "split_word_batches": (lambda s, d: wd.split_word_batches(fx.words(s, d), 50), None),
+    "split_word_batches": (lambda s, d: wd.split_word_batches(fx.words(s, d), 50), f"WITH RECURSIVE {WORDS}, {word_batches(50)} SELECT * FROM walk"),
     "segment_words": (lambda s, d: wd.segment_words(fx.words(s, d).withColumn("text", F.concat("text", F.lit(" ")))), None),
     "uncovered_runs": (
         lambda s, d: wd.uncovered_runs(fx.words(s, d), _ranges(s, d)),

@@ -26,3 +26,26 @@ SILENCES = """silences AS (SELECT track_id, ordinal, gap_ms FROM (SELECT track_i
 MISSING = """batches AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY min(ordinal)) - 1 AS batch_no, min(ordinal) AS first, max(ordinal) AS last, count(*) AS n FROM (
   SELECT *, (row_number() OVER (PARTITION BY track_id, run ORDER BY ordinal) - 1) // 20 AS part FROM (
     SELECT track_id, ordinal, ordinal - row_number() OVER (PARTITION BY track_id ORDER BY ordinal) AS run FROM cues WHERE coalesce(translated, '') = '')) GROUP BY track_id, run, part)"""
+
+
+def word_batches(target: int, words: str = "words", key: str = "track_id") -> str:
+    """Steps up to ``walk`` (key, batch_no, first, last, forced_end): the batches of ``words`` by key, from cut to cut. They need WITH RECURSIVE."""
+    hard, base = 2 * target, 10**8
+    return f"""silent AS (SELECT {key}, ordinal, CASE WHEN g >= 800 THEN g END AS gap FROM (SELECT {key}, ordinal, lead(start_ms) OVER (PARTITION BY {key} ORDER BY ordinal)
+  - max(end_ms) OVER (PARTITION BY {key} ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS g FROM {words})),
+near AS (SELECT *, row_number() OVER o - 1 AS place, count(*) OVER (PARTITION BY {key}) AS n, max(ordinal) OVER (PARTITION BY {key}) AS top,
+  max(gap * {base} - ordinal) OVER (PARTITION BY {key} ORDER BY ordinal ROWS BETWEEN {target // 2 - 1} FOLLOWING AND {target - 1} FOLLOWING) AS widest,
+  min(CASE WHEN gap IS NOT NULL THEN ordinal END) OVER (PARTITION BY {key} ORDER BY ordinal ROWS BETWEEN {target} FOLLOWING AND {hard - 2} FOLLOWING) AS later
+  FROM silent WINDOW o AS (PARTITION BY {key} ORDER BY ordinal)),
+cuts AS (SELECT *, coalesce(({base} - widest % {base}) % {base}, later, ordinal + {hard - 1}) AS cut, widest IS NULL AND later IS NULL AS forced FROM near),
+steps AS (SELECT *, 0 AS batch_no FROM cuts WHERE place = 0
+  UNION ALL SELECT c.*, s.batch_no + 1 FROM steps s JOIN cuts c USING ({key}) WHERE s.n - s.place > {hard} AND c.place = s.place + s.cut - s.ordinal + 1),
+walk AS (SELECT {key}, batch_no, ordinal AS first, CASE WHEN n - place <= {hard} THEN top ELSE cut END AS last, forced AND n - place > {hard} AS forced_end FROM steps)"""
+
+
+def missing_word_batches(target: int, ranges: str, words: str = "words") -> str:
+    """Steps up to ``missing`` (track_id, batch_no, first, last, forced_end): the batches of every run of words that no range covers."""
+    left = f"""bare AS (SELECT *, ordinal - row_number() OVER (PARTITION BY track_id ORDER BY ordinal) AS run FROM {words} w
+  WHERE NOT EXISTS (SELECT 1 FROM {ranges} r WHERE r.track_id = w.track_id AND w.ordinal BETWEEN r.first AND r.last))"""
+    return f"""{left}, {word_batches(target, "bare", "track_id, run")},
+missing AS (SELECT track_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY first) - 1 AS INT) AS batch_no, first, last, forced_end FROM walk)"""

@@ -15,6 +15,7 @@ from ..operators import progress as pg
 from ..operators import publish as pb
 from ..operators import words as wd
 from ..streaming import feeds as fd
+from .sql import word_batches
 
 CUES, WORDS, LEVELS, TRACE = fx.CUES_SQL, fx.WORDS_SQL, fx.LEVELS_SQL, fx.TRACE_SQL
 
@@ -161,7 +162,10 @@ SELECT track_id, id, final_id FROM p WHERE open = 0""",
     "repair_squeezed_words": (lambda s, d: wd.repair_squeezed_words(fx.words(s, d)).drop("text"), None),
     "word_context": (
         lambda s, d: wd.word_context(wd.split_word_batches(fx.words(s, d), 50), fx.words(s, d), _stretches(s, d)).select("track_id", "batch_no", F.array_join("preceding", ",").alias("preceding"), F.array_join("following", ",").alias("following")),
-        None,
+        f"""WITH RECURSIVE {WORDS}, {STRETCHES}, {word_batches(50)}, c AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, end_ms, id) AS place FROM cs),
+b AS (SELECT w.*, s.start_ms AS at, (SELECT count(*) FROM cs WHERE cs.track_id = w.track_id AND cs.start_ms < s.start_ms) AS n FROM walk w JOIN words s ON s.track_id = w.track_id AND s.ordinal = w.first)
+SELECT track_id, batch_no, (SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY place) FROM c WHERE c.track_id = b.track_id AND place BETWEEN n - 9 AND n) AS preceding,
+  (SELECT string_agg(CAST(ordinal AS VARCHAR), ',' ORDER BY ordinal) FROM words s WHERE s.track_id = b.track_id AND ordinal BETWEEN last + 1 AND last + 40) AS following FROM b""",
     ),
     "word_response_problems": (
         lambda s, d: jr.word_reply_problems(_word_items(s, d), fx.words(s, d)),
@@ -203,7 +207,14 @@ SELECT k.track_id, chunk_no, greatest(0, chunk_no * 15000 - 5000) AS from_ms, (c
         f"""WITH {CUES} SELECT track_id, ordinal AS seq, greatest(start_ms, coalesce(fed, start_ms)) AS from_ms, end_ms AS to_ms FROM (SELECT *, max(end_ms) OVER (PARTITION BY track_id ORDER BY ordinal
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fed FROM cues) WHERE end_ms > greatest(start_ms, coalesce(fed, start_ms))""",
     ),
-    "append_only_words": (lambda s, d: fd.append_only_words(_feed(s, d)), None),
+    "append_only_words": (
+        lambda s, d: fd.append_only_words(_feed(s, d)),
+        f"""WITH RECURSIVE {WORDS}, f AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY ordinal) AS p, start_ms, text, lower(trim(text)) AS k FROM words),
+fold AS (SELECT DISTINCT track_id, CAST(0 AS BIGINT) AS p, false AS keep, CAST(0 AS BIGINT) AS start_ms, '' AS text, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS last_ms, CAST([] AS STRUCT(s BIGINT, k VARCHAR)[]) AS recent FROM f
+  UNION ALL SELECT track_id, p, keep, start_ms, text, n + CAST(keep AS BIGINT), CASE WHEN keep THEN start_ms ELSE last_ms END, CASE WHEN keep THEN list_append(recent, {{'s': start_ms, 'k': k}})[-80:] ELSE recent END
+  FROM (SELECT f.*, o.n, o.last_ms, o.recent, coalesce(f.start_ms >= o.last_ms, true) AND len(list_filter(o.recent, lambda x: abs(x.s - f.start_ms) <= 600 AND x.k = f.k)) = 0 AS keep FROM fold o JOIN f ON f.track_id = o.track_id AND f.p = o.p + 1))
+SELECT track_id, n - 1 AS ordinal, start_ms, text FROM fold WHERE keep""",
+    ),
     "document_defects": (
         lambda s, d: pb.document_defects(_damaged(s, d)),
         f"""WITH {CUES}, l AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, end_ms, coalesce(speaker, ''), ordinal) AS n, coalesce(speaker, '') AS name,
