@@ -158,7 +158,16 @@ p AS (SELECT cs.track_id, cs.id, row_number() OVER q AS final_id, max(CASE WHEN
   FROM cs JOIN f ON cs.track_id = f.track_id WINDOW q AS (PARTITION BY cs.track_id ORDER BY start_ms, end_ms, coalesce(speaker, ''), first))
 SELECT track_id, id, final_id FROM p WHERE open = 0""",
     ),
-    "overlap_merge": (lambda s, d: wd.overlap_merge(fx.cues(s, d).where("id % 3 <> 1"), _heard(s, d)), None),
+    "overlap_merge": (
+        lambda s, d: wd.overlap_merge(fx.cues(s, d).where("id % 3 <> 1"), _heard(s, d)),
+        f"""WITH RECURSIVE {CUES}, h AS (SELECT track_id, ordinal, start_ms + id % 7 * 700 AS start_ms, start_ms + id % 7 * 700 + 500 AS end_ms, source FROM cues),
+f AS (SELECT *, row_number() OVER (PARTITION BY track_id, source ORDER BY ordinal, start_ms) AS p FROM h WHERE NOT EXISTS (
+  SELECT 1 FROM cues e WHERE e.id % 3 <> 1 AND e.track_id = h.track_id AND e.source = h.source AND e.start_ms BETWEEN h.start_ms - 2500 AND h.start_ms + 2500)),
+fold AS (SELECT DISTINCT track_id, source, CAST(0 AS BIGINT) AS p, false AS keep, CAST(0 AS BIGINT) AS ordinal, CAST(0 AS BIGINT) AS start_ms, CAST(0 AS BIGINT) AS end_ms, CAST([] AS BIGINT[]) AS starts FROM f
+  UNION ALL SELECT track_id, source, p, keep, ordinal, start_ms, end_ms, CASE WHEN keep THEN list_append(starts, start_ms) ELSE starts END
+  FROM (SELECT f.*, o.starts, len(list_filter(o.starts, lambda x: abs(x - f.start_ms) <= 2500)) = 0 AS keep FROM fold o JOIN f ON f.track_id = o.track_id AND f.source = o.source AND f.p = o.p + 1))
+SELECT track_id, ordinal, start_ms, end_ms, source FROM fold WHERE keep""",
+    ),
     "repair_squeezed_words": (lambda s, d: wd.repair_squeezed_words(fx.words(s, d)).drop("text"), None),
     "word_context": (
         lambda s, d: wd.word_context(wd.split_word_batches(fx.words(s, d), 50), fx.words(s, d), _stretches(s, d)).select("track_id", "batch_no", F.array_join("preceding", ",").alias("preceding"), F.array_join("following", ",").alias("following")),
@@ -247,11 +256,37 @@ FROM cues c CROSS JOIN m JOIN headers h ON h.kind = c.track_id % 3 GROUP BY c.tr
   CASE WHEN translated IS NULL THEN source ELSE translated || '\\N' || source END || chr(10), '' ORDER BY start_ms, end_ms, coalesce(speaker, ''), ordinal) END AS canonical
 FROM cues c JOIN headers h ON h.kind = c.track_id % 3 GROUP BY c.track_id""",
     ),
-    "publish_gate": (lambda s, d: pb.publish_gate(*_reviewed(s, d)), None),
+    "publish_gate": (
+        lambda s, d: pb.publish_gate(*_reviewed(s, d)),
+        f"""WITH {CUES}, l AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, end_ms, coalesce(speaker, ''), ordinal) AS n, coalesce(speaker, '') AS name,
+  CAST(round_even(start_ms / 10.0, 0) AS BIGINT) * 10 AS s, CAST(round_even(end_ms / 10.0, 0) AS BIGINT) * 10 AS e FROM cues),
+v AS (SELECT 'own' AS side, * FROM l WHERE track_id % 7 = 3 UNION ALL SELECT 'reviewed', track_id, n, name, CASE WHEN s < 3600000 THEN s + 3600000 ELSE s END, e FROM l WHERE track_id % 7 = 3),
+m AS (SELECT *, max(s) OVER o AS latest, max(e) OVER o AS any_end, max(CASE WHEN name = '' THEN e END) OVER o AS blank_end,
+  max(e) OVER (PARTITION BY side, track_id, name ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS own_end
+  FROM v WINDOW o AS (PARTITION BY side, track_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k AS (SELECT side, track_id, 'end_before_start' AS kind FROM m WHERE e < s UNION SELECT side, track_id, 'out_of_order' FROM m WHERE s < latest
+  UNION SELECT side, track_id, 'overlap' FROM m WHERE s < CASE WHEN name = '' THEN any_end ELSE greatest(own_end, blank_end) END),
+t AS (SELECT DISTINCT track_id, track_id % 7 AS damage FROM l)
+SELECT track_id, 'translated' AS mode, kind FROM (SELECT track_id, kind FROM k WHERE side = 'reviewed' EXCEPT SELECT track_id, kind FROM k WHERE side = 'own')
+UNION ALL SELECT track_id, 'translated', 'unparsable' FROM t WHERE damage = 1 UNION ALL SELECT track_id, 'translated', 'empty' FROM t WHERE damage IN (1, 2)
+UNION ALL SELECT track_id, 'translated', 'drift' FROM t WHERE damage IN (1, 2, 3)""",
+    ),
     "monotone_progress": (
         lambda s, d: pg.monotone_progress(_progress(s, d)).select("plan", "seq", "stage", F.round("fraction", 9).alias("fraction")),
         """WITH p AS (SELECT user_id AS plan, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type AS stage, greatest(0.0::DOUBLE, least(1.0::DOUBLE, value / 40)) AS f FROM events)
 SELECT plan, seq, stage, round(max(f) OVER (PARTITION BY plan, stage ORDER BY seq ROWS UNBOUNDED PRECEDING), 9) AS fraction FROM p""",
     ),
-    "eta": (lambda s, d: pg.remaining_seconds(_progress(s, d), _stages(s, d)), None),
+    "eta": (
+        lambda s, d: pg.remaining_seconds(_progress(s, d), _stages(s, d)),
+        """WITH p AS (SELECT user_id AS plan, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type AS stage, greatest(0.0::DOUBLE, least(1.0::DOUBLE, value / 40)) AS fraction, epoch_us(ts) / 1000000 AS at_s FROM events),
+st(stage, start, span) AS (VALUES ('signup', 0.0::DOUBLE, 0.25::DOUBLE), ('click', 0.25, 0.25), ('view', 0.5, 0.25), ('purchase', 0.75, 0.25)),
+c AS (SELECT *, coalesce(CAST(stage <> lag(stage) OVER (PARTITION BY plan ORDER BY seq) AS INT), 0) AS changed FROM p JOIN st USING (stage)),
+d AS (SELECT *, sum(changed) OVER (PARTITION BY plan ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM c),
+e AS (SELECT *, max(fraction) OVER w AS f, greatest(0.0::DOUBLE, at_s - first_value(at_s) OVER w) AS elapsed FROM d WINDOW w AS (PARTITION BY plan, run ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, sum(CAST(f >= 1 AND elapsed >= 1 AS INT)) OVER (PARTITION BY plan, stage ORDER BY seq ROWS UNBOUNDED PRECEDING) = 1 AND f >= 1 AND elapsed >= 1 AS counts FROM e),
+h AS (SELECT *, sum(CASE WHEN counts THEN span END) OVER o AS spans, sum(CASE WHEN counts THEN elapsed END) OVER o AS seconds FROM g WINDOW o AS (PARTITION BY plan ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT *, CASE WHEN spans > 0 THEN seconds / spans END AS usual, CASE WHEN elapsed >= 1 AND f > 0 THEN elapsed / (span * f) END AS own, least(1.0::DOUBLE, f / 0.25::DOUBLE) AS trust, greatest(0.0::DOUBLE, 1 - start - span) AS later FROM h)
+SELECT plan, seq, stage, CAST(ceil(CASE WHEN f < 1 THEN CASE WHEN coalesce(own, usual) IS NOT NULL THEN greatest(1.0::DOUBLE, span * (1 - f) * coalesce(own, usual) + later * coalesce(usual * (1 - trust) + own * trust, own, usual)) END
+  WHEN later <= 0.000000001::DOUBLE THEN 0.0::DOUBLE ELSE later * usual END) AS BIGINT) AS remaining_s FROM r""",
+    ),
 }
