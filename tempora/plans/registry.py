@@ -139,7 +139,19 @@ SELECT a.track_id, speaker, round(CASE WHEN n >= 3 THEN own WHEN m >= 3 THEN who
         f"WITH {WORDS}, {SILENCES} SELECT w.track_id, coalesce(max(s.ordinal) + 1, 0) AS n_words FROM (SELECT DISTINCT track_id FROM words) w LEFT JOIN silences s ON w.track_id = s.track_id GROUP BY 1",
     ),
     "split_word_batches": (lambda s, d: wd.split_word_batches(fx.words(s, d), 50), f"WITH RECURSIVE {WORDS}, {word_batches(50)} SELECT * FROM walk"),
-    "segment_words": (lambda s, d: wd.segment_words(fx.words(s, d).withColumn("text", F.concat("text", F.lit(" ")))), None),
+    "segment_words": (
+        lambda s, d: wd.segment_words(fx.words(s, d).withColumn("text", F.concat("text", F.lit(" ")))),
+        f"""WITH RECURSIVE {WORDS}, s AS (SELECT track_id, speaker, ordinal, start_ms, end_ms, text || ' ' AS text,
+  coalesce(lag(regexp_matches(text, '[.?!。？！…]["''”’»›』」）)\\]]*\\s*$')) OVER o OR start_ms - lag(end_ms) OVER o >= 800, false) AS hard FROM words WINDOW o AS (PARTITION BY track_id, speaker ORDER BY ordinal)),
+t AS (SELECT *, sum(CAST(hard AS INT)) OVER (PARTITION BY track_id, speaker ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS stretch FROM s),
+w AS (SELECT *, row_number() OVER (PARTITION BY track_id, speaker, stretch ORDER BY ordinal) AS p FROM t),
+fold AS (SELECT track_id, speaker, stretch, p, ordinal, start_ms, end_ms, 0 AS cue, start_ms AS since, text AS so_far FROM w WHERE p = 1
+  UNION ALL SELECT track_id, speaker, stretch, p, ordinal, start_ms, end_ms, CASE WHEN ends THEN cue + 1 ELSE cue END, CASE WHEN ends THEN start_ms ELSE since END, CASE WHEN ends THEN text ELSE so_far || text END
+  FROM (SELECT *, (span > 8000 AND 2 * wide >= 84) OR (wide > 84 AND 2 * span >= 8000) AS ends FROM (
+    SELECT w.*, f.cue, f.since, f.so_far, w.end_ms - f.since AS span, length(trim(f.so_far || w.text)) AS wide FROM fold f JOIN w ON w.track_id = f.track_id AND w.speaker IS NOT DISTINCT FROM f.speaker AND w.stretch = f.stretch AND w.p = f.p + 1))),
+c AS (SELECT track_id, speaker, min(ordinal) AS first, max(ordinal) AS last, arg_min(start_ms, ordinal) AS start_ms, greatest(arg_min(start_ms, ordinal), max(end_ms)) AS end_ms, trim(arg_max(so_far, ordinal)) AS text FROM fold GROUP BY track_id, speaker, stretch, cue)
+SELECT track_id, 'preview-' || CAST(row_number() OVER (PARTITION BY track_id ORDER BY start_ms, end_ms, coalesce(speaker, ''), first) AS VARCHAR) AS id, speaker, first, last, start_ms, end_ms, text FROM c WHERE text <> ''""",
+    ),
     "uncovered_runs": (
         lambda s, d: wd.uncovered_runs(fx.words(s, d), _ranges(s, d)),
         f"""WITH {WORDS}, {RANGES} SELECT track_id, min(ordinal) AS first, max(ordinal) AS last FROM (SELECT track_id, ordinal, ordinal - row_number() OVER (PARTITION BY track_id ORDER BY ordinal) AS run
