@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cue_lines, format_timestamp, sanitize_line, sanitize_name
+from ..sources.sinks import cut
 from .intervals import event_defects
 from .journal import document_drift, parse_documents
 
@@ -77,6 +78,8 @@ def publish_gate(own: DataFrame, reviewed: DataFrame) -> DataFrame:
     A kind of defect that the library's ``own`` rendering of the same file has too is tolerated; a file without events (empty) and one whose
     events differ from those of the track's first mode (drift) are not.
     """
+    # each is read several times below
+    own, reviewed = (cut(df.select("track_id", "mode", "document"), name) for df, name in ((own, "own"), (reviewed, "reviewed")))
     keyed = lambda df: df.select(F.struct("track_id", "mode").alias("track_id"), "document")
     kinds = lambda df: document_defects(keyed(df)).select("track_id", "kind").distinct()
     found = kinds(reviewed).join(kinds(own), ["track_id", "kind"], "left_anti")
