@@ -13,8 +13,8 @@ BEFORE = (Window.unboundedPreceding, -1)
 
 
 def buckets(df: DataFrame, lo: Column, hi: Column, width: int, name: str = "bucket") -> DataFrame:
-    """One row for each time bucket that [lo, hi] touches."""
-    return df.withColumn(name, F.explode(F.sequence(F.floor(lo / width), F.floor(F.greatest(lo, hi) / width))))
+    """One row for each time bucket that [lo, hi] touches. How many these are Spark can't tell, so joins on them are merged."""
+    return df.withColumn(name, F.explode(F.sequence(F.floor(lo / width), F.floor(F.greatest(lo, hi) / width)))).hint("merge")
 
 
 def range_join(left: DataFrame, right: DataFrame, width: int, left_lo: Column, left_hi: Column, right_lo: Column, right_hi: Column, condition: Column) -> DataFrame:
@@ -196,7 +196,7 @@ def onset_starts(cues: DataFrame, levels: DataFrame, step_ms: int = 20, lookback
     key = ["track_id", "id"]
     lo, hi = F.greatest(F.lit(0), F.floor(F.col("start_ms") / step_ms)), F.ceil(F.col("end_ms") / step_ms)
     free = cues.join(crosstalk_ids(cues), key, "left_anti").select(*key, F.col("start_ms").alias("at_ms"), lo.alias("lo"), hi.alias("hi")).where("hi > lo")
-    heard = free.withColumn("window_idx", F.explode(F.sequence(F.greatest(F.lit(0), F.col("lo") - lookback), F.col("hi") - 1))).join(levels, ["track_id", "window_idx"])
+    heard = free.withColumn("window_idx", F.explode(F.sequence(F.greatest(F.lit(0), F.col("lo") - lookback), F.col("hi") - 1))).hint("merge").join(levels, ["track_id", "window_idx"])
     inside = F.col("window_idx") >= F.col("lo")
     before = F.array_sort(F.collect_list(F.when(~inside, F.col("level"))))
     own = heard.groupBy(*key).agg(before.alias("before"), F.max(F.when(inside, F.col("level"))).alias("peak")).join(floors, "track_id")

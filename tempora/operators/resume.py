@@ -58,7 +58,7 @@ def resume_points(cues: DataFrame, durations: DataFrame, overlap_ms: int = 5_000
 
 def word_coverage(words: DataFrame, ranges: DataFrame) -> DataFrame:
     """(track_id, n_words, n_covered, complete): how many words lie in a range (track_id, first, last)."""
-    covered = ranges.select("track_id", F.explode(F.sequence("first", "last")).alias("ordinal")).distinct().withColumn("hit", F.lit(1))
+    covered = ranges.select("track_id", F.explode(F.sequence("first", "last")).alias("ordinal")).distinct().withColumn("hit", F.lit(1)).hint("merge")
     counted = words.select("track_id", "ordinal").join(covered, ["track_id", "ordinal"], "left").groupBy("track_id").agg(F.count("*").alias("n_words"), F.count("hit").alias("n_covered"))
     return counted.withColumn("complete", F.col("n_words") == F.col("n_covered"))
 
@@ -94,7 +94,7 @@ def late_results(replies: DataFrame, cues: DataFrame) -> DataFrame:
 def batch_summaries(batches: DataFrame, cues: DataFrame, replies: DataFrame, shown: int = 20) -> DataFrame:
     """(track_id, batch_no, processed, corrected, updated, pairs) of batches (track_id, batch_no, first, last): answered cues, sources that
     the replies change, translations that they change, and the first answers as ``source → translation``."""
-    inside = batches.select("track_id", "batch_no", F.explode(F.sequence("first", "last")).alias("ordinal")).join(cues, ["track_id", "ordinal"])
+    inside = batches.select("track_id", "batch_no", F.explode(F.sequence("first", "last")).alias("ordinal")).hint("merge").join(cues, ["track_id", "ordinal"])
     filled = lambda c: F.nullif(F.trim(c), F.lit(""))
     answers = replies.select("track_id", F.col("id").alias("reply_id"), filled("source").alias("r_source"), filled("translated").alias("r_translated"))
     rows = inside.withColumn("reply_id", F.col("id").cast("string")).join(answers, ["track_id", "reply_id"])

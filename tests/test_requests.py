@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tempora.operators import backends as bk
 from tempora.operators import requests as rq
+from tempora.sources import sinks
 
 WORD = "track_id long, ordinal long, speaker string, text string, start_ms long, end_ms long"
 CUE = "track_id long, id string, ordinal long, start_ms long, end_ms long, speaker string, source string, translated string"
@@ -200,3 +201,14 @@ def test_repairs_in_rounds_equal_one_after_the_other(spark, seed, tmp_path):
         found.setdefault(r.track_id, []).append((r["first"], r["last"]))
     assert {t: sorted(v) for t, v in found.items()} == want
     assert len(rounds) < 14 and got.agg(F.countDistinct("track_id")).first()[0] == 3
+
+
+def test_lists_and_exploded_ranges_are_never_broadcast(spark):
+    """Their size is nothing Spark can tell: estimated as small, they once filled the driver's memory."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    batches = spark.createDataFrame([(1, 0, 0, 3), (1, 1, 4, 9)], BATCH)
+    df = spark.createDataFrame(words(10), WORD)
+    own = rq._members(batches, df, "text")
+    listed = rq._listed(own, "words", "ordinal", lambda w: w.text, "text")
+    for joined in (own, rq._object({"words": listed, "following": listed.withColumnRenamed("words", "following")}, False), df.join(sinks.cut(df.select("ordinal"), "small"), "ordinal")):
+        assert "SortMergeJoin" in plan(joined) and "Broadcast" not in plan(joined)
