@@ -19,6 +19,7 @@ STYLES = (
     "BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding\n"
     "Style: Default,sans-serif,%d,&H00FFFFFF,&H000000FF,&H00000000,&H7F000000,0,0,0,0,100,100,0,0,1,%s,%s,2,%d,%d,%d,1\n\n"
 )
+BY_TIME = ["start_ms", "end_ms", "name", "place"]
 EVENTS = "[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\n"
 
 
@@ -32,11 +33,11 @@ def document_header(width: Column, height: Column) -> Column:
     return F.concat(F.format_string(INFO, width, height), style, F.lit(EVENTS))
 
 
-def _assemble(rows: DataFrame, keys: list[str], frames: DataFrame) -> DataFrame:
-    """(keys, document) of rows (keys, start_ms, end_ms, name, place, text) in the order of time, name and place."""
+def _assemble(rows: DataFrame, keys: list[str], frames: DataFrame, order: list[str] = BY_TIME) -> DataFrame:
+    """(keys, document) of rows (keys, start_ms, end_ms, name, place, text) in the order of time, name and place, or another one."""
     head = F.concat(F.lit("Dialogue: 0,"), format_timestamp(F.col("start_ms")), F.lit(","), format_timestamp(F.col("end_ms")), F.lit(",Default,"))
     line = F.concat(head, F.col("name"), F.lit(",0,0,0,,"), F.col("text"), F.lit("\n"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "name", "place", line.alias("line")))), lambda r: r.line)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))), lambda r: r.line)
     bodies = rows.groupBy(*keys).agg(F.array_join(listed, "").alias("body"))
     size = [F.coalesce(c, F.lit(d)) for c, d in zip(("width", "height"), FRAME, strict=True)]
     return bodies.join(frames.select("track_id", "width", "height"), "track_id", "left").select(*keys, F.concat(document_header(*size), F.col("body")).alias("document"))
@@ -54,14 +55,18 @@ def publish_documents(cues: DataFrame, frames: DataFrame, modes: list[str], sour
     return _assemble(rows, ["track_id", "mode"], frames).select("track_id", "mode", F.concat(F.col("track_id").cast("string"), suffix).alias("file"), "document")
 
 
-def canonical_documents(documents: DataFrame, frames: DataFrame) -> DataFrame:
+def canonical_documents(documents: DataFrame, frames: DataFrame, finer: bool = False) -> DataFrame:
     """(track_id, canonical): documents rewritten with the header of their frame and sorted events; null for those that
-    are so already, have no events or hold a line that can't be read."""
+    are so already, have no events or hold a line that can't be read.
+
+    Events are sorted by start, end and name as the document has them, in hundredths. With ``finer``, those that start in the same hundredth stay in
+    the document's order: it was put in order by times finer than those it shows, as this library's own are.
+    """
     parsed = parse_documents(documents)
     sound = parsed.groupBy("track_id").agg(F.count("problem").alias("bad")).where("bad = 0")
     text = F.array_join(F.transform("lines", sanitize_line), "\\N")
     rows = parsed.join(sound, "track_id", "left_semi").select("track_id", "start_ms", "end_ms", sanitize_name(F.col("name")).alias("name"), F.col("line_no").alias("place"), text.alias("text"))
-    new = _assemble(rows, ["track_id"], frames).withColumnRenamed("document", "canonical")
+    new = _assemble(rows, ["track_id"], frames, ["start_ms", "place"] if finer else BY_TIME).withColumnRenamed("document", "canonical")
     return documents.join(new, "track_id", "left").select("track_id", F.when(F.col("canonical") != F.col("document"), F.col("canonical")).alias("canonical"))
 
 

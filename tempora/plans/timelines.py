@@ -118,7 +118,7 @@ def _canonical(spark, d):
     """Rewritten files of one mode; those of every second track have lost the header's first line."""
     own, frames = _published(spark, d)
     docs = own.where("mode = 'bilingual'").withColumn("document", F.when(F.col("track_id") % 2 == 0, F.regexp_replace("document", r"^\[Script Info\]\n", "")).otherwise(F.col("document")))
-    return pb.canonical_documents(docs.drop("mode", "file"), frames)
+    return pb.canonical_documents(docs.drop("mode", "file"), frames, finer=True)
 
 
 def _progress(spark, d):

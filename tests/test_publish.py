@@ -86,3 +86,13 @@ def test_remaining_time_equals_a_fold(spark):
     df = spark.createDataFrame(log, "plan long, seq long, stage string, fraction double, at_s double")
     stages = spark.createDataFrame([(1, n, *v) for n, v in plan.items()], "plan long, stage string, start double, span double")
     assert [(r.seq, r.remaining_s) for r in pg.remaining_seconds(df, stages).orderBy("seq").collect()] == want
+
+
+def test_times_finer_than_shown_keep_the_order_of_a_document(spark):
+    frames = spark.createDataFrame([(1, 1920, 1080)], "track_id long, width int, height int")
+    rows = spark.createDataFrame([(1, 1, 0, 12, 900, "B", "a", None), (1, 2, 1, 14, 500, "A", "b", None)], CUE)
+    own = pb.publish_documents(rows, frames, ["source"]).select("track_id", "document")
+    assert own.first().document.index(",a\n") < own.first().document.index(",b\n")
+    assert pb.canonical_documents(own, frames, finer=True).first().canonical is None
+    again = pb.canonical_documents(own, frames).first().canonical  # by the hundredths alone
+    assert again.index(",b\n") < again.index(",a\n")
