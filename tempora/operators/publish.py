@@ -72,7 +72,11 @@ def canonical_documents(documents: DataFrame, frames: DataFrame, finer: bool = F
 
 def document_defects(documents: DataFrame) -> DataFrame:
     """(track_id, line_no, kind): lines that can't be read or are empty, and defects of the order and times of the others."""
-    parsed = parse_documents(documents)
+    return parsed_defects(parse_documents(documents))
+
+
+def parsed_defects(parsed: DataFrame) -> DataFrame:
+    """``document_defects`` of lines that ``parse_documents`` has read."""
     events = parsed.where("problem IS NULL").select("track_id", F.col("line_no").alias("id"), F.col("line_no").alias("ordinal"), "start_ms", "end_ms", F.col("name").alias("speaker"))
     return parsed.where("problem IS NOT NULL").select("track_id", "line_no", F.col("problem").alias("kind")).unionAll(event_defects(events))
 
@@ -83,13 +87,17 @@ def publish_gate(own: DataFrame, reviewed: DataFrame) -> DataFrame:
     A kind of defect that the library's ``own`` rendering of the same file has too is tolerated; a file without events (empty) and one whose
     events differ from those of the track's first mode (drift) are not.
     """
-    # each is read several times below
-    own, reviewed = (cut(df.select("track_id", "mode", "document"), name) for df, name in ((own, "own"), (reviewed, "reviewed")))
+    # documents are read once: what is used several times below are their lines, without the texts, and their names
     keyed = lambda df: df.select(F.struct("track_id", "mode").alias("track_id"), "document")
-    kinds = lambda df: document_defects(keyed(df)).select("track_id", "kind").distinct()
-    found = kinds(reviewed).join(kinds(own), ["track_id", "kind"], "left_anti")
-    parsed = parse_documents(keyed(reviewed)).where("problem IS NULL")
-    empty = keyed(reviewed).join(parsed, "track_id", "left_anti").select("track_id", F.lit("empty").alias("kind"))
+    lines = lambda df, name: cut(parse_documents(keyed(df)).select("track_id", "line_no", "start_ms", "end_ms", "name", "problem"), name)
+    kinds = lambda parsed: parsed_defects(parsed).select("track_id", "kind").distinct()
+    reviewed = cut(reviewed.select("track_id", "mode", "document"), "reviewed")
+    parsed = lines(reviewed, "reviewed-lines")
+    found = kinds(parsed).join(kinds(lines(own, "own-lines")), ["track_id", "kind"], "left_anti")
+    parsed = parsed.where("problem IS NULL")
+    reviewed = reviewed.select("track_id", "mode")
+    names = reviewed.select(F.struct("track_id", "mode").alias("track_id"))
+    empty = names.join(parsed, "track_id", "left_anti").select("track_id", F.lit("empty").alias("kind"))
     first = reviewed.groupBy("track_id").agg(F.min("mode").alias("mode"))
     event = parsed.select("track_id", F.col("line_no").alias("ordinal"), "start_ms", "end_ms", F.col("name").alias("speaker"))
     leading = event.join(first.select(F.struct("track_id", "mode").alias("track_id")), "track_id", "left_semi").withColumn("t", F.col("track_id.track_id")).drop("track_id")

@@ -96,3 +96,9 @@ def test_times_finer_than_shown_keep_the_order_of_a_document(spark):
     assert pb.canonical_documents(own, frames, finer=True).first().canonical is None
     again = pb.canonical_documents(own, frames).first().canonical  # by the hundredths alone
     assert again.index(",b\n") < again.index(",a\n")
+
+
+def test_gate_reads_each_document_once(spark):
+    own = spark.createDataFrame([(1, "source", "[Events]\nDialogue: 0,0:00:01.00,0:00:02.00,Default,A,0,0,0,,x\n")], "track_id long, mode string, document string")
+    gate = pb.publish_gate(own, own)
+    assert "posexplode" not in gate._jdf.queryExecution().optimizedPlan().toString() and not gate.collect()
