@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import special_token, token_ms
+from ..functions.text import let, special_token, token_ms
 from ..sources.sinks import cut
 from .intervals import align_to_speech, crosstalk_ids, extend_cue_ends, normalize_timeline, range_join
 
@@ -28,23 +28,31 @@ def leading_tokens(cues: DataFrame) -> DataFrame:
     words = F.filter(F.from_json("tokens", TOKEN), lambda t: t.text.isNotNull() & (t.text != "") & ~special_token(t.text))
 
     def times(text: Column) -> Column:
-        side = lambda name: token_ms(F.to_json(F.try_variant_get(F.try_parse_json(text), f"$.{name}", "variant")))
-        return F.struct(side("from").alias("start_ms"), side("to").alias("end_ms"))
+        side = lambda v, name: token_ms(F.to_json(F.try_variant_get(v, f"$.{name}", "variant")))
+        return let(F.try_parse_json(text), lambda v: F.struct(side(v, "from").alias("start_ms"), side(v, "to").alias("end_ms")))
 
-    sound = lambda r: F.when(r.end_ms >= r.start_ms, r)
+    # a lambda's terms are computed as often as they are named, so each is named once
+    sound = lambda times: let(times, lambda r: F.when(r.end_ms >= r.start_ms, r))
     each = F.transform(F.slice("words", 1, 2), lambda t: F.coalesce(sound(times(t.offsets)), sound(times(t.timestamps))))
-    found = cues.select(*KEY, words.alias("words")).where(F.size("words") > 0).select(*KEY, F.get("words", F.lit(0)).text.alias("text"), each.alias("ranges"))
+    # dealt out first: a small file may hold many lists, and reading them is the work
+    found = cues.select(*KEY, "tokens").repartition(*KEY).select(*KEY, words.alias("words")).where(F.size("words") > 0).select(*KEY, F.get("words", F.lit(0)).text.alias("text"), each.alias("ranges"))
     known = F.when(F.get("ranges", F.lit(0)).isNull(), F.slice("ranges", 1, 0)).otherwise(F.array_compact("ranges"))
     return found.select(*KEY, "text", known.alias("ranges"))
 
 
-def touched(ranges: DataFrame, voiced: DataFrame, tol_ms: int = 40, width_ms: int = 20_000) -> DataFrame:
-    """Those of the rows (track_id, id, from_ms, to_ms) that a voiced span touches."""
-    span = voiced.select("track_id", F.col("start_ms").alias("left_ms"), F.col("end_ms").alias("right_ms"))
-    lo, hi = F.col("from_ms") - tol_ms, F.col("to_ms") + tol_ms
-    key = ranges.select(*KEY, "from_ms", "to_ms")
-    hits = range_join(key, span, width_ms, lo, hi, F.col("left_ms"), F.col("right_ms"), (F.col("right_ms") >= lo) & (F.col("left_ms") <= hi))
-    return hits.select(*key.columns).distinct()
+def touched(ranges: DataFrame, voiced: DataFrame, tol_ms: int = 40) -> DataFrame:
+    """Those of the rows (track_id, id, from_ms, to_ms) that a voiced span touches.
+
+    One sweep: a range is judged at its end against the furthest end of the spans that have begun by then. No pair of a range and a span is made.
+    """
+    none = F.lit(None).cast("bigint")
+    span = voiced.select("track_id", F.col("start_ms").alias("at"), F.lit(0).alias("asks"), F.col("end_ms").alias("reaches"), none.alias("from_ms"), none.alias("to_ms"))
+    key = ranges.select(*KEY, F.col("from_ms").cast("bigint").alias("from_ms"), F.col("to_ms").cast("bigint").alias("to_ms"))
+    asked = key.select("*", (F.col("to_ms") + tol_ms).alias("at"), F.lit(1).alias("asks"), none.alias("reaches"))
+    # spans that begin where a range ends come before it
+    order = Window.partitionBy("track_id").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    rows = asked.unionByName(span, allowMissingColumns=True).withColumn("reach", F.max("reaches").over(order))
+    return rows.where((F.col("asks") == 1) & (F.col("reach") >= F.col("from_ms") - tol_ms)).select(*KEY, "from_ms", "to_ms").distinct()
 
 
 def token_starts(cues: DataFrame, spans: DataFrame, tokens: DataFrame, voiced: DataFrame | None = None, overlap_ms: int = 100, silence_ms: int = 100, long_ms: int = 320, tol_ms: int = 40, width_ms: int = 2_000) -> DataFrame:
@@ -60,8 +68,8 @@ def token_starts(cues: DataFrame, spans: DataFrame, tokens: DataFrame, voiced: D
     gaps = spans.select("track_id", F.col("start_ms").alias("left_ms"), F.col("end_ms").alias("right_ms"), gone.alias("axis_ms"), (gone + size + overlap_ms).alias("quiet_ms"), F.lead("start_ms").over(order).alias("speech_ms")).where("speech_ms IS NOT NULL")
     previous = F.lag("end_ms").over(Window.partitionBy("track_id").orderBy("ordinal"))
     first, second = F.get("ranges", F.lit(0)), F.get("ranges", F.lit(1))
-    keyed = cues.select(*KEY, F.col("end_ms").alias("cue_end"), previous.alias("previous_ms")).join(tokens.where(F.size("ranges") > 0), KEY)
-    # a table, so that the tokens' JSON is read once for all uses of their times
+    keyed = cues.select(*KEY, F.col("end_ms").alias("cue_end"), previous.alias("previous_ms")).join(cut(tokens, "tokens").where(F.size("ranges") > 0), KEY)
+    # tables, so that the tokens' JSON is read once for all uses of their times
     keyed = cut(keyed.select(*KEY, "cue_end", "previous_ms", F.when(F.length(F.trim("text")) == 1, 0).otherwise(long_ms).alias("least_ms"), first.start_ms.alias("a"), first.end_ms.alias("b"), second.start_ms.alias("c"), second.end_ms.alias("d")), "token-times")
     quiet, ends = F.col("quiet_ms"), F.col("quiet_ms") + silence_ms
     wide = (F.col("speech_ms") - F.col("right_ms") >= F.col("least_ms")) & (F.col("speech_ms") <= F.col("cue_end")) & (F.col("previous_ms").isNull() | (F.col("speech_ms") >= F.col("previous_ms") + tol_ms))

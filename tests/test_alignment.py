@@ -233,3 +233,13 @@ def test_squeezed_words_equal_the_rule(spark):
     df = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], WORD)
     got = [[r.start_ms, r.end_ms] for r in wd.repair_squeezed_words(df).orderBy("ordinal").collect()]
     assert got == squeezed(rows) and got != [list(r[2:]) for r in rows]
+
+
+def test_touched_ranges_equal_the_pairs_and_make_none(spark):
+    rnd = random.Random(4)
+    span = lambda wide: (lambda a: (a, a + rnd.randrange(wide)))(rnd.randrange(5_000))
+    ranges = [(i % 2, i, *span(200)) for i in range(200)]
+    voiced = [(rnd.randrange(3), *span(120)) for _ in range(60)]
+    got = al.touched(spark.createDataFrame(ranges, "track_id long, id long, from_ms long, to_ms long"), spark.createDataFrame(voiced, "track_id long, start_ms long, end_ms long"), 40)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in got.collect()} == {r for r in ranges if any(t == r[0] and b >= r[2] - 40 and a <= r[3] + 40 for t, a, b in voiced)}
