@@ -43,7 +43,7 @@ TWO_WORDS = re.compile(rb"(?:[ \t]+[^ \t.,;:!?\x0A-\x0D]+){0,2}")
 _KIND = np.zeros(256, np.uint8)  # 1: ends words, 2: ends pieces
 _KIND[[0x20, 0x09]] = 1
 _KIND[list(b".,;:!?\x0a\x0b\x0c\x0d")] = 2
-BLOCK, IDS, DEPTH = 1_000_000, 21, 3
+BLOCK, DEPTH = 1_000_000, 3
 
 
 def blocks_of(texts: list[str | None], langs: list[str]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, int]]:
@@ -178,21 +178,26 @@ class Routed:
         order = np.argsort(near, kind="stable")
         words, weight, near = words[:, order], weight[order], near[order]
         starts = np.flatnonzero(np.diff(near, prepend=-1))
-        packs = [pack(words[:, lo:hi], weight[lo:hi]) for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(near)], strict=True)]
+        packs = []
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(near)], strict=True):
+            order = np.lexsort(words[::-1, lo:hi])  # suffixes in order pack better
+            packs.append(pack(words[:, lo:hi][:, order], weight[lo:hi][order]))
         yield pa.RecordBatch.from_pydict({"route": near[starts], "block": pa.array(packs, pa.binary())})
 
 
 def added(words: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal suffixes added up, in the order of their words' ids."""
-    ids, at = np.unique(words, return_inverse=True)
-    at = at.reshape(words.shape).astype(np.uint64)
-    if len(ids) < 1 << IDS:
-        order = np.argsort(at[0] << np.uint64(2 * IDS) | at[1] << np.uint64(IDS) | at[2])
-    else:
-        order = np.lexsort(at[::-1])
-    at = at[:, order]
-    first = np.flatnonzero(np.append(True, (at[:, 1:] != at[:, :-1]).any(axis=0)))
-    return words[:, order[first]], np.add.reduceat(weight[order], first)
+    """Equal suffixes added up, in the order of one hash: a third of what sorting by words takes in memory.
+
+    Neighbours are compared word by word; equal suffixes that others of the same hash part stay two, which are added up later.
+    """
+    order = np.argsort(mixed(pair_hash(words) * BASE + words[2]))
+    words, weight = words[:, order], weight[order]
+    del order
+    first = np.append(True, words[0, 1:] != words[0, :-1])
+    for row in words[1:]:
+        first[1:] |= row[1:] != row[:-1]
+    first = np.flatnonzero(first)
+    return words[:, first], np.add.reduceat(weight, first)
 
 
 def pack(words: np.ndarray, weight: np.ndarray) -> bytes:

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -150,3 +151,12 @@ def test_blocks_keep_their_suffixes():
         for p, w in zip(map(tuple, words.T.tolist()), weight.tolist(), strict=True):
             want[p] += w
         assert dict(zip(map(tuple, once.T.tolist()), total.tolist(), strict=True)) == want
+
+
+def test_adding_up_a_portion_takes_little_memory():
+    words = np.random.default_rng(6).integers(0, 50_000, (3, 300_000)).astype(np.uint64)
+    tracemalloc.start()
+    c.added(words, np.ones(300_000, np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * words.nbytes
