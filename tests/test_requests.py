@@ -212,3 +212,9 @@ def test_lists_and_exploded_ranges_are_never_broadcast(spark):
     listed = rq._listed(own, "words", "ordinal", lambda w: w.text, "text")
     for joined in (own, rq._object({"words": listed, "following": listed.withColumnRenamed("words", "following")}, False), df.join(sinks.cut(df.select("ordinal"), "small"), "ordinal")):
         assert "SortMergeJoin" in plan(joined) and "Broadcast" not in plan(joined)
+
+
+def test_a_wave_reads_its_own_requests_only(spark):
+    df = sinks.cut(spark.range(40).selectExpr("id", "CAST(id % 4 AS INT) AS wave"), "open", "wave")
+    one = df.where("wave = 1")
+    assert "PartitionFilters: [isnotnull(wave" in one._jdf.queryExecution().executedPlan().toString() and one.count() == 10
