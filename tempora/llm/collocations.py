@@ -186,7 +186,7 @@ class Routed:
 
 
 def added(words: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal suffixes added up, in the order of one hash: a third of what sorting by words takes in memory.
+    """Equal suffixes added up, in the order of one hash, which takes about half the memory of sorting by words.
 
     Neighbours are compared word by word; equal suffixes that others of the same hash part stay two, which are added up later.
     """
