@@ -218,3 +218,14 @@ def test_a_wave_reads_its_own_requests_only(spark):
     df = sinks.cut(spark.range(40).selectExpr("id", "CAST(id % 4 AS INT) AS wave"), "open", "wave")
     one = df.where("wave = 1")
     assert "PartitionFilters: [isnotnull(wave" in one._jdf.queryExecution().executedPlan().toString() and one.count() == 10
+
+
+def test_quick_waves_grow(spark, tmp_path, monkeypatch):
+    """Once every wave was of the same few requests, so that quick services waited for the many small tables."""
+    payloads = spark.createDataFrame([(1, b, f"p{b}") for b in range(120)], "track_id long, batch_no long, payload string")
+    waves = lambda at: len({p.name.split("-", 2)[2] for p in (tmp_path / f"{at}-raw").glob("part-*")})
+    assert rq.settled_replies(payloads, lambda p, e: p, str(tmp_path / "a"), attempts=1, wave=2).count() == 120
+    assert waves("a") < 12
+    monkeypatch.setattr(rq, "QUICK_S", 0.0)
+    assert rq.settled_replies(payloads.where("batch_no < 20"), lambda p, e: p, str(tmp_path / "b"), attempts=1, wave=2).count() == 20
+    assert waves("b") >= 10
