@@ -109,3 +109,23 @@ def test_plans_have_no_nested_loop(spark, sf_dir):
     for name in ("crosstalk_ids", "long_silence_start", "vad_start_candidates", "remaining_speech", "refined_end"):
         plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_word_batches_take_one_shuffle_whatever_the_arrow_batches(spark):
+    """Silences were joined back, and every word's key was text, grouped and dealt out again."""
+    rnd, rows = random.Random(7), []
+    for track in range(4):
+        at = 0
+        for i in range((0, 3, 45, 400)[track]):
+            rows.append((track, i, "0", "w", at, at + 100))
+            at += rnd.choice([150, 150, 150, 1_100, 1_500] if i % 150 > 60 else [150])
+    df = spark.createDataFrame(rows, "track_id long, ordinal long, speaker string, text string, start_ms long, end_ms long")
+    plan = wd.split_word_batches(df, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    whole = sorted(map(tuple, wd.split_word_batches(df, 20).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(tuple, wd.split_word_batches(df, 20).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r[4] for r in whole} == {True, False} and sum(z - a + 1 for _, _, a, z, _ in whole) == len(rows)
