@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempora.operators import backends as bk
+from tempora.operators import journal as jr
 from tempora.operators import progress as pg
 from tempora.operators import publish as pb
 
@@ -102,3 +103,34 @@ def test_gate_reads_each_document_once(spark):
     own = spark.createDataFrame([(1, "source", "[Events]\nDialogue: 0,0:00:01.00,0:00:02.00,Default,A,0,0,0,,x\n")], "track_id long, mode string, document string")
     gate = pb.publish_gate(own, own)
     assert "posexplode" not in gate._jdf.queryExecution().optimizedPlan().toString() and not gate.collect()
+
+
+def test_documents_are_folded_from_sorted_lines(spark):
+    """Each task once gathered the lines of all its documents, and documents were joined with their frames."""
+    rows = [(t, i, i, 5_000 - i * 10, 9_000, "B", f"s{i}", "x" if i % 2 else None) for t, n in ((1, 1), (2, 40), (4, 7)) for i in range(n)]
+    frames = spark.createDataFrame([(1, 1280, 720), (3, 640, 360), (4, None, None)], "track_id long, width int, height int")
+    docs = lambda: pb.publish_documents(spark.createDataFrame(rows, CUE), frames, ["all"], "en", "fr")
+    plan = docs()._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Join" not in plan
+    whole = sorted(map(tuple, docs().collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(map(tuple, docs().collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [w[:2] for w in whole] == [(t, m) for t in (1, 2, 4) for m in ("bilingual", "source", "translated")]
+    assert ["PlayResX: 1280\n" in w[3] for w in whole] == [True] * 3 + [False] * 6 and all("PlayResX: 1920\n" in w[3] for w in whole[3:])
+    said = [x.rsplit(",", 1)[1] for x in whole[4][3].splitlines() if x.startswith("Dialogue")]
+    assert said == [f"s{i}" for i in range(39, -1, -1)]
+
+
+def test_lines_of_sections_and_marks_of_documents(spark):
+    line = "Dialogue: 0,0:00:01.00, 0:00:02.5 ,Default, A ,0,0,0,,{}"
+    text = "﻿" + "\r\n".join(["[Script Info]", line.format("no"), " [ EVENTS ] ", line.format("a, b\\Nc"), "[Fonts]", line.format("no"), "[Events]", " dialogue: 0,x", line.format(" ")])
+    docs = spark.createDataFrame([(1, text), (2, "[Events]"), (3, None)], "track_id long, document string")
+    got = sorted((r.track_id, r.line_no, r.start_ms, r.end_ms, r.name, r.lines, r.problem) for r in jr.parse_documents(docs).collect())
+    assert got == [(1, 3, 1000, 2500, "A", ["a, b", "c"], None), (1, 7, None, None, "", [], "unparsable"), (1, 8, 1000, 2500, "A", [], "empty_text")]
+    marked = jr.parse_documents(docs, True)
+    assert sorted(r.track_id for r in marked.where("line_no = -1").collect()) == [1, 2, 3] and marked.where("line_no >= 0").count() == 3
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
